@@ -127,10 +127,13 @@ def xml_entities(c: Column) -> Column:
     return c
 
 
-@F.pandas_udf("string")
-def all_entities(s: pd.Series) -> pd.Series:
+def _unescape(s: pd.Series) -> pd.Series:
+    return pd.Series([t if t is None or t != t else html.unescape(t) for t in s], index=s.index, dtype=object)
+
+
+def all_entities(c: Column) -> Column:
     """All HTML entities resolved, Arrow batch by Arrow batch."""
-    return s.map(html.unescape, na_action="ignore")
+    return F.pandas_udf(_unescape, "string")(c)
 
 
 def clean_html(c: Column, full: bool = False) -> Column:
