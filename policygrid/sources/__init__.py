@@ -1 +1 @@
-
+"""Readers and writers: indicator tables with sidecars, folds, traces, JSON records, manifests, checkpoints."""
