@@ -71,7 +71,7 @@ def clean_keywords(c: Column) -> Column:
 
 def split_sectors(c: Column, drop: str = "Other") -> Column:
     """The parts of a `;` list, trimmed, without blank ones and `drop`; null gives an empty array."""
-    parts = F.transform(F.split(F.coalesce(c, F.lit("")), ";"), F.trim)
+    parts = F.transform(F.split(F.coalesce(c, F.lit("")), ";"), lambda p: F.trim(p))
     return F.filter(parts, lambda p: (p != "") & (p != drop))
 
 
