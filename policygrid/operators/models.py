@@ -132,10 +132,15 @@ def cache_key(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 
+def two_decimals(x: Column) -> Column:
+    """Rounded to two decimals by the binary value, halves away from zero."""
+    return F.signum(x) * F.floor(F.abs(x) * 100 + 0.5) / 100
+
+
 def render_table(values: Column, names: list[str], rows: int = 10, cols: int = 22) -> Column:
     """A tensor (array of rows) as text: up to `rows` last rows of `name=0.00` cells; rows are parted by a backslash and an n."""
     shown = names[:cols]
-    line = lambda r: F.array_join(F.array(*[F.concat(F.lit(f"{n}="), F.format_string("%.2f", F.get(r, F.lit(i)))) for i, n in enumerate(shown)]), ", ")
+    line = lambda r: F.array_join(F.array(*[F.concat(F.lit(f"{n}="), F.format_string("%.2f", two_decimals(F.get(r, F.lit(i))))) for i, n in enumerate(shown)]), ", ")
     return F.array_join(F.transform(F.slice(values, F.greatest(-F.size(values), F.lit(-rows)), rows), line), "\\n")
 
 

@@ -36,13 +36,16 @@ def usable_vector(v: Column, width: int) -> Column:
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a in range(0, batch.num_rows, BLOCK):
-            part = batch.slice(a, BLOCK)
-            x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
-            norm = np.linalg.norm(x, axis=1, keepdims=True)
-            unit = x / np.where(norm > 0, norm, 1)
-            ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([unit.tobytes()], pa.binary())], ["ids", "m"])
+        groups = batch.column(2).to_numpy(zero_copy_only=False)
+        for g in np.unique(groups):
+            own = batch.take(pa.array(np.flatnonzero(groups == g)))
+            for a in range(0, own.num_rows, BLOCK):
+                part = own.slice(a, BLOCK)
+                x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                norm = np.linalg.norm(x, axis=1, keepdims=True)
+                unit = x / np.where(norm > 0, norm, 1)
+                ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([unit.tobytes()], pa.binary()), pa.array([g], pa.int64())], ["ids", "m", "g"])
 
 
 def _products(k: int | None, digits: int):
@@ -67,19 +70,21 @@ def _products(k: int | None, digits: int):
     return run
 
 
-def block_cosine(queries: DataFrame, chunks: DataFrame, k: int | None = None, digits: int = 10) -> DataFrame:
+def block_cosine(queries: DataFrame, chunks: DataFrame, k: int | None = None, digits: int = 10, group: str | None = None) -> DataFrame:
     """query_id, chunk_id, score of a query set (query_id, vec) against all chunks (chunk_id, vec), exact.
 
     Both sides are packed into blocks of unit vectors; every query block goes to
     every chunk block by an equi-join on the number of its part of the chunks, and
-    a pair is one matrix product. With `k` each block pair keeps its k best per
-    query and all ties with the k-th. Vectors must be usable (usable_vector).
+    a pair is one matrix product. With `group` (a whole-numbered column of both,
+    such as the fold) only rows of equal groups meet. With `k` each block pair keeps
+    its k best per query and all ties with the k-th. Vectors must be usable.
     """
     qt, ct = queries.schema["query_id"].dataType.simpleString(), chunks.schema["chunk_id"].dataType.simpleString()
     parts = 32
-    q = queries.select("query_id", "vec").mapInArrow(_packed, f"ids array<{qt}>, m binary").select(F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    c = chunks.select("chunk_id", "vec").mapInArrow(_packed, f"ids array<{ct}>, m binary").select(F.col("ids").alias("c_ids"), F.col("m").alias("c_m"), F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(parts)).cast("int").alias("part"))
-    return q.join(c, "part").select("q_ids", "q_m", "c_ids", "c_m").mapInArrow(_products(k, digits), f"query_id {qt}, chunk_id {ct}, score double")
+    g = (F.col(group) if group else F.lit(0)).cast("long").alias("g")
+    q = queries.select("query_id", "vec", g).where("g is not null").mapInArrow(_packed, f"ids array<{qt}>, m binary, g long").select("g", F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    c = chunks.select("chunk_id", "vec", g).where("g is not null").mapInArrow(_packed, f"ids array<{ct}>, m binary, g long").select("g", F.col("ids").alias("c_ids"), F.col("m").alias("c_m"), F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(parts)).cast("int").alias("part"))
+    return q.join(c, ["g", "part"]).select("q_ids", "q_m", "c_ids", "c_m").mapInArrow(_products(k, digits), f"query_id {qt}, chunk_id {ct}, score double")
 
 
 def pool_documents(scores: DataFrame, doc: str = "document_id") -> DataFrame:

@@ -112,7 +112,7 @@ def negative_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def series_descriptor(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = selector.series_descriptor(cells(spark, sf_dir), ["country", "feature"], "year", "value")
-    return d.select("country", "feature", "n", *[F.round(c, 4).alias(c) for c in selector.DESCRIPTOR])
+    return d.select("country", "feature", "n", *[F.round(c, 7).alias(c) for c in selector.DESCRIPTOR])
 
 
 def _selection(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
@@ -218,13 +218,13 @@ SQL = {
         SELECT document_id, "window", feature, count(*) AS n_steps, round(avg(v), 6) AS mean, round(arg_max(v, y), 6) AS last FROM j GROUP BY ALL""",
     "table_text_render": f"""WITH {_CELLS}, {_ANCHOR}, fe AS (SELECT feature, row_number() OVER (ORDER BY feature) AS fi FROM (SELECT DISTINCT feature FROM cells WHERE table_idx = 0)),
         e AS (SELECT document_id, feature, fi, an.year - o.o AS y, an.country FROM an, fe, (SELECT unnest(range(0, 5)) AS o) o WHERE fi <= 22),
-        l AS (SELECT document_id, e.y, string_agg(e.feature || '=' || printf('%.2f', coalesce(cells.value, 0)), ', ' ORDER BY fi) AS line FROM e LEFT JOIN cells ON cells.country = e.country AND cells.year = e.y AND cells.feature = e.feature GROUP BY ALL)
+        l AS (SELECT document_id, e.y, string_agg(e.feature || '=' || printf('%.2f', coalesce(sign(cells.value) * floor(abs(cells.value) * 100 + 0.5) / 100, 0)), ', ' ORDER BY fi) AS line FROM e LEFT JOIN cells ON cells.country = e.country AND cells.year = e.y AND cells.feature = e.feature GROUP BY ALL)
         SELECT document_id, string_agg(line, '\\n' ORDER BY y) AS text FROM l GROUP BY document_id""",
     "sector_one_hot": f"SELECT row_id, array_to_string(list_transform({_VOCABULARY}, lambda s: CASE WHEN list_contains(list_transform(string_split(coalesce(sector, ''), ';'), lambda p: trim(p, ' ')), s) THEN '1' ELSE '0' END), '') AS one_hot FROM all_data_en",
     "negative_pairs": """WITH g AS (SELECT * FROM group_kfold_assignments WHERE fold <> 0 AND trim(family_summary) <> ''), t AS (SELECT family_summary, min(row_id) AS rep FROM g GROUP BY family_summary),
         r AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || family_summary), family_summary) AS r, count(*) OVER () AS n FROM t),
         x AS (SELECT a.family_summary, k.k AS negative_no, b.rep AS negative FROM r a, (VALUES (CAST(1 AS BIGINT)), (2)) AS k(k) JOIN r b ON b.r = (a.r - 1 + k.k) % a.n + 1) SELECT row_id AS anchor, negative_no, negative FROM g JOIN x USING (family_summary)""",
-    "series_descriptor": f"WITH {_CELLS}, {_descriptor('country, feature', 'cells', 'ds')} SELECT country, feature, n, " + ", ".join(f"round({c}, 4) AS {c}" for c in selector.DESCRIPTOR) + " FROM ds",
+    "series_descriptor": f"WITH {_CELLS}, {_descriptor('country, feature', 'cells', 'ds')} SELECT country, feature, n, " + ", ".join(f"round({c}, 7) AS {c}" for c in selector.DESCRIPTOR) + " FROM ds",
     "selector_pearson": _selector(_pearson_sql()),
     "selector_trend": _selector("-abs(sg.slope - td.slope) - 0.5 * abs(sg.delta - td.delta)"),
     "trend_labels": f"""WITH {_CELLS}, e AS (SELECT country, feature, arg_min(value, year) AS first_value, arg_max(value, year) AS last_value FROM cells GROUP BY ALL)

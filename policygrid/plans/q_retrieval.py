@@ -17,21 +17,28 @@ def _doc_number(c: str):
     return F.regexp_extract(c, "[0-9]+", 0).try_cast("bigint")
 
 
+def chunk_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with a document, a fold and a usable vector."""
+    c = table(spark, sf_dir, "chunk")
+    return c.where((F.trim("document_id") != "") & F.col("fold").isNotNull() & retrieval.usable_vector(F.col("embedding"), WIDTH)).withColumnRenamed("embedding", "vec")
+
+
 def query_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The policy documents whose number is divisible by 20: query_id, target (their own id), vec, summary, geography."""
-    d = table(spark, sf_dir, "policy_document")
-    q = d.where((_doc_number("document_id") % 20 == 0) & retrieval.usable_vector(F.col("embedding"), WIDTH))
-    return q.select(F.col("document_id").alias("query_id"), F.col("document_id").alias("target"), F.col("embedding").alias("vec"), "summary", "geography")
+    """The chunks whose number is divisible by 20 as queries; the document of each is its target."""
+    q = chunk_set(spark, sf_dir).where(F.regexp_extract("chunk_id", "[0-9]+$", 0).try_cast("bigint") % 20 == 0)
+    return q.select(F.col("chunk_id").alias("query_id"), F.col("document_id").alias("target"), "vec", "fold", F.col("geography").alias("country"), "sector")
 
 
-def chunk_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks with a document and a usable vector."""
-    c = table(spark, sf_dir, "chunk")
-    return c.where((F.trim("document_id") != "") & retrieval.usable_vector(F.col("embedding"), WIDTH)).withColumnRenamed("embedding", "vec")
+def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summaries of the policy documents whose number is divisible by 20; the document is the target."""
+    d = table(spark, sf_dir, "policy_document").where((_doc_number("document_id") % 20 == 0) & (F.trim("summary") != ""))
+    return d.select(F.col("document_id").alias("query_id"), F.col("document_id").alias("target"), "summary")
 
 
 def chunk_scores(spark: SparkSession, sf_dir: str, k: int | None = None) -> DataFrame:
-    return retrieval.block_cosine(query_set(spark, sf_dir), chunk_set(spark, sf_dir), k)
+    """Each query against the other chunks of its fold."""
+    s = retrieval.block_cosine(query_set(spark, sf_dir), chunk_set(spark, sf_dir), None if k is None else k + 1, group="fold")
+    return s.where("query_id <> chunk_id")
 
 
 def document_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,9 +62,8 @@ def retrieval_trace_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retrieval_filter_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Level and best document of each query once the cascade has chosen; a query's sector is that of its first filing by row."""
-    filed = table(spark, sf_dir, "group_kfold_assignments").where("sector is not null").groupBy("document_id").agg(F.min_by("sector", "row_id").alias("sector"))
-    q = query_set(spark, sf_dir).join(filed.withColumnRenamed("document_id", "query_id"), "query_id", "left").select("query_id", F.col("geography").alias("country"), "sector")
+    """Level, number of chunks and best score of each query once the cascade has chosen."""
+    q = query_set(spark, sf_dir).select("query_id", "country", "sector")
     c = chunk_set(spark, sf_dir)
     kept = retrieval.filter_cascade(chunk_scores(spark, sf_dir), q, c.select("chunk_id", "geography", "sector")).join(c.select("chunk_id", "document_id"), "chunk_id")
     return kept.groupBy("query_id", F.col("level").cast("bigint").alias("level")).agg(F.count(F.lit(1)).alias("n_chunks"), F.max(F.struct(F.col("score"), F.col("document_id")))["score"].alias("best_score"))
@@ -74,7 +80,7 @@ def hit5_by_filter_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hit@5 of the documents left by each hard filter; a query whose filter leaves none counts as a miss."""
     q = query_set(spark, sf_dir)
     meta = chunk_set(spark, sf_dir).groupBy("document_id").agg(F.min(F.trim("geography")).alias("g"), F.min(F.trim("sector")).alias("s"))
-    own = meta.select(F.col("document_id").alias("query_id"), F.col("g").alias("qg"), F.col("s").alias("qs"))
+    own = q.select("query_id", F.trim("country").alias("qg"), F.trim("sector").alias("qs"))
     both = document_scores(spark, sf_dir).join(meta, "document_id").join(own, "query_id", "left")
     both = durable(both, "filtered")
     modes = {"none": F.lit(True), "country": F.col("g") == F.col("qg"), "sector": F.col("s") == F.col("qs"), "both": (F.col("g") == F.col("qg")) & (F.col("s") == F.col("qs"))}
@@ -89,14 +95,15 @@ def error_analysis_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each query with its best document, whether that is the target, and the target's own score."""
     pooled = document_scores(spark, sf_dir)
     best = pooled.groupBy("query_id").agg(F.min_by(F.struct("document_id", "score"), F.struct(-F.col("score"), F.col("document_id"))).alias("b"))
-    own = pooled.where("query_id = document_id").select("query_id", F.col("score").alias("target_score"))
-    return best.join(own, "query_id", "left").select("query_id", F.col("b.document_id").alias("best_document_id"), F.col("b.score").alias("best_score"), "target_score", F.when(F.col("b.document_id") == F.col("query_id"), "correct").otherwise("incorrect").alias("outcome"))
+    goal = query_set(spark, sf_dir).select("query_id", "target")
+    own = pooled.select("query_id", F.col("document_id").alias("target"), F.col("score").alias("target_score"))
+    return best.join(goal, "query_id").join(own, ["query_id", "target"], "left").select("query_id", F.col("b.document_id").alias("best_document_id"), F.col("b.score").alias("best_score"), "target_score", F.when(F.col("b.document_id") == F.col("target"), "correct").otherwise("incorrect").alias("outcome"))
 
 
 def fold_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """fold, method and metrics of two poolings, the fold being that of the query's first filing that has one."""
+    """fold, method and metrics of two poolings."""
     q = query_set(spark, sf_dir)
-    fold = table(spark, sf_dir, "group_kfold_assignments").where("fold is not null").groupBy(F.col("document_id").alias("query_id")).agg(F.min_by("fold", "row_id").alias("fold"))
+    fold = q.select("query_id", "fold")
     pooled = document_scores(spark, sf_dir)
     ranks = [retrieval.target_ranks(pooled.select("query_id", "document_id", F.col(c).alias("score")), q).withColumn("method", F.lit(m)) for m, c in (("max_pool", "score"), ("mean_pool", "mean_score"))]
     return metrics.evaluate(ranks[0].unionByName(ranks[1]).join(fold, "query_id"), CUTS, ["fold", "method"])
@@ -136,7 +143,7 @@ def trace_hit1_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "chunk").where("trim(document_id) <> ''")
-    return retrieval.BM25(c, "chunk_id", "text").score(query_set(spark, sf_dir), "query_id", "summary").join(c.select("chunk_id", "document_id"), "chunk_id")
+    return retrieval.BM25(c, "chunk_id", "text").score(text_queries(spark, sf_dir), "query_id", "summary").join(c.select("chunk_id", "document_id"), "chunk_id")
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +153,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A query without words isn't evaluated; a target that shares no word comes after all that do."""
-    q = query_set(spark, sf_dir).where("trim(summary) <> ''")
+    q = text_queries(spark, sf_dir)
     pooled = durable(retrieval.pool_documents(_bm25(spark, sf_dir)), "bm25")
     return metrics.evaluate(retrieval.target_ranks(pooled, q), CUTS)
 
@@ -183,15 +190,14 @@ QUERIES = {
 
 _OK = "embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
 _BASE = f"""
-q AS MATERIALIZED (SELECT document_id AS query_id, CAST(embedding AS DOUBLE[]) AS v, summary, geography FROM policy_document
-      WHERE TRY_CAST(regexp_extract(document_id, '[0-9]+') AS BIGINT) % 20 = 0 AND {_OK}),
-c AS MATERIALIZED (SELECT chunk_id, document_id, CAST(embedding AS DOUBLE[]) AS v, geography, sector, text FROM chunk WHERE trim(document_id) <> '' AND {_OK}),
+c AS MATERIALIZED (SELECT chunk_id, document_id, CAST(embedding AS DOUBLE[]) AS v, geography, sector, fold FROM chunk WHERE trim(document_id) <> '' AND fold IS NOT NULL AND {_OK}),
+q AS MATERIALIZED (SELECT chunk_id AS query_id, document_id AS target, v, fold, geography, sector FROM c WHERE TRY_CAST(regexp_extract(chunk_id, '[0-9]+$') AS BIGINT) % 20 = 0),
 s AS MATERIALIZED (SELECT query_id, chunk_id, document_id, round(CASE WHEN list_dot_product(q.v, q.v) = 0 OR list_dot_product(c.v, c.v) = 0 THEN 0
-        ELSE list_dot_product(q.v, c.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v))) END, 10) AS score FROM q, c),
+        ELSE list_dot_product(q.v, c.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v))) END, 10) AS score FROM q JOIN c ON q.fold = c.fold AND q.query_id <> c.chunk_id),
 d AS MATERIALIZED (SELECT query_id, document_id, max(score) AS score, round(avg(score), 9) AS mean_score FROM s GROUP BY ALL)"""
-_TRACE = """t AS (SELECT query_id, query_id AS target_doc_id, rn AS retrieved_rank, document_id AS retrieved_doc_id, score AS retrieved_score,
-   CAST(document_id = query_id AS DOUBLE) AS is_relevant_doc, chunk_id AS retrieved_chunk_id
-   FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rn FROM s) WHERE rn <= {k})"""
+_TRACE = """t AS (SELECT query_id, target AS target_doc_id, rn AS retrieved_rank, document_id AS retrieved_doc_id, score AS retrieved_score,
+   CAST(document_id = target AS DOUBLE) AS is_relevant_doc, chunk_id AS retrieved_chunk_id
+   FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rn FROM s) JOIN q USING (query_id) WHERE rn <= {k})"""
 
 
 def _metric(r: str = "r") -> str:
@@ -202,41 +208,39 @@ def _metric(r: str = "r") -> str:
     return ", ".join(out)
 
 
-_RANK = """SELECT query_id, r FROM q LEFT JOIN (SELECT query_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY {c} DESC, document_id) AS r FROM {d}) x USING (query_id) WHERE document_id = query_id
-   UNION ALL SELECT query_id, NULL FROM q WHERE query_id NOT IN (SELECT query_id FROM {d} WHERE document_id = query_id)"""
-_FOLDED = f"""rk AS (SELECT 'max_pool' AS method, * FROM ({_RANK.format(c="score", d="d")}) UNION ALL SELECT 'mean_pool', * FROM ({_RANK.format(c="mean_score", d="d")})),
-f AS (SELECT document_id AS query_id, arg_min(fold, row_id) AS fold FROM group_kfold_assignments WHERE fold IS NOT NULL GROUP BY document_id),
-fm AS (SELECT fold, method, count(*) AS queries_evaluated, {_metric()} FROM rk JOIN f USING (query_id) GROUP BY fold, method)"""
+_RANK = """SELECT {q}.query_id, r FROM {q} LEFT JOIN (SELECT query_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY {c} DESC, document_id) AS r FROM {d}) x
+   ON x.query_id = {q}.query_id AND x.document_id = {q}.target"""
+_FOLDED = f"""rk AS (SELECT 'max_pool' AS method, * FROM ({_RANK.format(c="score", d="d", q="q")}) UNION ALL SELECT 'mean_pool', * FROM ({_RANK.format(c="mean_score", d="d", q="q")})),
+fm AS (SELECT fold, method, count(*) AS queries_evaluated, {_metric()} FROM rk JOIN q USING (query_id) GROUP BY fold, method)"""
 _TOK = "regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+')"
-_BM25 = f"""
+_BM25 = f"""tq AS (SELECT document_id AS query_id, document_id AS target, summary FROM policy_document WHERE TRY_CAST(regexp_extract(document_id, '[0-9]+') AS BIGINT) % 20 = 0 AND trim(summary) <> ''),
 cc AS (SELECT chunk_id, document_id, {_TOK.format("text")} AS t FROM chunk WHERE trim(document_id) <> ''),
 st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM cc),
 p AS (SELECT chunk_id, dl, term, count(*) AS f FROM (SELECT chunk_id, len(t) AS dl, unnest(t) AS term FROM cc) GROUP BY ALL),
 df AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM p, st GROUP BY term, n),
 idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM df) ELSE raw END AS idf FROM df),
-w AS (SELECT query_id, term, count(*) AS qf FROM (SELECT query_id, unnest({_TOK.format("summary")}) AS term FROM q) GROUP BY ALL),
+w AS (SELECT query_id, term, count(*) AS qf FROM (SELECT query_id, unnest({_TOK.format("summary")}) AS term FROM tq) GROUP BY ALL),
 b AS MATERIALIZED (SELECT query_id, chunk_id, round(sum(qf * idf * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM w JOIN idf USING (term) JOIN p USING (term), st GROUP BY ALL)"""
 
 SQL = {
-    "retrieval_metrics_cosine": f"WITH {_BASE} SELECT count(*) AS queries_evaluated, {_metric()} FROM ({_RANK.format(c='score', d='d')})",
+    "retrieval_metrics_cosine": f"WITH {_BASE} SELECT count(*) AS queries_evaluated, {_metric()} FROM ({_RANK.format(c='score', d='d', q='q')})",
     "retrieval_trace_topk": f"WITH {_BASE}, {_TRACE.format(k=10)} SELECT * FROM t",
-    "retrieval_filter_cascade": f"""WITH {_BASE}, fs AS (SELECT document_id AS query_id, arg_min(sector, row_id) AS qs FROM group_kfold_assignments WHERE sector IS NOT NULL GROUP BY document_id),
-        m AS (SELECT s.query_id, s.score, CASE WHEN trim(q.geography) <> '' AND trim(q.geography) = trim(c.geography) AND trim(qs) <> '' AND trim(qs) = trim(c.sector) THEN 1
-          WHEN trim(q.geography) <> '' AND trim(q.geography) = trim(c.geography) THEN 2 ELSE 3 END AS level FROM s JOIN q USING (query_id) LEFT JOIN fs USING (query_id) JOIN c USING (chunk_id))
-        SELECT query_id, CAST(level AS BIGINT) AS level, count(*) AS n_chunks, max(score) AS best_score FROM m WHERE level = (SELECT min(level) FROM m x WHERE x.query_id = m.query_id) GROUP BY ALL""",
+    "retrieval_filter_cascade": f"""WITH {_BASE}, m AS (SELECT s.query_id, s.score, CASE WHEN trim(q.geography) <> '' AND trim(q.geography) = trim(c.geography) AND trim(q.sector) <> '' AND trim(q.sector) = trim(c.sector) THEN 1
+          WHEN trim(q.geography) <> '' AND trim(q.geography) = trim(c.geography) THEN 2 ELSE 3 END AS level FROM s JOIN q USING (query_id) JOIN c USING (chunk_id)), l AS (SELECT query_id, min(level) AS level FROM m GROUP BY query_id)
+        SELECT query_id, CAST(level AS BIGINT) AS level, count(*) AS n_chunks, max(score) AS best_score FROM m JOIN l USING (query_id, level) GROUP BY ALL""",
     "retrieval_distinct_docs_top3": f"""WITH {_BASE}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS chunk_rank FROM s),
         a AS (SELECT * FROM r WHERE chunk_rank <= 1000 AND document_id IN (SELECT document_id FROM policy_document WHERE approval_year IS NOT NULL)),
         o AS (SELECT *, row_number() OVER (PARTITION BY query_id, document_id ORDER BY chunk_rank) AS k FROM a)
         SELECT * FROM (SELECT query_id, document_id, chunk_id, score, chunk_rank, row_number() OVER (PARTITION BY query_id ORDER BY chunk_rank) AS doc_no FROM o WHERE k = 1) WHERE doc_no <= 3""",
     "hit5_by_filter_mode": f"""WITH {_BASE}, m AS (SELECT document_id, min(trim(geography)) AS g, min(trim(sector)) AS s FROM c GROUP BY document_id),
-        x AS (SELECT d.query_id, d.document_id, d.score, a.g, a.s, o.g AS qg, o.s AS qs FROM d JOIN m a USING (document_id) LEFT JOIN m o ON o.document_id = d.query_id),
+        x AS (SELECT d.query_id, d.document_id, d.score, a.g, a.s, trim(q.geography) AS qg, trim(q.sector) AS qs FROM d JOIN m a USING (document_id) JOIN q USING (query_id)),
         y AS (SELECT 'none' AS mode, * FROM x UNION ALL SELECT 'country', * FROM x WHERE g = qg UNION ALL SELECT 'sector', * FROM x WHERE s = qs UNION ALL SELECT 'both', * FROM x WHERE g = qg AND s = qs),
         r AS (SELECT mode, query_id, document_id, row_number() OVER (PARTITION BY mode, query_id ORDER BY score DESC, document_id) AS r FROM y)
-        SELECT mode, count(*) AS n_queries, round(avg(CASE WHEN r.r <= 5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit_5 FROM (VALUES ('none'), ('country'), ('sector'), ('both')) AS v(mode) CROSS JOIN q
-        LEFT JOIN r USING (mode, query_id) WHERE r.document_id = q.query_id OR NOT EXISTS (SELECT 1 FROM r z WHERE z.mode = v.mode AND z.query_id = q.query_id AND z.document_id = q.query_id) AND coalesce(r.r, 1) = 1 GROUP BY mode""",
+        SELECT v.mode, count(*) AS n_queries, round(avg(CASE WHEN r.r <= 5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit_5 FROM (VALUES ('none'), ('country'), ('sector'), ('both')) AS v(mode) CROSS JOIN q
+        LEFT JOIN r ON r.mode = v.mode AND r.query_id = q.query_id AND r.document_id = q.target GROUP BY v.mode""",
     "error_analysis_split": f"""WITH {_BASE}, b AS (SELECT query_id, document_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS r FROM d) WHERE r = 1)
-        SELECT b.query_id, b.document_id AS best_document_id, b.score AS best_score, o.score AS target_score, CASE WHEN b.document_id = b.query_id THEN 'correct' ELSE 'incorrect' END AS outcome
-        FROM b LEFT JOIN d o ON o.query_id = b.query_id AND o.document_id = b.query_id""",
+        SELECT b.query_id, b.document_id AS best_document_id, b.score AS best_score, o.score AS target_score, CASE WHEN b.document_id = q.target THEN 'correct' ELSE 'incorrect' END AS outcome
+        FROM b JOIN q USING (query_id) LEFT JOIN d o ON o.query_id = b.query_id AND o.document_id = q.target""",
     "metrics_by_fold_method": f"WITH {_BASE}, {_FOLDED} SELECT * FROM fm",
     "metrics_by_method": f"WITH {_BASE}, {_FOLDED} SELECT method, " + ", ".join(f"round(avg({m}_{k}), 6) AS {m}_{k}" for m in metrics.METRICS for k in CUTS) + " FROM fm GROUP BY method",
     "paired_significance": f"""WITH {_BASE}, {_FOLDED}, l AS (UNPIVOT (SELECT fold, method, hit_10, ndcg_10, mrr_10 FROM fm) ON hit_10, ndcg_10, mrr_10 INTO NAME metric VALUE v),
@@ -253,9 +257,9 @@ SQL = {
         SELECT relevant, bin, n, round(lo + bin * w, 8) AS lo, round(lo + (bin + 1) * w, 8) AS hi, round(n / (sum(n) OVER (PARTITION BY relevant) * w), 6) AS density FROM h""",
     "trace_hit1_collapse": f"""WITH {_BASE}, {_TRACE.format(k=10)} SELECT query_id, arg_min(retrieved_doc_id, retrieved_rank) AS retrieved_doc_id, arg_min(retrieved_score, retrieved_rank) AS retrieved_score,
         arg_min(is_relevant_doc, retrieved_rank) > 0 AS hit1, count(*) FILTER (is_relevant_doc > 0) AS n_relevant FROM t GROUP BY query_id HAVING min(retrieved_rank) = 1""",
-    "bm25_topk": f"WITH {_BASE}, {_BM25} SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM b) WHERE rank <= 3",
-    "bm25_metrics": f"""WITH {_BASE}, {_BM25}, bd AS (SELECT query_id, document_id, max(score) AS score FROM b JOIN cc USING (chunk_id) GROUP BY ALL)
-        SELECT count(*) AS queries_evaluated, {_metric()} FROM ({_RANK.format(c="score", d="bd")}) WHERE query_id IN (SELECT query_id FROM q WHERE trim(summary) <> '')""",
+    "bm25_topk": f"WITH {_BM25} SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM b) WHERE rank <= 3",
+    "bm25_metrics": f"""WITH {_BM25}, bd AS (SELECT query_id, document_id, max(score) AS score FROM b JOIN cc USING (chunk_id) GROUP BY ALL)
+        SELECT count(*) AS queries_evaluated, {_metric()} FROM ({_RANK.format(c="score", d="bd", q="tq")})""",
     "selector_semantic": f"WITH {_BASE} SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 8",
     "triplet_loss": """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), f AS (SELECT label - 1 AS label, arg_min(v, vec_id) AS neg FROM e GROUP BY label),
         t AS (SELECT label, v, lead(v) OVER (PARTITION BY label, vec_id // 1000 ORDER BY vec_id) AS pos FROM e),
