@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from policygrid.functions.ordering import hash_rank, seeded
+from policygrid.functions.text import strip_space
 from policygrid.session import fresh_name, require_columns
 
 #: Columns that can group the filings of a policy, the first one in use wins. Fixed values.
@@ -23,14 +24,14 @@ def first_used_column(df: DataFrame, candidates: list[str]) -> str | None:
     found = present_columns(df, candidates)
     if not found:
         return None
-    flags = df.agg(*[F.coalesce(F.max(F.trim(F.col(c).cast("string")) != ""), F.lit(False)).alias(c) for c in found]).first()
+    flags = df.agg(*[F.coalesce(F.max(strip_space(F.col(c).cast("string")) != ""), F.lit(False)).alias(c) for c in found]).first()
     return next((c for c in found if flags[c]), None)
 
 
 def group_key(df: DataFrame, candidates: tuple[str, ...] = GROUP_COLUMNS, fallback: str = "UNKNOWN_FAMILY") -> Column:
     """The trimmed column that groups `df`; its blank values all fall into one group `fallback`."""
     used = first_used_column(df, list(candidates))
-    return F.lit(fallback) if used is None else F.coalesce(F.nullif(F.trim(F.col(used).cast("string")), F.lit("")), F.lit(fallback))
+    return F.lit(fallback) if used is None else F.coalesce(F.nullif(strip_space(F.col(used).cast("string")), F.lit("")), F.lit(fallback))
 
 
 def assign_group_folds(groups: DataFrame, key: str, n_folds: int, seed: int = 42) -> DataFrame:
