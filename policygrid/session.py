@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -75,6 +76,22 @@ def release(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, so their Python workers needn't have it installed."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    folder = tempfile.mkdtemp(prefix="policygrid-ship-")
+    root = Path(__file__).resolve().parent
+    archive = shutil.make_archive(f"{folder}/policygrid", "zip", root.parent, root.name)
+    spark.sparkContext.addPyFile(archive)
+    atexit.register(shutil.rmtree, folder, True)
+    _SHIPPED.add(app)
+
+
+_SHIPPED: set[str] = set()
+
+
 def require_columns(df: DataFrame, *names: str) -> None:
     """Raise ValueError naming the columns that `df` lacks."""
     missing = [n for n in names if n not in df.columns]
