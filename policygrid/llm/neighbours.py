@@ -304,8 +304,10 @@ def similar_classes(vectors: DataFrame, k: int, width: int = 64, probes: int = P
         sent = each.select("nid", "vec", F.explode(F.sequence(F.col("s"), F.col("s") + F.col("d") - 1)).alias("shard"), ((F.col("rank") == 0) & True).alias("first"), own.alias("own")).withColumn("member", F.col("first") & (F.col("shard") == F.col("own")))
     found = sent.select("shard", "nid", "vec", "member").groupBy("shard").applyInArrow(_shard_search(k, width, beam, least), "nid long, ids array<long>, sims array<float>")
     # What a search in one direction missed the other may have met; a vector many others are near to keeps k by a salted merge.
-    pairs = found.select("nid", F.explode(F.arrays_zip("ids", "sims")).alias("e")).select("nid", F.col("e.ids").alias("other"), (-F.col("e.sims")).alias("far"))
-    both = pairs.unionByName(pairs.select(F.col("other").alias("nid"), F.col("nid").alias("other"), "far"))
+    pairs = found.select("nid", F.explode(F.arrays_zip("ids", "sims")).alias("e"))
+    # Both directions from one row, not from a union, which would search every shard twice.
+    turned = F.array(F.struct(F.col("nid"), F.col("e.ids").alias("other")), F.struct(F.col("e.ids").alias("nid"), F.col("nid").alias("other")))
+    both = pairs.select(F.explode(turned).alias("p"), (-F.col("e.sims")).alias("far")).select("p.nid", "p.other", "far")
     top = lambda df, keys, c: df.groupBy(*keys).agg(F.slice(F.array_sort(F.array_distinct(c)), 1, k).alias("x"))
     salted = top(both, ["nid", F.pmod(F.xxhash64("other"), F.lit(4)).alias("salt")], F.collect_list(F.struct("far", "other")))
     best = top(salted, ["nid"], F.flatten(F.collect_list("x")))
