@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -75,27 +76,6 @@ class FullTextIndex:
         lo, hi = self.first[known], self.first[known + 1]
         return np.where(symbols > 0, lo, 0), np.where(symbols > 0, hi, 0)
 
-    def longest(self, pattern: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """For each position of `pattern` (several sequences, beginning at `starts`) the length of the longest match that ends there."""
-        begin = np.repeat(starts, np.diff(np.append(starts, len(pattern))))
-        lo, hi = self.search(pattern)
-        length = (hi > lo).astype(np.int64)
-        live = np.flatnonzero(hi > lo)
-        at = live.copy()
-        lo, hi = lo[live], hi[live]
-        while len(live):
-            at = at - 1
-            ok = at >= begin[live]
-            live, at, lo, hi = live[ok], at[ok], lo[ok], hi[ok]
-            symbol = pattern[at]
-            known = symbol > 0
-            live, at, lo, hi, symbol = live[known], at[known], lo[known], hi[known], symbol[known]
-            lo, hi = self.step(lo, hi, symbol)
-            ok = hi > lo
-            live, at, lo, hi = live[ok], at[ok], lo[ok], hi[ok]
-            length[live] += 1
-        return length
-
     def locate(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For all suffixes of the intervals: number of the interval, sequence, offset in it."""
         counts = hi - lo
@@ -106,99 +86,100 @@ class FullTextIndex:
         return which, sequence, at - self.start[sequence]
 
 
-def prefix_length(n: int, threshold: float) -> int:
-    """Of the first so many words of a set in any fixed order, another set of that similarity shares at least one."""
-    return n - math.ceil(threshold * n - 1e-9) + 1
+def prefix_length(n: int, threshold: float, common: int = 1) -> int:
+    """Of the first so many words of a set in any fixed order, another set of that similarity has at least `common` among its own first words."""
+    return min(n, n - math.ceil(threshold * n - 1e-9) + common)
+
+
+def smallest_set(threshold: float, common: int) -> int:
+    """The fewest words of a set that can be like a different one while sharing at least `common` words."""
+    return max(common, math.ceil(threshold / (1 - threshold) - 1e-9))
 
 
 #: Located matches that are checked at a time.
 _BLOCK = 2_000_000
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def pair_symbols(words: np.ndarray) -> np.ndarray:
+    """A 64-bit symbol for each pair of `words` (in the common order)."""
+    w = words.astype(np.uint64)
+    i, j = np.triu_indices(len(w), 1)
+    x = (w[i] * _MIX[0]) ^ ((w[j] * _MIX[1]) >> np.uint64(7)) ^ (w[j] << np.uint64(1))
+    return ((x ^ (x >> np.uint64(29))) * _MIX[1]).astype(np.int64)
+
+
+def bitmap(words: np.ndarray) -> np.ndarray:
+    """128 bits, one set for each word; as many bits differ at most between two sets as they have words not in common."""
+    place = words.astype(np.uint64) % np.uint64(128)
+    out = np.zeros(2, np.uint64)
+    np.bitwise_or.at(out, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+    return out.astype(np.int64)
+
+
+def _route(threshold: float, shards: int):
+    """Per set and shard the pair symbols that go there, with what is needed to judge a match."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            shard, owner, symbols, bits = [], [], [], []
+            for k, w in enumerate(pdf["words"]):
+                w = np.asarray(w, np.int64)
+                sym = np.unique(pair_symbols(w[: prefix_length(len(w), threshold, 2)]))
+                to = sym.astype(np.uint64) % np.uint64(shards)
+                order = np.argsort(to, kind="stable")
+                where, begin = np.unique(to[order], return_index=True)
+                shard.extend(where.tolist())
+                owner.extend([k] * len(where))
+                symbols.extend(np.split(sym[order], begin[1:]))
+                bits.append(bitmap(w))
+            owner = np.array(owner, np.int64)
+            b = np.array(bits, np.int64).reshape(-1, 2)
+            yield pd.DataFrame({"shard": pd.Series(shard, dtype="int64"), "set_id": pdf["set_id"].to_numpy()[owner], "n": pdf["n"].to_numpy()[owner], "b0": b[owner, 0], "b1": b[owner, 1], "symbols": symbols})
+
+    return run
 
 
-def similar_in_shard(ids: np.ndarray, sets: list[np.ndarray], evaluation: np.ndarray, routed: list[np.ndarray], threshold: float) -> pd.DataFrame:
-    """Pairs (a, b, similarity) of sets in a shard, b being in the index (`evaluation`), a != b.
+def candidates_in_shard(ids: np.ndarray, size: np.ndarray, bits: np.ndarray, symbols: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b), a < b, of sets that match in the shard and that sizes and bitmaps allow to be similar.
 
-    Sets are sequences in the common order, rarest word first, as symbols from 1;
-    `routed` has the positions of the prefix words that brought a set here. Every
-    match is located with its offsets; matches of a pair are merged into one
-    candidate at its first shared prefix word, which bounds the overlap that is
-    still possible; what remains is counted exactly.
+    The sequences of symbols are indexed as one text and searched backwards; every
+    occurrence of a match is located. Nothing is left out however often a symbol
+    occurs: occurrences are worked off in blocks.
     """
-    index_of = np.flatnonzero(evaluation)
-    index = FullTextIndex([sets[i] for i in index_of])
-    size = np.array([len(s) for s in sets], np.int64)
-    first = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-    flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
-    query = np.repeat(np.arange(len(sets)), [len(r) for r in routed])
-    at = np.concatenate(routed).astype(np.int64) if len(routed) else np.empty(0, np.int64)
-    prefix = np.array([prefix_length(n, threshold) for n in size], np.int64)
-    symbol = flat[first[query] + at]
-    known = symbol < len(index.first) - 1
-    lo, hi = index.search(np.where(known, symbol, 0))
-    out = []
+    vocabulary, flat = np.unique(np.concatenate(symbols) if symbols else np.empty(0, np.int64), return_inverse=True)
+    flat = flat.astype(np.int64) + 1
+    owner = np.repeat(np.arange(len(symbols)), [len(x) for x in symbols])
+    index = FullTextIndex(np.split(flat, np.cumsum([len(x) for x in symbols])[:-1]) if symbols else [])
+    lo, hi = index.search(flat)
     counts = np.cumsum(hi - lo)
-    edges = [0]
-    while edges[-1] < len(lo):
-        done = counts[edges[-1] - 1] if edges[-1] else 0
-        edges.append(max(edges[-1] + 1, int(np.searchsorted(counts, done + _BLOCK, side="right"))))
-    for p, q in zip(edges, edges[1:], strict=False):
-        which, seq, offset = index.locate(lo[p:q], hi[p:q])
-        a, i = query[p:q][which], at[p:q][which]
-        b = index_of[seq]
-        na, nb = size[a], size[b]
-        need = np.ceil(threshold / (1 + threshold) * (na + nb) - 1e-9)
-        # Within both prefixes, sizes that allow the similarity, and enough left after the match.
-        keep = (a != b) & (offset < prefix[b]) & (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9) & (1 + np.minimum(na - i, nb - offset) - 1 + np.minimum(i, offset) >= need)
-        a, b = a[keep], b[keep]
-        if not len(a):
-            continue
-        pair = np.unique(a * len(sets) + b)
-        out.append(pair)
-    if not out:
-        return pd.DataFrame({"a": ids[:0], "b": ids[:0], "similarity": np.empty(0)})
-    pair = np.unique(np.concatenate(out))
-    a, b = pair // len(sets), pair % len(sets)
-    shared = shared_counts(sets, flat, first, a, b)
-    similarity = shared / (size[a] + size[b] - shared)
-    ok = similarity >= threshold - 1e-12
-    return pd.DataFrame({"a": ids[a[ok]], "b": ids[b[ok]], "similarity": similarity[ok]})
-
-
-def shared_counts(sets: list[np.ndarray], flat: np.ndarray, first: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of sets a and b, pair by pair, in blocks."""
-    base = int(flat.max(initial=0)) + 1
-    owner = np.repeat(np.arange(len(sets)), np.diff(first))
-    keys = np.sort(owner * base + flat)
-    out = np.zeros(len(a), np.int64)
-    size = np.diff(first)
-    step = max(1, _BLOCK // max(1, int(size.max(initial=1))))
-    for p in range(0, len(a), step):
-        x, y = a[p : p + step], b[p : p + step]
-        n = size[x]
-        pair = np.repeat(np.arange(len(x)), n)
-        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        wanted = np.repeat(y, n) * base + flat[np.repeat(first[x], n) + inside]
-        spot = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        out[p : p + step] = np.bincount(pair, keys[spot] == wanted, len(x)).astype(np.int64)
-    return out
+    bits = bits.astype(np.uint64)
+    out, at = [], 0
+    while at < len(flat):
+        done = counts[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(counts, done + _BLOCK, side="right")))
+        which, b, _ = index.locate(lo[at:end], hi[at:end])
+        a = owner[at:end][which]
+        once = ids[a] < ids[b]
+        a, b = a[once], b[once]
+        small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+        # Words not in common are at most (1 - t) / (1 + t) of both sizes together.
+        most = np.floor((1 - threshold) / (1 + threshold) * (size[a] + size[b]) + 1e-9)
+        apart = np.bitwise_count(bits[a, 0] ^ bits[b, 0]).astype(np.int64) + np.bitwise_count(bits[a, 1] ^ bits[b, 1])
+        keep = (small >= threshold * large - 1e-9) & (apart <= most)
+        out.append(np.unique(a[keep] * len(symbols) + b[keep]))
+        at = end
+    pair = np.unique(np.concatenate(out)) if out else np.empty(0, np.int64)
+    n = max(1, len(symbols))
+    return ids[pair // n], ids[pair % n]
 
 
 def _shard(threshold: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("set_id", ignore_index=True)
-        words = np.concatenate(pdf["words"].to_list()).astype(np.int64)
-        many = np.concatenate(pdf["many"].to_list()).astype(np.int64)
-        # Symbols in the common order: by how many sets have the word, then by its hash.
-        order = np.lexsort((words, many))
-        w, m = words[order], many[order]
-        symbol = np.empty(len(words), np.int64)
-        symbol[order] = 1 + np.concatenate([[0], np.cumsum((np.diff(w) != 0) | (np.diff(m) != 0))])
-        cuts = np.cumsum([len(x) for x in pdf["words"]])[:-1]
-        sets = [np.sort(s) for s in np.split(symbol, cuts)]
-        routed = [np.asarray(r, np.int64) for r in pdf["routed"]]
-        # Each set is evaluated against those before it in the order of ids, so a pair is found from one side only.
-        found = similar_in_shard(pdf["set_id"].to_numpy(), sets, np.ones(len(sets), bool), routed, threshold)
-        return found[found["a"] < found["b"]]
+        symbols = [np.asarray(x, np.int64) for x in pdf["symbols"]]
+        a, b = candidates_in_shard(pdf["set_id"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), pdf[["b0", "b1"]].to_numpy(np.int64), symbols, threshold)
+        return pd.DataFrame({"a": a, "b": b})
 
     return run
 
@@ -207,24 +188,27 @@ def similar_sets(sets: DataFrame, threshold: float = THRESHOLD, shard_sets: int
     """a, b, similarity of all pairs of different sets (set_id, words) whose words share at least `threshold` of their union.
 
     Words are ordered by the number of sets that have them, rarest first (counted
-    over all sets). Two such sets share a word among the first n - ceil(t n) + 1 of
-    each, so a set goes to the shards its first words hash to and to no other, and
-    no pair is lost. A shard indexes its sets and streams them through backward
-    search. The number of shards follows the number of sets.
+    over all sets). Two such sets have two words in common among the first
+    n - ceil(t n) + 2 of each, so both have the symbol of that pair, and no pair is
+    lost. Symbols are dealt to shards by hash; a shard indexes its symbol sequences
+    as one text and streams them through backward search. What its sizes and bitmaps
+    allow is then counted exactly. The number of shards follows the number of sets.
     """
     require_columns(sets, "set_id", "words")
-    long = sets.select("set_id", F.explode("words").alias("word")).select("set_id", F.xxhash64("word").alias("w"))
+    if not 0.5 <= threshold < 1:
+        raise ValueError("threshold must be in [0.5, 1)")
+    long = sets.where(F.size("words") >= smallest_set(threshold, 2)).select("set_id", F.explode("words").alias("word")).select("set_id", F.xxhash64("word").alias("w"))
     counts = long.groupBy("w").agg(F.count(F.lit(1)).alias("m"))
     ordered = long.join(counts, "w").groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("m", "w"))).alias("x"))
-    ordered = durable(ordered.select("set_id", F.col("x.w").alias("words"), F.col("x.m").alias("many"), F.size("x").alias("n")), "word-sets")
-    total = ordered.count()
-    shards = max(1, math.ceil(total / shard_sets))
-    first = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9)).cast("int") + 1
-    prefix = ordered.select("*", F.posexplode(F.slice("words", F.lit(1), first)).alias("i", "head"))
-    routed = prefix.groupBy("set_id", F.pmod("head", F.lit(shards)).alias("shard")).agg(F.collect_list("i").alias("routed"))
-    sent = routed.join(ordered.select("set_id", "words", "many"), "set_id")
-    found = sent.groupBy("shard").applyInPandas(_shard(threshold), "a long, b long, similarity double")
-    return found.groupBy("a", "b").agg(F.first("similarity").alias("similarity"))
+    ordered = durable(ordered.select("set_id", F.col("x.w").alias("words"), F.size("x").alias("n")), "word-sets")
+    shards = max(1, math.ceil(ordered.count() / shard_sets))
+    sent = ordered.mapInPandas(_route(threshold, shards), "shard long, set_id long, n int, b0 long, b1 long, symbols array<long>")
+    found = sent.groupBy("shard").applyInPandas(_shard(threshold), "a long, b long").distinct()
+    side = lambda k: ordered.select(F.col("set_id").alias(k), F.col("words").alias(f"w_{k}"), F.col("n").alias(f"n_{k}"))
+    both = found.join(side("a"), "a").join(side("b"), "b")
+    shared = F.size(F.array_intersect("w_a", "w_b"))
+    exact = both.select("a", "b", (shared / (F.col("n_a") + F.col("n_b") - shared)).alias("similarity"))
+    return exact.where(F.col("similarity") >= threshold - 1e-12)
 
 
 def cross_fold_classes(records: DataFrame) -> DataFrame:
