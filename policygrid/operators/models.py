@@ -159,7 +159,7 @@ def parse_selected_titles(answer: str | None, titles: list[str]) -> list[str]:
         items = [str(i) for i in items] if isinstance(items, (list, tuple)) else [str(items)]
     except (ValueError, SyntaxError, MemoryError, RecursionError):
         items = re.split(r"[\n;,•]| - ", text)
-    items = [i.strip().strip("\"'[]").lower() for i in items]
+    items = [i.strip().strip("\"'[]-* ").lower() for i in items]
     items = [i for i in items if i] + [t for t in known if t in text.lower()]
     out: dict[str, None] = {}
     for item in items:
