@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from policygrid.session import durable, require_columns
 
 #: Vectors of a shard's graph about; a cell with more is dealt to several shards.
-SHARD = 6000
+SHARD = 3000
 #: Cells are fitted on at most so many vectors; every vector is indexed.
 FIT_SAMPLE = 40_000
 MOST_CELLS = 4096
@@ -22,6 +22,8 @@ MOST_CELLS = 4096
 PROBES = 2
 #: Out-degree after pruning, beam width, relaxation of the pruning distance.
 DEGREE, BEAM, ALPHA = 16, 32, 1.2
+#: Queries that search a graph in step.
+_TOGETHER = 256
 
 
 class Graph:
@@ -106,11 +108,11 @@ class Graph:
         s[c < 0] = -2
         return s
 
-    def search(self, queries: np.ndarray, beam: int, width: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, queries: np.ndarray, beam: int, width: int = 2) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1: none) and similarities of the `beam` best vectors met, best first; `width` nodes are expanded at a time."""
         ids, sims = [], []
-        for a in range(0, len(queries), 512):
-            i, s = self._search(np.ascontiguousarray(queries[a : a + 512], np.float32), beam, width)
+        for a in range(0, len(queries), _TOGETHER):
+            i, s = self._search(np.ascontiguousarray(queries[a : a + _TOGETHER], np.float32), beam, width)
             ids.append(i)
             sims.append(s)
         return (np.concatenate(ids), np.concatenate(sims)) if ids else (np.empty((0, beam), np.int64), np.empty((0, beam), np.float32))
