@@ -12,14 +12,17 @@ from policygrid.llm import overlap as O
 from policygrid.llm import packing as K
 from policygrid.llm import splitter as S
 from policygrid.llm import tokens as T
+from policygrid.functions.text import NO_VALUE_BARE, NO_VALUE_EVEN
 from policygrid.session import durable, table
 
 
+#: Neighbours at any distance take a wider search than pairs of high similarity.
+WIDE = {"probes": 3, "beam": 64}
 COLLECTIONS = {"chunk": "chunk_id", "policy_document": "document_id"}
 
 
 def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [N.most_similar(table(spark, sf_dir, t), key, "embedding").select(F.lit(t).alias("collection"), "*") for t, key in COLLECTIONS.items()]
+    parts = [N.most_similar(table(spark, sf_dir, t), key, "embedding", **WIDE).select(F.lit(t).alias("collection"), "*") for t, key in COLLECTIONS.items()]
     return parts[0].unionByName(parts[1])
 
 
@@ -82,3 +85,31 @@ QUERIES = {
     "p2_splits": p2_splits, "p2_found": p2_found, "p4_pieces": p4_pieces, "p4_found": p4_found, "p5_pairs": p5_pairs, "p5_found": p5_found, "p5_report": p5_report,
     "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_canonical": p10_canonical, "p10_found": p10_found,
 }
+
+SPACES = r"[\s\x{1c}-\x{1f}\x{b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+def _path(c: str) -> str:
+    even = f"regexp_replace({c}, '^{SPACES}|{SPACES}$', '', 'g')"
+    return rf"nullif(regexp_replace(regexp_replace({even}, '[/\\]+', '/', 'g'), '^(/|\.\.?/)+', ''), '')"
+
+
+def _even(c: str) -> str:
+    return f"lower(regexp_replace({c}, '{SPACES}', '', 'g'))"
+
+
+_BLANK = ", ".join("'" + v.replace("'", "''") + "'" for v in NO_VALUE_EVEN)
+_BARE = ", ".join("'" + v + "'" for v in NO_VALUE_BARE)
+_KEYS = f"""k AS (SELECT row_id, 'f' || {_even("family_id")} AS key FROM all_data_en WHERE {_even("family_id")} NOT IN ({_BLANK})
+   UNION ALL SELECT row_id, 'd' || {_even("document_id")} FROM all_data_en WHERE {_even("document_id")} NOT IN ({_BLANK})
+   UNION ALL SELECT row_id, 't' || t FROM (SELECT row_id, lower(regexp_replace(family_title, '({SPACES}|[\\pP\\pC])+', '', 'g')) AS t FROM all_data_en) WHERE t NOT IN ({_BARE})),
+   e AS MATERIALIZED (SELECT DISTINCT a.row_id AS a, b.row_id AS b FROM k a JOIN k b USING (key))"""
+SQL = {
+    "p2_found": f"""WITH RECURSIVE {_KEYS}, reach AS (SELECT row_id AS root, row_id FROM all_data_en UNION SELECT r.root, e.b FROM reach r JOIN e ON e.a = r.row_id WHERE r.root < e.b)
+        SELECT min(root) AS first_row_id, row_id FROM reach GROUP BY row_id HAVING min(root) < row_id""",
+    "p4_found": f"""SELECT row_id FROM all_data_en WHERE {_path("text_file_path")} IN (SELECT {_path("text_file_path")} FROM text_files WHERE length(page_content) > 1500)""",
+    "p5_found": """WITH s AS (SELECT row_id, fold, regexp_replace(regexp_replace(family_summary, '<!--.*?-->', ' ', 'gs'), '</?[A-Za-z!?][^<>]*>', ' ', 'g') AS t FROM group_kfold_assignments WHERE fold IS NOT NULL),
+        w AS MATERIALIZED (SELECT row_id, fold, list_distinct(regexp_extract_all(lower(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&')), '[\\p{L}\\p{N}]+')) AS w FROM s),
+        p AS (SELECT a.row_id AS row_id_a, b.row_id AS row_id_b, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) AS n FROM w a JOIN w b ON a.row_id < b.row_id AND a.fold <> b.fold WHERE len(a.w) > 0 AND len(b.w) > 0)
+        SELECT row_id_a, row_id_b FROM p WHERE i * 1.0 / (n - i) >= 0.8""",
+}
