@@ -35,7 +35,8 @@ class Graph:
     again when it has twice the degree.
     """
 
-    def __init__(self, x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, seed: int = 0) -> None:
+    def __init__(self, x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, seed: int = 0, least: float | None = None) -> None:
+        self.least = least  # proposals of at least that similarity are kept
         self.x, self.n = np.ascontiguousarray(x, np.float32), len(x)
         self.degree, self.beam, self.alpha = degree, beam, alpha
         self.out = np.full((self.n, 2 * degree), -1, np.int32)
@@ -43,22 +44,45 @@ class Graph:
         order = np.random.default_rng(seed).permutation(self.n)
         first = order[: min(self.n, 1024)]
         self.entry = np.empty(0, np.int64)
+        self.proposed: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if not self.n:
             return
         mean = self.x[first].mean(0)
         # Search begins at vectors spread over the first batch, nearest to its mean first.
         self.entry = first[np.argsort(-(self.x[first] @ mean))][:: max(1, len(first) // 8)][:8].astype(np.int64)
-        s = self.x[first] @ self.x[first].T
-        np.fill_diagonal(s, -2)
-        top = np.argsort(-s, 1)[:, : 2 * beam]
-        self._link(first, first[top], np.take_along_axis(s, top, 1))
+        self._link(first, *self._among(first, 2 * beam))
         done = len(first)
         while done < self.n:
             batch = order[done : done + min(done, 1024)]
             found, sims = self.search(self.x[batch], beam)
-            self._link(batch, found, sims)
+            # Vectors of a batch don't meet in the graph yet; they are compared directly.
+            beside, near = self._among(batch, 8)
+            self._link(batch, np.concatenate([found, beside], 1), np.concatenate([sims, near], 1))
             done += len(batch)
 
+    def _among(self, nodes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """The `most` nearest of `nodes` for each of them."""
+        s = self.x[nodes] @ self.x[nodes].T
+        np.fill_diagonal(s, -2)
+        top = np.argpartition(-s, min(most, len(nodes) - 1), 1)[:, :most]
+        got = np.take_along_axis(s, top, 1)
+        return np.where(got > -2, nodes[top], -1), got
+
+    def proposals(self, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Per vector the k best of all that were proposed to it, or it to them, as it was inserted, with at least that similarity."""
+        a, b, s = (np.concatenate(c) for c in zip(*self.proposed, strict=True)) if self.n else (np.empty(0, np.int64),) * 2 + (np.empty(0, np.float32),)
+        keep = s >= least
+        a, b, s = a[keep], b[keep], s[keep]
+        a, b, s = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([s, s])
+        _, once = np.unique(a * max(1, self.n) + b, return_index=True)
+        a, b, s = a[once], b[once], s[once]
+        order = np.lexsort((b, -s, a))
+        a, b, s = a[order], b[order], s[order]
+        place = np.arange(len(a)) - np.searchsorted(a, a)
+        ids, sims = np.full((self.n, k), -1, np.int64), np.full((self.n, k), -2, np.float32)
+        ids[a[place < k], place[place < k]], sims[a[place < k], place[place < k]] = b[place < k], s[place < k]
+        return ids, sims
+
     def _prune(self, nodes: np.ndarray, cand: np.ndarray, sims: np.ndarray) -> np.ndarray:
         """For each node at most `degree` of its candidates (-1: none), kept by robust pruning."""
         out = np.full((len(nodes), self.degree), -1, np.int32)
@@ -80,6 +104,9 @@ class Graph:
         return out
 
     def _link(self, nodes: np.ndarray, cand: np.ndarray, sims: np.ndarray) -> None:
+        if self.least is not None:
+            near = (sims >= self.least) & (cand >= 0)
+            self.proposed.append((np.repeat(nodes, near.sum(1)), cand[near].astype(np.int64), sims[near]))
         kept = self._prune(nodes, cand, sims)
         self.out[nodes, : self.degree] = kept
         self.used[nodes] = (kept >= 0).sum(1)
@@ -252,18 +279,24 @@ def _shard_search(k: int, width: int, beam: int, least: float | None):
         member = table.column("member").to_numpy(zero_copy_only=False).astype(bool)
         order = np.argsort(nid[member], kind="stable")  # the graph doesn't depend on the order of arrival
         index, base = np.flatnonzero(member)[order], nid[member][order]
-        graph = Graph(x[index], beam=beam)
+        graph = Graph(x[index], beam=beam, least=least)
         keys, ids, sims = [], [], []
-        for a in range(0, len(nid), 4096):
-            q = slice(a, a + 4096)
-            got, s = graph.search(x[q], beam)
+        # What the graph's own vectors are like was proposed as they were inserted; where any similarity counts they search once more.
+        again = np.flatnonzero(~member) if least is not None else np.arange(len(nid))
+        parts = [(index, *graph.proposals(k, least))] if least is not None and len(base) else []
+        parts += [(again[a : a + 4096], *graph.search(x[again[a : a + 4096]], beam)) for a in range(0, len(again), 4096)]
+        for rows, got, s in parts:
+            who = nid[rows]
             found = np.where(got >= 0, base[np.maximum(got, 0)] if len(base) else 0, -1)
-            s = np.where((got < 0) | (found == nid[q, None]), -2, s)
+            s = np.where((got < 0) | (found == who[:, None]), -2, s)
             top = np.argsort(-s, 1, kind="stable")[:, :k]
-            found, s = np.take_along_axis(found, top, 1), np.take_along_axis(s, top, 1)
+            found, got, s = np.take_along_axis(found, top, 1), np.take_along_axis(got, top, 1), np.take_along_axis(s, top, 1)
+            # The same products in the same order whichever side asks, so both directions of a pair have equal values.
+            r, c = np.nonzero(s > -2)
+            s[r, c] = np.einsum("ij,ij->i", x[rows[r]].astype(np.float64), graph.x[got[r, c]].astype(np.float64))
             ok = s > -2 if least is None else s >= least
             some = ok.any(1)
-            keys.append(nid[q][some])
+            keys.append(who[some])
             for f, t, o in zip(found[some], s[some], ok[some], strict=True):
                 ids.append(f[o])
                 sims.append(t[o])
