@@ -20,8 +20,8 @@ DELIMITERS = (";", "；", ",", "，", "、", "|", "/", "\t", "\n")
 QUOTES = {'"': '"', "'": "'", "“": "”", "«": "»"}
 _BULLET = re.compile(r"(?:[•‣◦▪●·*–—-]\s+|[•‣◦▪●]|\(?\d{1,3}[.)]\s+)")
 _EDGE = re.compile(r"^[\s\x1c-\x1f​﻿]+|[\s\x1c-\x1f​﻿]+$")
-#: Bits of a character spelled out and of a delimiter used, against values known by their frequency.
-CHAR_BITS, DIALECT_BITS = 6.0, 1.5
+#: Bits of a character spelled out in a field, of one in the book of known values (whose words recur), and of a delimiter declared.
+CHAR_BITS, BOOK_BITS, DIALECT_BITS = 6.0, 2.0, 1.5
 
 
 def _trim(s: str) -> str:
@@ -143,7 +143,7 @@ def _code_lengths(counts: DataFrame) -> DataFrame:
     totals = counts.groupBy("field_name").agg(F.sum("w").alias("total"))
     book = counts.where("w > 1").join(F.broadcast(totals), "field_name")  # one row per field name
     spelled = F.lit(CHAR_BITS) * (F.length("item") + 1)
-    return book.select("field_name", "item", F.least(F.log2(F.col("total") / F.col("w")) + spelled / F.col("w"), spelled).alias("bits"))
+    return book.select("field_name", "item", F.least(F.log2(F.col("total") / F.col("w")) + F.lit(BOOK_BITS) * (F.length("item") + 1) / F.col("w"), spelled).alias("bits"))
 
 
 def unpack_fields(df: DataFrame, row_id: str, fields: list[str], rounds: int = 2) -> DataFrame:
@@ -184,5 +184,4 @@ def unpack_fields(df: DataFrame, row_id: str, fields: list[str], rounds: int = 2
 def bits_of(counts: dict[str, float]) -> dict[str, float]:
     """The code book of _code_lengths() for counts held in memory; what tests compare with."""
     total = sum(counts.values())
-    spelled = {v: CHAR_BITS * (len(v) + 1) for v in counts}
-    return {v: min(math.log2(total / w) + spelled[v] / w, spelled[v]) for v, w in counts.items() if w > 1}
+    return {v: min(math.log2(total / w) + BOOK_BITS * (len(v) + 1) / w, CHAR_BITS * (len(v) + 1)) for v, w in counts.items() if w > 1}

@@ -43,7 +43,7 @@ def sidecars(spark: SparkSession, folder: str) -> DataFrame:
     The title is `title`, else `dataset.title`, else the file's stem; the description
     that of `dataset` if there is one, else its own. Unreadable files count as empty.
     """
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.meta.json").text(folder).select(F.col("value").alias("j"), F.col("_metadata.file_path").alias("meta_path"))
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.meta.json").text(folder, wholetext=True).select(F.col("value").alias("j"), F.col("_metadata.file_path").alias("meta_path"))
     text = lambda p: F.nullif(F.trim(F.get_json_object("j", p)), F.lit(""))
     stem = F.regexp_replace(F.element_at(F.split("meta_path", "/"), -1), r"\.meta\.json$", "")
     description = F.when(F.get_json_object("j", "$.dataset").isNotNull(), F.get_json_object("j", "$.dataset.description")).otherwise(F.get_json_object("j", "$.description"))
@@ -117,7 +117,7 @@ def read_folds(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_text_files(spark: SparkSession, folder: str) -> DataFrame:
     """text_file_path (relative to `folder`, normalised) and page_content of every text file under it."""
-    df = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(folder)
+    df = spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True)
     root = normal_path(F.regexp_replace(F.lit(folder), "^file:", ""))
     path = normal_path(F.regexp_replace(F.col("_metadata.file_path"), "^[a-z]+:", ""))
     return df.select(F.replace(path, F.concat(root, F.lit("/")), F.lit("")).alias("text_file_path"), F.col("value").alias("page_content"))
