@@ -88,8 +88,12 @@ def _encoder(path: str, count_only: bool):
 
 
 def pretoken_ends(text: str, a: int, b: int) -> list[int]:
-    """Ends in [a, b) of the pre-tokens of `text`; one at the very end isn't certain and is left out."""
-    return [m.end() for m in regex.finditer(PATTERN, text) if a <= m.end() < min(b, len(text))]
+    """Ends in [a, b) of the pre-tokens of `text` at which it can be parted.
+
+    One at the very end isn't certain, and white space is split by what follows it,
+    so ends after white space are left out too.
+    """
+    return [e for m in regex.finditer(PATTERN, text) if a <= (e := m.end()) < min(b, len(text)) and not text[e - 1].isspace()]
 
 
 def _chunks(size: int, overlap: int):

@@ -125,7 +125,7 @@ def _first(rows):
         for kind, v in (("f", f), ("t", t), ("d", d)):
             v = "".join((v or "").lower().split())
             v = re.sub(r"[\W_]", "", v) if kind == "t" else v
-            if v and v not in ("n/a", "unknown", "untitled", "-"):
+            if v and v not in ("n/a", "na", "unknown", "untitled", "-"):
                 up[find((kind, v))] = find(("r", r))
     best = {}
     for r, *_ in sorted(rows):
