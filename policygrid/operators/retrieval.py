@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,6 +88,48 @@ def block_cosine(queries: DataFrame, chunks: DataFrame, k: int | None = None, di
     return q.join(c, ["g", "part"]).select("q_ids", "q_m", "c_ids", "c_m").mapInArrow(_products(k, digits), f"query_id {qt}, chunk_id {ct}, score double")
 
 
+def _term_products(k: int | None, digits: int):
+    def run(postings: pa.Table, weights: pa.Table) -> pa.Table:
+        t, tw = postings.column("t").to_numpy(), weights.column("t").to_numpy()
+        chunk = postings.column("chunk_id").combine_chunks().dictionary_encode()
+        query = weights.column("query_id").combine_chunks().dictionary_encode()
+        ids, rows = chunk.dictionary, chunk.indices.to_numpy(zero_copy_only=False)
+        q_ids, q_rows = query.dictionary, query.indices.to_numpy(zero_copy_only=False)
+        terms = np.unique(tw)
+        w, p = weights.column("w").to_numpy(), postings.column("p").to_numpy()
+        m = np.zeros((len(terms), len(q_ids)))
+        m[np.searchsorted(terms, tw), q_rows] = w
+        place = np.minimum(np.searchsorted(terms, t), max(0, len(terms) - 1))
+        known = terms[place] == t if len(terms) else np.zeros(len(t), bool)
+        rows, place, p = rows[known], place[known], p[known]
+        order = np.argsort(rows, kind="stable")
+        rows, place, p = rows[order], place[order], p[order]
+        out = []
+        for a in range(0, len(ids), 512):
+            lo, hi = np.searchsorted(rows, (a, a + 512))
+            x = np.zeros((min(512, len(ids) - a), len(terms)))
+            x[rows[lo:hi] - a, place[lo:hi]] = p[lo:hi]
+            s = np.round(x @ m, digits) + 0.0
+            # Terms whose weight is 0 count as shared too.
+            shared = s != 0 if (w != 0).all() else (x > 0).astype(np.float32) @ (m != 0).astype(np.float32) + ((x > 0).astype(np.float32) @ _zero_weights(m, tw, terms, q_rows, w)) > 0
+            if k is not None and k < len(x):
+                ranked = np.where(shared, s, -np.inf)
+                shared &= ranked >= -np.partition(-ranked, k - 1, 0)[k - 1]
+            c, q = np.nonzero(shared)
+            out.append((q, c + a, s[c, q]))
+        cat = [np.concatenate([o[i] for o in out]) if out else np.empty(0, (np.int64, np.int64, np.float64)[i]) for i in range(3)]
+        return pa.table({"query_id": q_ids.take(pa.array(cat[0], pa.int64())), "chunk_id": ids.take(pa.array(cat[1], pa.int64())), "score": pa.array(cat[2], pa.float64())})
+
+    return run
+
+
+def _zero_weights(m: np.ndarray, tw: np.ndarray, terms: np.ndarray, q_rows: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """1 where a query has a term of weight 0."""
+    out = np.zeros(m.shape, np.float32)
+    out[np.searchsorted(terms, tw[w == 0]), q_rows[w == 0]] = 1
+    return out
+
+
 def pool_documents(scores: DataFrame, doc: str = "document_id") -> DataFrame:
     """query_id, document, score: the greatest chunk score of each document."""
     return scores.groupBy("query_id", doc).agg(F.max("score").alias("score"))
@@ -148,7 +191,7 @@ def distinct_documents(scores: DataFrame, chunk_docs: DataFrame, allowed: DataFr
 
 
 class BM25:
-    """Okapi BM25 over chunks: term statistics are aggregates, scoring is a join on terms.
+    """Okapi BM25 over chunks: term statistics are aggregates, scoring is a product of blocks.
 
     A negative idf is replaced by epsilon times the mean idf of the vocabulary.
     Query terms count as often as they occur; chunks that share no term are not in
@@ -169,11 +212,23 @@ class BM25:
         self.mean_idf = raw.agg(F.coalesce(F.avg("idf"), F.lit(0.0))).first()[0]
         self.idf = raw.select("term", F.when(F.col("idf") < 0, F.lit(epsilon * self.mean_idf)).otherwise(F.col("idf")).alias("idf"))
 
-    def score(self, queries: DataFrame, key: str, text: str, digits: int = 6) -> DataFrame:
-        """query_id, chunk_id, score of the chunks that share a term with a query."""
+    def score(self, queries: DataFrame, key: str, text: str, digits: int = 6, k: int | None = None) -> DataFrame:
+        """query_id, chunk_id, score of the chunks that share a term with a query; with `k` at least its k best.
+
+        Postings of the terms that queries use are gathered by blocks of chunks, and
+        every block meets every block of queries (an equi-join on the two block
+        numbers); a pair of blocks is one matrix product over the terms of its
+        queries. With `k` each pair of blocks keeps its k best per query and all ties.
+        """
         terms = queries.select(F.col(key).alias("query_id"), F.explode(tokens(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
-        weights = terms.join(self.idf, "term").select("query_id", "term", (F.col("qf") * F.col("idf")).alias("w"))
+        weights = durable(terms.join(self.idf, "term").select("query_id", "term", F.xxhash64("term").alias("t"), (F.col("qf") * F.col("idf")).alias("w")), "weights")
+        q_blocks = max(1, math.ceil(weights.select("query_id").distinct().count() / 256))
+        c_blocks = max(1, math.ceil(self.n / BLOCK))
         f, dl = F.col("f").cast("double"), F.col("dl")
         part = f * (self.k1 + 1) / (f + self.k1 * (1 - self.b + self.b * dl / self.avgdl))
-        used = self.postings.join(weights.select("term").distinct(), "term", "left_semi").select("chunk_id", "term", part.alias("p"))
-        return used.join(weights, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("w") * F.col("p")), digits).alias("score"))
+        used = self.postings.join(weights.select("term").distinct(), "term", "left_semi").select(
+            "chunk_id", F.xxhash64("term").alias("t"), part.alias("p"), F.pmod(F.xxhash64("chunk_id"), F.lit(c_blocks)).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
+        wanted = weights.select("query_id", "t", "w", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c_blocks - 1).cast("long"))).alias("cb"))
+        qt, ct = weights.schema["query_id"].dataType.simpleString(), self.postings.schema["chunk_id"].dataType.simpleString()
+        pairs = used.groupBy("cb", "qb").cogroup(wanted.groupBy("cb", "qb")).applyInArrow(_term_products(k, digits), f"query_id {qt}, chunk_id {ct}, score double")
+        return pairs

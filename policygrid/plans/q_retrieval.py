@@ -141,13 +141,13 @@ def trace_hit1_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("query_id", "retrieved_doc_id", "retrieved_score", "hit1", "n_relevant")
 
 
-def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _bm25(spark: SparkSession, sf_dir: str, k: int | None = None) -> DataFrame:
     c = table(spark, sf_dir, "chunk").where("trim(document_id) <> ''")
-    return retrieval.BM25(c, "chunk_id", "text").score(text_queries(spark, sf_dir), "query_id", "summary").join(c.select("chunk_id", "document_id"), "chunk_id")
+    return retrieval.BM25(c, "chunk_id", "text").score(text_queries(spark, sf_dir), "query_id", "summary", k=k).join(c.select("chunk_id", "document_id"), "chunk_id")
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = retrieval.top_per(_bm25(spark, sf_dir), ["query_id"], [F.col("score").desc(), F.col("chunk_id").asc()], 3, salt=F.col("chunk_id"))
+    top = retrieval.top_per(_bm25(spark, sf_dir, 3), ["query_id"], [F.col("score").desc(), F.col("chunk_id").asc()], 3, salt=F.col("chunk_id"))
     return top.select("query_id", "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
