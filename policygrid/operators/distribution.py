@@ -45,17 +45,13 @@ def score_histogram(df: DataFrame, score: str, by: str, bins: int = 30) -> DataF
     Two passes of map-side aggregates; the range is one row. Equal scores fall into
     one bin of width 0, whose density is null.
     """
-    df = df.where(F.col(score).isNotNull() & F.col(by).isNotNull())
-    edge = df.agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
-    with_range = df.select(by, F.col(score).cast("double").alias("_s")).join(F.broadcast(edge))
-    width = (F.col("_hi") - F.col("_lo")) / bins
-    place = F.when(width > 0, F.least(F.floor((F.col("_s") - F.col("_lo")) / width), F.lit(bins - 1))).otherwise(0)
-    counts = with_range.groupBy(by, place.cast("int").alias("bin"), "_lo", "_hi").agg(F.count(F.lit(1)).alias("n"))
+    df = df.where(F.col(score).isNotNull() & F.col(by).isNotNull()).select(by, F.col(score).cast("double").alias("_s"))
+    lo, hi = df.agg(F.min("_s"), F.max("_s")).first()
+    lo, width = F.lit(lo).cast("double"), F.lit(((hi or 0) - (lo or 0)) / bins)
+    place = F.when(width > 0, F.least(F.floor((F.col("_s") - lo) / width), F.lit(bins - 1))).otherwise(0)
+    counts = df.groupBy(by, place.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(W.partitionBy(by))  # at most `bins` rows per class
-    return counts.select(
-        by, "bin", (F.col("_lo") + F.col("bin") * width).alias("lo"), (F.col("_lo") + (F.col("bin") + 1) * width).alias("hi"), "n",
-        F.try_divide(F.col("n").cast("double"), total * width).alias("density"),
-    )
+    return counts.select(by, "bin", (lo + F.col("bin") * width).alias("lo"), (lo + (F.col("bin") + 1) * width).alias("hi"), "n", F.try_divide(F.col("n").cast("double"), total * width).alias("density"))
 
 
 def inverted_index(df: DataFrame, key: str, values: Column, name: str = "value") -> DataFrame:

@@ -26,14 +26,16 @@ def scale(long: DataFrame, params: DataFrame, value: str = "value") -> DataFrame
     return long.join(params, "feature").withColumn(value, (F.coalesce(F.col(value), F.lit(0.0)) - F.col("mean")) / F.col("std")).drop("mean", "std")
 
 
-def window_cells(anchors: DataFrame, panel: DataFrame, windows: list[int], features: DataFrame) -> DataFrame:
-    """anchor columns, window, pos, year, feature, value for the years [y - w + 1, y] of each anchor (country, year).
+def window_cells(anchors: DataFrame, panel: DataFrame, windows: list[int], features: list[str]) -> DataFrame:
+    """anchor columns, window, pos, step_year, feature, value for the years [y - w + 1, y] of each anchor (country, year).
 
-    Years a country lacks come out as 0 for every feature. The largest window is
-    joined once; smaller ones are its last positions.
+    `features` are the panel's columns. Years a country lacks come out as 0 for every
+    feature. The largest window is joined once, on country, year and feature; smaller
+    ones are its last positions.
     """
     most = max(windows)
-    wanted = anchors.select("*", F.explode(F.sequence(F.col("year") - most + 1, F.col("year"))).alias("_y")).join(features.select("feature").distinct())
+    each = anchors.select("*", F.explode(F.sequence(F.col("year") - most + 1, F.col("year"))).alias("_y"))
+    wanted = each.select("*", F.explode(F.array(*[F.lit(f) for f in features])).alias("feature"))
     cells = panel.select(F.col("country"), F.col("year").alias("_y"), "feature", F.col("value"))
     joined = wanted.join(cells, ["country", "_y", "feature"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
     each = joined.withColumn("window", F.explode(F.array(*[F.lit(w) for w in sorted(set(windows))]))).where(F.col("_y") > F.col("year") - F.col("window"))

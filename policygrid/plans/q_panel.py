@@ -78,9 +78,9 @@ def _anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.where(f"country <> '' and year between {FIRST} and {LAST}")
 
 
-def _wide_features(c: DataFrame) -> DataFrame:
-    """Features of the first table: the panel that anchors get windows of."""
-    return c.where("table_idx = 0").select("feature").distinct()
+def _wide_features(c: DataFrame) -> list[str]:
+    """Features of the first table, in order: the columns of the panel that anchors get windows of."""
+    return sorted(r["feature"] for r in c.where("table_idx = 0").select("feature").distinct().collect())
 
 
 def window_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,8 +93,8 @@ def window_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
 def table_text_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five-year tensor of each document as text, with the features of the first table in order."""
     c = durable(cells(spark, sf_dir), "cells")
-    names = sorted(r["feature"] for r in _wide_features(c).collect())  # the columns of one table
-    t = tensors.window_tensor(tensors.window_cells(_anchors(spark, sf_dir), c, [5], _wide_features(c)), ["document_id"])
+    names = _wide_features(c)
+    t = tensors.window_tensor(tensors.window_cells(_anchors(spark, sf_dir), c, [5], names), ["document_id"])
     return t.select("document_id", models.render_table(F.col("tensor"), names).alias("text"))
 
 

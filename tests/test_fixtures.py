@@ -75,7 +75,7 @@ def test_train_only_scaling(spark):
 def test_windows_pad_with_zero_years(spark):
     _, scaled = _scaled(spark)
     anchors = spark.createDataFrame([("test_doc_1", "Testland", 2004)], "doc string, country string, year int")
-    out = {r["window"]: r["tensor"] for r in tensors.window_tensor(tensors.window_cells(anchors, scaled, [1, 2, 5, 10], scaled), ["doc"]).collect()}
+    out = {r["window"]: r["tensor"] for r in tensors.window_tensor(tensors.window_cells(anchors, scaled, [1, 2, 5, 10], ["feature_a", "feature_b"]), ["doc"]).collect()}
     assert [len(out[w]) for w in (1, 2, 5, 10)] == [1, 2, 5, 10]
     assert out[1][0] == pytest.approx([3.666667, 3.601470], abs=1e-6)
     assert out[10][:5] == [[0.0, 0.0]] * 5 and out[10][5] == pytest.approx([1.0, 0.171499], abs=1e-6)
