@@ -64,14 +64,14 @@ def at_risk(all_edges: DataFrame) -> DataFrame:
 
 
 def related_documents(policies: DataFrame) -> DataFrame:
-    """document_id, related: for each document the other documents of its family title, as one array of distinct ids.
+    """family_title, document_id, n_related: each document's family and how many other documents it links it with.
 
-    One row per document: the family's ids are gathered once per family and the
-    document's own taken out, so no pair is ever formed by a self-join.
+    The family is the class of its members; links within it are counted, not listed,
+    so a family of any size costs a row per document.
     """
     docs = policies.select(F.trim("document_id").alias("document_id"), F.trim("family_title").alias("family_title")).where("document_id <> '' and family_title <> ''").distinct()
-    families = docs.groupBy("family_title").agg(F.array_sort(F.collect_set("document_id")).alias("ids")).where(F.size("ids") > 1)
-    return docs.join(families, "family_title").select("family_title", "document_id", F.array_remove("ids", F.col("document_id")).alias("related"))
+    families = docs.groupBy("family_title").agg((F.count(F.lit(1)) - 1).alias("n_related")).where("n_related > 0")
+    return docs.join(families, "family_title").select("family_title", "document_id", "n_related")
 
 
 def chunk_edges(chunks: DataFrame) -> DataFrame:

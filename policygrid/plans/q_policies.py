@@ -262,7 +262,7 @@ def graph_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_related_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.related_documents(_filings(spark, sf_dir)).select("family_title", "document_id", F.array_join("related", ";").alias("related"))
+    return graph.related_documents(_filings(spark, sf_dir))
 
 
 def graph_chunk_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -435,7 +435,7 @@ SQL = {
     "graph_nodes": f"{_E} SELECT label, count(*) AS n FROM (SELECT src_label AS label, src AS key FROM e UNION SELECT dst_label, dst FROM e) GROUP BY label",
     "graph_hierarchy": _HIER,
     "graph_related_docs": """WITH d AS (SELECT DISTINCT trim(document_id) AS document_id, trim(family_title) AS family_title FROM all_data_en WHERE trim(document_id) <> '' AND trim(family_title) <> '')
-        SELECT a.family_title, a.document_id, string_agg(b.document_id, ';' ORDER BY b.document_id) AS related FROM d a JOIN d b ON a.family_title = b.family_title AND a.document_id <> b.document_id GROUP BY ALL""",
+        SELECT a.family_title, a.document_id, count(*) AS n_related FROM d a JOIN d b ON a.family_title = b.family_title AND a.document_id <> b.document_id GROUP BY ALL""",
     "graph_chunk_edges": "SELECT DISTINCT trim(document_id) AS src, trim(chunk_id) AS dst FROM chunk WHERE trim(document_id) <> '' AND trim(chunk_id) <> ''",
     "graph_entity_lookup": f"{_E} SELECT dst AS document_id FROM e WHERE rel = 'APPLIES' AND src = 'Meridia' INTERSECT SELECT src FROM e WHERE dst_label = 'Sector' AND dst = 'Energy'",
     "graph_qa_sectors_by_region": f"""{_E} SELECT r.dst AS region, s.dst AS sector, count(DISTINCT s.src) AS n_docs FROM e a JOIN e m ON m.rel = 'IS_PART_OF' AND m.src_label = 'Country' AND m.src = a.src JOIN e r ON r.rel = 'IS_PART_OF' AND r.src_label = 'SubRegion' AND r.src = m.dst
