@@ -214,9 +214,9 @@ def lookalike_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     visible = F.col("canonical").rlike(r"(?U)[^\s\p{C}]")
     marked = canonical_text(docs.select(key, text), text).where(visible).select(F.col(key).alias("doc_id"), F.md5("canonical").alias("look"), F.md5(text).alias("spelling"))
     marked = durable(marked, "looks")
-    spellings = marked.groupBy("look", "spelling").agg(F.count(F.lit(1)).alias("n"))
-    several = spellings.groupBy("look").agg(F.collect_list("spelling").alias("all")).where(F.size("all") > 1)
-    pairs = several.select(F.explode("all").alias("spelling"), "all").select("spelling", F.explode("all").alias("other")).where("spelling <> other")
+    spellings = durable(marked.select("look", "spelling").distinct(), "spellings")
+    several = spellings.groupBy("look").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("look")
+    pairs = spellings.join(several, "look", "left_semi").join(spellings.select("look", F.col("spelling").alias("other")), "look").where("spelling <> other")
     a = marked.select(F.col("doc_id").alias("doc_id_a"), "spelling")
     b = marked.select(F.col("doc_id").alias("doc_id_b"), F.col("spelling").alias("other"))
     return pairs.join(a, "spelling").join(b, "other").where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b")
