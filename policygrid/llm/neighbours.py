@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from policygrid.functions.ordering import top_per
 from policygrid.session import durable, require_columns
 
 #: Vectors of a shard's graph about; a cell with more is dealt to several shards.
@@ -280,31 +281,35 @@ def _shard_search(k: int, width: int, beam: int, least: float | None):
         order = np.argsort(nid[member], kind="stable")  # the graph doesn't depend on the order of arrival
         index, base = np.flatnonzero(member)[order], nid[member][order]
         graph = Graph(x[index], beam=beam, least=least)
-        keys, ids, sims = [], [], []
         # What the graph's own vectors are like was proposed as they were inserted; where any similarity counts they search once more.
         again = np.flatnonzero(~member) if least is not None else np.arange(len(nid))
         parts = [(index, *graph.proposals(k, least))] if least is not None and len(base) else []
         parts += [(again[a : a + 4096], *graph.search(x[again[a : a + 4096]], beam)) for a in range(0, len(again), 4096)]
+        one, two, value = [], [], []
         for rows, got, s in parts:
-            who = nid[rows]
-            found = np.where(got >= 0, base[np.maximum(got, 0)] if len(base) else 0, -1)
-            s = np.where((got < 0) | (found == who[:, None]), -2, s)
+            s = np.where((got < 0) | (nid[rows][:, None] == (base[np.maximum(got, 0)] if len(base) else -1)), -2, s)
             top = np.argsort(-s, 1, kind="stable")[:, :k]
-            found, got, s = np.take_along_axis(found, top, 1), np.take_along_axis(got, top, 1), np.take_along_axis(s, top, 1)
+            r, c = np.nonzero(np.take_along_axis(s, top, 1) > (-2 if least is None else least - 1e-6))
+            at = got[r, top[r, c]]
             # The same products in the same order whichever side asks, so both directions of a pair have equal values.
-            r, c = np.nonzero(s > -2)
-            s[r, c] = np.einsum("ij,ij->i", x[rows[r]].astype(np.float64), graph.x[got[r, c]].astype(np.float64))
-            ok = s > -2 if least is None else s >= least
-            some = ok.any(1)
-            keys.append(who[some])
-            for f, t, o in zip(found[some], s[some], ok[some], strict=True):
-                ids.append(f[o])
-                sims.append(t[o])
-        offsets = pa.array(np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32))
-        cat = lambda v, t: np.concatenate(v).astype(t) if v else np.empty(0, t)
-        return pa.table({
-            "nid": cat(keys, np.int64), "ids": pa.ListArray.from_arrays(offsets, pa.array(cat(ids, np.int64))), "sims": pa.ListArray.from_arrays(offsets, pa.array(cat(sims, np.float32))),
-        })
+            exact = np.einsum("ij,ij->i", x[rows[r]].astype(np.float64), graph.x[at].astype(np.float64)).astype(np.float32)
+            keep = exact >= (-2 if least is None else least)
+            one.append(nid[rows[r]][keep])
+            two.append(base[at[keep]])
+            value.append(exact[keep])
+        a, b, s = (np.concatenate(v) if v else np.empty(0) for v in (one, two, value))
+        # A pair counts for both; of each vector only the k best go on, so one that many are near to costs no more.
+        a, b, s = np.concatenate([a, b]).astype(np.int64), np.concatenate([b, a]).astype(np.int64), np.concatenate([s, s])
+        order = np.lexsort((b, -s, a))
+        a, b, s = a[order], b[order], s[order]
+        fresh = np.ones(len(a), bool)
+        fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        a, b, s = a[fresh], b[fresh], s[fresh]
+        best = np.arange(len(a)) - np.searchsorted(a, a) < k
+        a, b, s = a[best], b[best], s[best]
+        keys, begin = np.unique(a, return_index=True)
+        offsets = pa.array(np.append(begin, len(a)).astype(np.int32))
+        return pa.table({"nid": keys, "ids": pa.ListArray.from_arrays(offsets, pa.array(b)), "sims": pa.ListArray.from_arrays(offsets, pa.array(s.astype(np.float32)))})
 
     return run
 
@@ -338,14 +343,9 @@ def similar_classes(vectors: DataFrame, k: int, width: int = 64, probes: int = P
         own = F.col("s") + F.pmod(F.xxhash64("nid"), F.col("d")).cast("int")
         sent = each.select("nid", "vec", F.explode(F.sequence(F.col("s"), F.col("s") + F.col("d") - 1)).alias("shard"), ((F.col("rank") == 0) & True).alias("first"), own.alias("own")).withColumn("member", F.col("first") & (F.col("shard") == F.col("own")))
     found = sent.select("shard", "nid", "vec", "member").groupBy("shard").applyInArrow(_shard_search(k, width, beam, least), "nid long, ids array<long>, sims array<float>")
-    # What a search in one direction missed the other may have met; a vector many others are near to keeps k by a salted merge.
-    pairs = found.select("nid", F.explode(F.arrays_zip("ids", "sims")).alias("e"))
-    # Both directions from one row, not from a union, which would search every shard twice.
-    turned = F.array(F.struct(F.col("nid"), F.col("e.ids").alias("other")), F.struct(F.col("e.ids").alias("nid"), F.col("nid").alias("other")))
-    both = pairs.select(F.explode(turned).alias("p"), (-F.col("e.sims")).alias("far")).select("p.nid", "p.other", "far")
-    top = lambda df, keys, c: df.groupBy(*keys).agg(F.slice(F.array_sort(F.array_distinct(c)), 1, k).alias("x"))
-    salted = top(both, ["nid", F.pmod(F.xxhash64("other"), F.lit(4)).alias("salt")], F.collect_list(F.struct("far", "other")))
-    best = top(salted, ["nid"], F.flatten(F.collect_list("x")))
+    # At most k rows from each shard that indexes or searches a vector.
+    listed = found.select("nid", F.arrays_zip((F.transform("sims", lambda v: -v)).alias("far"), F.col("ids").alias("other")).alias("x"))
+    best = listed.groupBy("nid").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("x")))), 1, k).alias("x"))
     return best.select("nid", F.explode("x").alias("e")).select("nid", F.col("e.other").alias("other"), (-F.col("e.far")).alias("similarity"))
 
 
@@ -372,8 +372,9 @@ def most_similar(rows: DataFrame, key: str, embedding: str, k: int = 5, width: i
     names = reps.select("nid", "rep")
     by_name = near.join(names, "nid").join(names.select(F.col("nid").alias("other"), F.col("rep").alias("other_rep")), "other").select("rep", "other_rep", "similarity")
     copies = member.select("rep", F.col("id")).union(member.select("rep", F.col("rep").alias("id")).distinct())
-    spread = member.select("rep", F.abs(F.xxhash64("id") % 64).alias("salt"), "id").groupBy("rep", "salt").agg(F.slice(F.array_sort(F.collect_set("id")), 1, k + 1).alias("ids"))
-    firsts = spread.groupBy("rep").agg(F.slice(F.array_sort(F.array_union(F.array(F.first("rep")), F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
+    # The first k + 1 members of each class, ranked in salted parts first, as a class can hold a large share of all rows.
+    leading = top_per(copies, ["rep"], [F.col("id").asc()], k + 1, salt=F.col("id"))
+    firsts = leading.groupBy("rep").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     own = copies.join(firsts, "rep").select("id", F.explode("ids").alias("other_id")).where("id <> other_id").withColumn("similarity", F.lit(1.0))
     others = by_name.join(firsts.select(F.col("rep").alias("other_rep"), "ids"), "other_rep", "left").select("rep", F.col("similarity").cast("double").alias("similarity"), F.explode(F.slice(F.coalesce("ids", F.array("other_rep")), 1, k)).alias("other_id"))
     per_rep = others.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("far"), "other_id"))), 1, k).alias("near"))
