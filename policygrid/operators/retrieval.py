@@ -36,6 +36,7 @@ def usable_vector(v: Column, width: int) -> Column:
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of (ids, labels, unit vectors as bytes, group) from rows of (id, vec, group, label)."""
     for batch in batches:
         groups = batch.column(2).to_numpy(zero_copy_only=False)
         for g in np.unique(groups):
@@ -45,32 +46,73 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
                 norm = np.linalg.norm(x, axis=1, keepdims=True)
                 unit = x / np.where(norm > 0, norm, 1)
-                ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([unit.tobytes()], pa.binary()), pa.array([g], pa.int64())], ["ids", "m", "g"])
+                one = pa.array([0, part.num_rows], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(one, part.column(0)), pa.ListArray.from_arrays(one, part.column(3)), pa.array([unit.tobytes()], pa.binary()), pa.array([g], pa.int64())], ["ids", "labels", "m", "g"])
 
 
-def _products(k: int | None, digits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                qi, ci = (batch.column(i)[r].values for i in (0, 2))
-                if not len(qi) or not len(ci):
-                    continue
+def _blocks(batches: Iterator[pa.RecordBatch], digits: int) -> Iterator[tuple[pa.Array, pa.Array, pa.Array, np.ndarray]]:
+    """Query ids, chunk ids, chunk labels and rounded scores of each pair of blocks."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            qi, ci, li = (batch.column(i)[r].values for i in (0, 2, 4))
+            if len(qi) and len(ci):
                 q = np.frombuffer(batch.column(1)[r].as_buffer(), np.float64).reshape(len(qi), -1)
                 c = np.frombuffer(batch.column(3)[r].as_buffer(), np.float64).reshape(len(ci), -1)
-                s = np.round(q @ c.T, digits) + 0.0
-                n = len(ci) if k is None else min(k, len(ci))
-                if n < len(ci):
-                    # Ties at the edge must not be cut by chance: all of the k-th score go on.
-                    edge = -np.partition(-s, n - 1, 1)[:, n - 1 : n]
-                    rows, cols = np.nonzero(s >= edge)
-                else:
-                    rows, cols = np.divmod(np.arange(s.size), len(ci))
-                yield pa.RecordBatch.from_arrays([qi.take(pa.array(rows)), ci.take(pa.array(cols)), pa.array(s[rows, cols])], ["query_id", "chunk_id", "score"])
+                yield qi, ci, li, np.round(q @ c.T, digits) + 0.0
+
+
+def _products(k: int | None, digits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for qi, ci, _, s in _blocks(batches, digits):
+            n = len(ci) if k is None else min(k, len(ci))
+            if n < len(ci):
+                # Ties at the edge must not be cut by chance: all of the k-th score go on.
+                edge = -np.partition(-s, n - 1, 1)[:, n - 1 : n]
+                rows, cols = np.nonzero(s >= edge)
+            else:
+                rows, cols = np.divmod(np.arange(s.size), len(ci))
+            yield pa.RecordBatch.from_arrays([qi.take(pa.array(rows)), ci.take(pa.array(cols)), pa.array(s[rows, cols])], ["query_id", "chunk_id", "score"])
+
+    return run
+
+
+def _pooled(digits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for qi, ci, li, s in _blocks(batches, digits):
+            label = li.dictionary_encode()
+            at = label.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(at, kind="stable")
+            begin = np.searchsorted(at[order], np.arange(len(label.dictionary)))
+            place = {c: j for j, c in enumerate(ci.to_pylist())}
+            same = [(i, place[q]) for i, q in enumerate(qi.to_pylist()) if q in place]
+            counted = np.ones(s.shape)
+            if same:
+                i, j = np.array(same).T
+                counted[i, j], s[i, j] = 0, -np.inf
+            best = np.maximum.reduceat(s[:, order], begin, 1)
+            total = np.add.reduceat(np.where(counted > 0, s, 0)[:, order], begin, 1)
+            n = np.add.reduceat(counted[:, order], begin, 1)
+            rows, cols = np.nonzero(n > 0)
+            yield pa.RecordBatch.from_arrays(
+                [qi.take(pa.array(rows)), label.dictionary.take(pa.array(cols)), pa.array(best[rows, cols]), pa.array(total[rows, cols]), pa.array(n[rows, cols].astype(np.int64))], ["query_id", "label", "best", "total", "n"]
+            )
 
     return run
 
 
+def _block_pairs(queries: DataFrame, chunks: DataFrame, group: str | None, label: str | None) -> tuple[DataFrame, str, str, str]:
+    qt, ct = queries.schema["query_id"].dataType.simpleString(), chunks.schema["chunk_id"].dataType.simpleString()
+    parts = 32
+    g = (F.col(group) if group else F.lit(0)).cast("long").alias("g")
+    own = F.col(label) if label else F.lit(None).cast("string")
+    lt = chunks.schema[label].dataType.simpleString() if label else "string"
+    q = queries.select("query_id", "vec", g, F.lit(None).cast("string").alias("l")).where("g is not null").mapInArrow(_packed, f"ids array<{qt}>, labels array<string>, m binary, g long")
+    c = chunks.select("chunk_id", "vec", g, own.alias("l")).where("g is not null").mapInArrow(_packed, f"ids array<{ct}>, labels array<{lt}>, m binary, g long")
+    left = q.select("g", F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    right = c.select("g", F.col("ids").alias("c_ids"), F.col("labels").alias("c_labels"), F.col("m").alias("c_m"), F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(parts)).cast("int").alias("part"))
+    return left.join(right, ["g", "part"]).select("q_ids", "q_m", "c_ids", "c_m", "c_labels"), qt, ct, lt
+
+
 def block_cosine(queries: DataFrame, chunks: DataFrame, k: int | None = None, digits: int = 10, group: str | None = None) -> DataFrame:
     """query_id, chunk_id, score of a query set (query_id, vec) against all chunks (chunk_id, vec), exact.
 
@@ -80,12 +122,19 @@ def block_cosine(queries: DataFrame, chunks: DataFrame, k: int | None = None, di
     such as the fold) only rows of equal groups meet. With `k` each block pair keeps
     its k best per query and all ties with the k-th. Vectors must be usable.
     """
-    qt, ct = queries.schema["query_id"].dataType.simpleString(), chunks.schema["chunk_id"].dataType.simpleString()
-    parts = 32
-    g = (F.col(group) if group else F.lit(0)).cast("long").alias("g")
-    q = queries.select("query_id", "vec", g).where("g is not null").mapInArrow(_packed, f"ids array<{qt}>, m binary, g long").select("g", F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    c = chunks.select("chunk_id", "vec", g).where("g is not null").mapInArrow(_packed, f"ids array<{ct}>, m binary, g long").select("g", F.col("ids").alias("c_ids"), F.col("m").alias("c_m"), F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(parts)).cast("int").alias("part"))
-    return q.join(c, ["g", "part"]).select("q_ids", "q_m", "c_ids", "c_m").mapInArrow(_products(k, digits), f"query_id {qt}, chunk_id {ct}, score double")
+    pairs, qt, ct, _ = _block_pairs(queries, chunks, group, None)
+    return pairs.mapInArrow(_products(k, digits), f"query_id {qt}, chunk_id {ct}, score double")
+
+
+def block_pool(queries: DataFrame, chunks: DataFrame, label: str = "document_id", digits: int = 10, group: str | None = None) -> DataFrame:
+    """query_id, label, score, mean_score, n_chunks: block_cosine() pooled by a column of the chunks.
+
+    A pair of blocks is pooled where it is multiplied, so rows of single chunks are
+    never made. A chunk doesn't count for the query that has its id.
+    """
+    pairs, qt, _, lt = _block_pairs(queries, chunks, group, label)
+    part = pairs.mapInArrow(_pooled(digits), f"query_id {qt}, label {lt}, best double, total double, n long")
+    return part.groupBy("query_id", F.col("label").alias(label)).agg(F.max("best").alias("score"), (F.sum("total") / F.sum("n")).alias("mean_score"), F.sum("n").alias("n_chunks"))
 
 
 def _term_products(k: int | None, digits: int):

@@ -43,9 +43,8 @@ def chunk_scores(spark: SparkSession, sf_dir: str, k: int | None = None) -> Data
 
 def document_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, document_id, score (best chunk), mean_score, n_chunks; kept, as several plans read it."""
-    docs = chunk_set(spark, sf_dir).select("chunk_id", "document_id")
-    s = chunk_scores(spark, sf_dir).join(docs, "chunk_id").groupBy("query_id", "document_id")
-    return durable(s.agg(F.max("score").alias("score"), F.round(F.avg("score"), 9).alias("mean_score"), F.count(F.lit(1)).alias("n_chunks")), "doc-scores")
+    pooled = retrieval.block_pool(query_set(spark, sf_dir), chunk_set(spark, sf_dir), group="fold")
+    return durable(pooled.withColumn("mean_score", F.round("mean_score", 9)), "doc-scores")
 
 
 def retrieval_metrics_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
