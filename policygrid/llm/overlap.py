@@ -16,6 +16,8 @@ from policygrid.session import durable, require_columns
 THRESHOLD = 0.8
 #: Different word sets that one index shard holds about.
 SHARD_SETS = 4096
+#: A pair of words that more sets may share is worked off in pairs of blocks of about so many sets.
+HOT = 20_000
 
 
 def word_set(c: Column) -> Column:
@@ -117,21 +119,50 @@ def bitmap(words: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _route(threshold: float, shards: int):
-    """Per set and shard the pair symbols that go there, with what is needed to judge a match."""
+def _mixed(*parts: np.ndarray | int) -> np.ndarray:
+    """One 64-bit hash of several numbers."""
+    h = np.uint64(0x51ED270B0A1F3C97)
+    with np.errstate(over="ignore"):
+        for x in parts:
+            h = (h ^ np.asarray(x).astype(np.uint64)) * _MIX[0]
+            h = h ^ (h >> np.uint64(32))
+    return h
+
+
+def _route(threshold: float, shards: int, hot: int):
+    """Per set and shard the pair symbols that go there, with what is needed to judge a match.
+
+    A symbol whose two words are both in more than `hot` sets may gather as many in
+    one shard. Its sets are dealt to blocks, and each pair of blocks is a shard of its
+    own (numbered below 0), so that no task holds more than two blocks.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             shard, owner, symbols, bits = [], [], [], []
-            for k, w in enumerate(pdf["words"]):
-                w = np.asarray(w, np.int64)
-                sym = np.unique(pair_symbols(w[: prefix_length(len(w), threshold, 2)]))
+            for k, (key, w, m) in enumerate(zip(pdf["set_id"], pdf["words"], pdf["many"], strict=True)):
+                w, m = np.asarray(w, np.int64), np.asarray(m, np.int64)
+                first = prefix_length(len(w), threshold, 2)
+                sym = pair_symbols(w[:first])
+                i, j = np.triu_indices(first, 1)
+                shared = np.minimum(m[i], m[j])
+                sym, once = np.unique(sym, return_index=True)
+                shared = shared[once]
+                for s, c in zip(sym[shared > hot], shared[shared > hot], strict=True):
+                    blocks = -(-int(c) // hot)
+                    own = int(_mixed(key, s)) % blocks
+                    other = np.arange(blocks)
+                    at = _mixed(s, np.minimum(own, other), np.maximum(own, other)) >> np.uint64(1)
+                    shard.extend((-1 - at.astype(np.int64)).tolist())
+                    owner.extend([k] * blocks)
+                    symbols.extend([np.array([s])] * blocks)
+                sym = sym[shared <= hot]
                 to = sym.astype(np.uint64) % np.uint64(shards)
                 order = np.argsort(to, kind="stable")
                 where, begin = np.unique(to[order], return_index=True)
                 shard.extend(where.tolist())
                 owner.extend([k] * len(where))
-                symbols.extend(np.split(sym[order], begin[1:]))
+                symbols.extend(np.split(sym[order], begin[1:]) if len(where) else [])
                 bits.append(bitmap(w))
             owner = np.array(owner, np.int64)
             b = np.array(bits, np.int64).reshape(-1, 2)
@@ -184,7 +215,7 @@ def _shard(threshold: float):
     return run
 
 
-def similar_sets(sets: DataFrame, threshold: float = THRESHOLD, shard_sets: int = SHARD_SETS) -> DataFrame:
+def similar_sets(sets: DataFrame, threshold: float = THRESHOLD, shard_sets: int = SHARD_SETS, hot: int = HOT) -> DataFrame:
     """a, b, similarity of all pairs of different sets (set_id, words) whose words share at least `threshold` of their union.
 
     Words are ordered by the number of sets that have them, rarest first (counted
@@ -192,7 +223,8 @@ def similar_sets(sets: DataFrame, threshold: float = THRESHOLD, shard_sets: int
     n - ceil(t n) + 2 of each, so both have the symbol of that pair, and no pair is
     lost. Symbols are dealt to shards by hash; a shard indexes its symbol sequences
     as one text and streams them through backward search. What its sizes and bitmaps
-    allow is then counted exactly. The number of shards follows the number of sets.
+    allow is then counted exactly. The number of shards follows the number of sets;
+    symbols that more than `hot` sets may have are spread over pairs of blocks.
     """
     require_columns(sets, "set_id", "words")
     if not 0.5 <= threshold < 1:
@@ -200,9 +232,9 @@ def similar_sets(sets: DataFrame, threshold: float = THRESHOLD, shard_sets: int
     long = sets.where(F.size("words") >= smallest_set(threshold, 2)).select("set_id", F.explode("words").alias("word")).select("set_id", F.xxhash64("word").alias("w"))
     counts = long.groupBy("w").agg(F.count(F.lit(1)).alias("m"))
     ordered = long.join(counts, "w").groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("m", "w"))).alias("x"))
-    ordered = durable(ordered.select("set_id", F.col("x.w").alias("words"), F.size("x").alias("n")), "word-sets")
+    ordered = durable(ordered.select("set_id", F.col("x.w").alias("words"), F.col("x.m").alias("many"), F.size("x").alias("n")), "word-sets")
     shards = max(1, math.ceil(ordered.count() / shard_sets))
-    sent = ordered.mapInPandas(_route(threshold, shards), "shard long, set_id long, n int, b0 long, b1 long, symbols array<long>")
+    sent = ordered.mapInPandas(_route(threshold, shards, hot), "shard long, set_id long, n int, b0 long, b1 long, symbols array<long>")
     found = sent.groupBy("shard").applyInPandas(_shard(threshold), "a long, b long").distinct()
     side = lambda k: ordered.select(F.col("set_id").alias(k), F.col("words").alias(f"w_{k}"), F.col("n").alias(f"n_{k}"))
     both = found.join(side("a"), "a").join(side("b"), "b")

@@ -240,6 +240,19 @@ def test_cross_fold_pairs_equal_brute_force(spark):
     assert overlap.cross_fold_pairs(df.limit(0)).count() == 0 and overlap.overlap_report(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [5, 40, 10_000])
+def test_hot_symbols_lose_no_pair(spark, hot):
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(14)]
+    sets = {i: sorted(rng.sample(vocabulary, rng.randrange(1, 13))) for i in range(250)}
+    seen = {}
+    sets = {i: w for i, w in sets.items() if seen.setdefault(tuple(w), i) == i}
+    df = spark.createDataFrame(list(sets.items()), "set_id long, words array<string>")
+    found = overlap.similar_sets(df, 0.8, 50, hot).collect()
+    want = {(a, b) for a, b in itertools.combinations(sets, 2) if len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b])) >= 0.8}
+    assert len(found) == len(want) > 100 and {(r["a"], r["b"]) for r in found} == want
+
+
 def test_index_finds_every_occurrence():
     rng = np.random.default_rng(6)
     seqs = [rng.integers(1, 6, rng.integers(0, 9)) for _ in range(40)]
