@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from policygrid.session import require_columns
+from policygrid.session import durable, require_columns
 
 #: Where vocabulary files lie unless a path is given.
 FOLDER = os.environ.get("POLICYGRID_TOKENIZERS", "/opt/tokenizers")
@@ -151,17 +151,20 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", path
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     is_long = F.coalesce(F.length("text") > size + overlap, F.lit(False))
     short = rows.where(~is_long).mapInArrow(_encoder(path, False), "doc_id long, ids array<int>")
-    chunks = rows.where(is_long).mapInPandas(_chunks(size, overlap), "doc_id long, chunk int, last int, text string").repartition(F.col("doc_id"), F.col("chunk"))
-    marks = chunks.mapInPandas(_marks(size, overlap), "doc_id long, chunk int, head array<long>, tail array<long>")
+    long = durable(rows.where(is_long), "long-texts")
+    if long.isEmpty():
+        return short
+    chunks = durable(long.mapInPandas(_chunks(size, overlap), "doc_id long, chunk int, last int, text string"), "chunks")
+    marks = durable(chunks.repartition("doc_id", "chunk").mapInPandas(_marks(size, overlap), "doc_id long, chunk int, head array<long>, tail array<long>"), "marks")
     # The stitch after chunk i: the first boundary that its tail and the head of chunk i + 1 share.
     nxt = marks.select("doc_id", (F.col("chunk") - 1).alias("chunk"), F.col("head").alias("next_head"))
     cuts = marks.join(nxt, ["doc_id", "chunk"]).select("doc_id", "chunk", F.array_min(F.array_intersect("tail", "next_head")).alias("cut"))
-    doc_cuts = cuts.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("chunk", F.coalesce("cut", F.lit(-1))))).alias("cuts"), F.bool_and(F.col("cut").isNotNull()).alias("whole"))
+    doc_cuts = durable(cuts.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("chunk", F.coalesce("cut", F.lit(-1))))).alias("cuts"), F.bool_and(F.col("cut").isNotNull()).alias("whole")), "cuts")
     placed = chunks.join(doc_cuts.where("whole"), "doc_id").select(
         "doc_id", "chunk", "text", F.coalesce(F.try_element_at("cuts", F.col("chunk") - 1), F.lit(0)).alias("a"), F.try_element_at("cuts", F.col("chunk")).alias("b"))
-    parts = placed.mapInArrow(_encode_pieces(path, size), "doc_id long, chunk int, ids array<int>")
+    parts = placed.repartition("doc_id", "chunk").mapInArrow(_encode_pieces(path, size), "doc_id long, chunk int, ids array<int>")
     stitched = parts.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])).alias("ids"))
-    rest = rows.where(is_long).join(doc_cuts.where("not whole"), "doc_id", "left_semi").mapInArrow(_encoder(path, False), "doc_id long, ids array<int>")
+    rest = long.join(doc_cuts.where("not whole"), "doc_id", "left_semi").mapInArrow(_encoder(path, False), "doc_id long, ids array<int>")
     return short.unionByName(stitched).unionByName(rest)
 
 
