@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from policygrid.functions.ordering import top_per
 from policygrid.functions.text import tokens
-from policygrid.session import durable
+from policygrid.session import durable, spread
 
 #: Rows of a block on either side of a block product.
 BLOCK = 2048
@@ -102,7 +102,7 @@ def _pooled(digits: int):
 
 def _block_pairs(queries: DataFrame, chunks: DataFrame, group: str | None, label: str | None) -> tuple[DataFrame, str, str, str]:
     qt, ct = queries.schema["query_id"].dataType.simpleString(), chunks.schema["chunk_id"].dataType.simpleString()
-    parts = 32
+    parts = 64
     g = (F.col(group) if group else F.lit(0)).cast("long").alias("g")
     own = F.col(label) if label else F.lit(None).cast("string")
     lt = chunks.schema[label].dataType.simpleString() if label else "string"
@@ -110,6 +110,8 @@ def _block_pairs(queries: DataFrame, chunks: DataFrame, group: str | None, label
     c = chunks.select("chunk_id", "vec", g, own.alias("l")).where("g is not null").mapInArrow(_packed, f"ids array<{ct}>, labels array<{lt}>, m binary, g long")
     left = q.select("g", F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
     right = c.select("g", F.col("ids").alias("c_ids"), F.col("labels").alias("c_labels"), F.col("m").alias("c_m"), F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(parts)).cast("int").alias("part"))
+    tasks = max(parts, queries.sparkSession.sparkContext.defaultParallelism)
+    left, right = spread(left, tasks, "g", "part"), spread(right, tasks, "g", "part")
     return left.join(right, ["g", "part"]).select("q_ids", "q_m", "c_ids", "c_m", "c_labels"), qt, ct, lt
 
 
@@ -279,5 +281,6 @@ class BM25:
             "chunk_id", F.xxhash64("term").alias("t"), part.alias("p"), F.pmod(F.xxhash64("chunk_id"), F.lit(c_blocks)).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
         wanted = weights.select("query_id", "t", "w", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c_blocks - 1).cast("long"))).alias("cb"))
         qt, ct = weights.schema["query_id"].dataType.simpleString(), self.postings.schema["chunk_id"].dataType.simpleString()
+        used, wanted = spread(used, c_blocks * q_blocks, "cb", "qb"), spread(wanted, c_blocks * q_blocks, "cb", "qb")
         pairs = used.groupBy("cb", "qb").cogroup(wanted.groupBy("cb", "qb")).applyInArrow(_term_products(k, digits), f"query_id {qt}, chunk_id {ct}, score double")
         return pairs

@@ -66,6 +66,15 @@ def durable(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, groups: int, *keys: str) -> DataFrame:
+    """`df` partitioned by keys into about as many tasks as there are groups.
+
+    Groups that are small in bytes but take long to work off would else be put
+    together into a few tasks by adaptive execution.
+    """
+    return df.repartition(max(1, min(groups, 20_000)), *keys)
+
+
 def release(df: DataFrame) -> None:
     """Remove the files of a table made by durable(); safe to call once it is no longer read."""
     spark = df.sparkSession
