@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from policygrid.functions.ordering import top_per
-from policygrid.session import durable, require_columns
+from policygrid.session import durable, require_columns, spread
 
 #: Vectors of a shard's graph about; a cell with more is dealt to several shards.
 SHARD = 3000
@@ -342,7 +342,7 @@ def similar_classes(vectors: DataFrame, k: int, width: int = 64, probes: int = P
         each = placed.select("nid", "vec", F.posexplode("cells").alias("rank", "cell")).withColumn("d", F.get(deals, F.col("cell"))).withColumn("s", F.get(starts, F.col("cell")))
         own = F.col("s") + F.pmod(F.xxhash64("nid"), F.col("d")).cast("int")
         sent = each.select("nid", "vec", F.explode(F.sequence(F.col("s"), F.col("s") + F.col("d") - 1)).alias("shard"), ((F.col("rank") == 0) & True).alias("first"), own.alias("own")).withColumn("member", F.col("first") & (F.col("shard") == F.col("own")))
-    found = sent.select("shard", "nid", "vec", "member").groupBy("shard").applyInArrow(_shard_search(k, width, beam, least), "nid long, ids array<long>, sims array<float>")
+    found = spread(sent.select("shard", "nid", "vec", "member"), int(first[-1]), "shard").groupBy("shard").applyInArrow(_shard_search(k, width, beam, least), "nid long, ids array<long>, sims array<float>")
     # At most k rows from each shard that indexes or searches a vector.
     listed = found.select("nid", F.arrays_zip((F.transform("sims", lambda v: -v)).alias("far"), F.col("ids").alias("other")).alias("x"))
     best = listed.groupBy("nid").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("x")))), 1, k).alias("x"))
