@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from policygrid.session import durable, require_columns
+from policygrid.session import durable, require_columns, spread
 
 CAPACITY = 2048
 #: Items that one task packs; shards are drawn by hash, so they hold about so many of every size.
@@ -94,5 +94,5 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY, shard_
     id_type = items.schema[key].dataType.simpleString()
     full = each.where(F.col("n_tokens") == capacity).select(
         "item_id", "piece_no", "n_pieces", "start", "n_tokens", F.concat(F.lit("full-"), F.hex(F.xxhash64("item_id", "piece_no")), F.lit("-"), F.monotonically_increasing_id()).alias("container"))
-    packed = each.where(F.col("n_tokens") < capacity).groupBy("shard").applyInPandas(_pack(capacity, quadratic_at), f"item_id {id_type}, piece_no int, n_pieces int, start long, n_tokens long, container string")
+    packed = spread(each.where(F.col("n_tokens") < capacity), shards, "shard").groupBy("shard").applyInPandas(_pack(capacity, quadratic_at), f"item_id {id_type}, piece_no int, n_pieces int, start long, n_tokens long, container string")
     return full.unionByName(packed)
