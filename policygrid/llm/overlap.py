@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from policygrid.functions.text import all_entities
-from policygrid.session import durable, require_columns
+from policygrid.session import durable, require_columns, spread
 
 THRESHOLD = 0.8
 #: Different word sets that one index shard holds about.
@@ -235,7 +235,7 @@ def similar_sets(sets: DataFrame, threshold: float = THRESHOLD, shard_sets: int
     ordered = durable(ordered.select("set_id", F.col("x.w").alias("words"), F.col("x.m").alias("many"), F.size("x").alias("n")), "word-sets")
     shards = max(1, math.ceil(ordered.count() / shard_sets))
     sent = ordered.mapInPandas(_route(threshold, shards, hot), "shard long, set_id long, n int, b0 long, b1 long, symbols array<long>")
-    found = sent.groupBy("shard").applyInPandas(_shard(threshold), "a long, b long").distinct()
+    found = spread(sent, shards, "shard").groupBy("shard").applyInPandas(_shard(threshold), "a long, b long").distinct()
     side = lambda k: ordered.select(F.col("set_id").alias(k), F.col("words").alias(f"w_{k}"), F.col("n").alias(f"n_{k}"))
     both = found.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("w_a", "w_b"))
