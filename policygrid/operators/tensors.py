@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from policygrid.functions.ordering import hash_rank, seeded
+from policygrid.session import durable
 
 #: Sector vocabulary of the one-hot vector; the order is the position. Fixed values.
 SECTORS = (
@@ -42,6 +43,29 @@ def window_cells(anchors: DataFrame, panel: DataFrame, windows: list[int], featu
     return each.withColumn("pos", (F.col("_y") - F.col("year") + F.col("window") - 1).cast("int")).withColumnRenamed("_y", "step_year")
 
 
+def window_summary(anchors: DataFrame, panel: DataFrame, windows: list[int]) -> DataFrame:
+    """country, year, window, feature, n_features, mean, last over the tensors of all distinct anchors (country, year).
+
+    All features of the panel count. Only readings are joined; the years without one
+    are zeros that the mean counts. The features without any reading in a window are
+    one row: no feature, their number, and 0.
+    """
+    ws = sorted(set(windows))
+    at = anchors.select("country", "year").distinct()
+    steps = at.select("*", F.explode(F.sequence(F.col("year") - ws[-1] + 1, F.col("year"))).alias("_y"))
+    cells = panel.select("country", F.col("year").alias("_y"), "feature", "value")
+    age, v = F.col("year") - F.col("_y"), F.col("value")
+    sums = [F.struct(F.lit(w).alias("window"), F.count_if(age < w).alias("n"), (F.sum(F.when(age < w, v)) / w).alias("mean")) for w in ws]
+    each = steps.join(cells, ["country", "_y"]).groupBy("country", "year", "feature").agg(F.array(*sums).alias("w"), F.coalesce(F.max(F.when(age == 0, v)), F.lit(0.0)).alias("last"))
+    read = durable(each.select("country", "year", "feature", F.explode("w").alias("w"), "last").where("w.n > 0").select("country", "year", "w.window", "feature", F.lit(1).cast("bigint").alias("n_features"), "w.mean", "last"), "windows")
+    n = panel.select("feature").distinct().count()
+    every = at.select("*", F.explode(F.array(*[F.lit(w) for w in ws])).alias("window"))
+    some = read.groupBy("country", "year", "window").agg(F.count(F.lit(1)).alias("_n"))
+    rest = every.join(some, ["country", "year", "window"], "left").withColumn("n_features", F.lit(n) - F.coalesce("_n", F.lit(0))).where("n_features > 0")
+    zero = rest.select("country", "year", "window", F.lit(None).cast("string").alias("feature"), "n_features", F.lit(0.0).alias("mean"), F.lit(0.0).alias("last"))
+    return read.unionByName(zero)
+
+
 def window_tensor(cells: DataFrame, keys: list[str]) -> DataFrame:
     """keys, window, tensor: rows by position, columns by feature name."""
     rows = cells.groupBy(*keys, "window", "pos").agg(F.array_sort(F.collect_list(F.struct("feature", "value"))).alias("r"))

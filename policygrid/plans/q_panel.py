@@ -90,6 +90,14 @@ def window_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.groupBy("document_id", "window", "feature").agg(F.count(F.lit(1)).alias("n_steps"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.max_by("value", "pos"), 6).alias("last"))
 
 
+def window_tensor_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """window_tensor over the features of all tables; those without a reading in a window are one row without a feature, with their number."""
+    a = _anchors(spark, sf_dir)
+    w = tensors.window_summary(a, durable(_scaled(spark, sf_dir), "scaled"), [1, 2, 5, 10])
+    out = a.join(w, ["country", "year"])
+    return out.select("document_id", "window", "feature", "n_features", F.col("window").cast("bigint").alias("n_steps"), F.round("mean", 6).alias("mean"), F.round("last", 6).alias("last"))
+
+
 def table_text_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five-year tensor of each document as text, with the features of the first table in order."""
     c = durable(cells(spark, sf_dir), "cells")
@@ -145,7 +153,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         panel_standardize, panel_dedupe_most_complete, feature_selection, feature_correlations, year_grid_interpolate, location_slice, panel_split, standard_scale_train_only,
-        window_tensor, table_text_render, sector_one_hot, negative_pairs, series_descriptor, selector_pearson, selector_trend, trend_labels,
+        window_tensor, window_tensor_all, table_text_render, sector_one_hot, negative_pairs, series_descriptor, selector_pearson, selector_trend, trend_labels,
     )
 }
 
@@ -216,6 +224,11 @@ SQL = {
         e AS (SELECT document_id, w."window", feature, an.year - o.o AS y, an.country FROM an, fe, (VALUES (1), (2), (5), (10)) AS w("window"), (SELECT unnest(range(0, 10)) AS o) o WHERE o.o < w."window"),
         j AS (SELECT e.document_id, e."window", e.feature, e.y, coalesce(sc.value, 0) AS v FROM e LEFT JOIN sc ON sc.country = e.country AND sc.year = e.y AND sc.feature = e.feature)
         SELECT document_id, "window", feature, count(*) AS n_steps, round(avg(v), 6) AS mean, round(arg_max(v, y), 6) AS last FROM j GROUP BY ALL""",
+    "window_tensor_all": f"""WITH {_CELLS}, {_SCALED}, {_ANCHOR}, fe AS (SELECT DISTINCT feature FROM sc),
+        e AS (SELECT document_id, w."window", feature, an.year - o.o AS y, an.country FROM an, fe, (VALUES (1), (2), (5), (10)) AS w("window"), (SELECT unnest(range(0, 10)) AS o) o WHERE o.o < w."window"),
+        j AS (SELECT e.document_id, e."window", e.feature, e.y, sc.value AS r, coalesce(sc.value, 0) AS v FROM e LEFT JOIN sc ON sc.country = e.country AND sc.year = e.y AND sc.feature = e.feature),
+        x AS (SELECT document_id, "window", CASE WHEN count(r) > 0 THEN feature END AS f, count(*) AS n_steps, avg(v) AS mean, arg_max(v, y) AS last FROM j GROUP BY document_id, "window", feature)
+        SELECT document_id, "window", f AS feature, count(*) AS n_features, n_steps, round(max(mean), 6) AS mean, round(max(last), 6) AS last FROM x GROUP BY document_id, "window", f, n_steps""",
     "table_text_render": f"""WITH {_CELLS}, {_ANCHOR}, fe AS (SELECT feature, row_number() OVER (ORDER BY feature) AS fi FROM (SELECT DISTINCT feature FROM cells WHERE table_idx = 0)),
         e AS (SELECT document_id, feature, fi, an.year - o.o AS y, an.country FROM an, fe, (SELECT unnest(range(0, 5)) AS o) o WHERE fi <= 22),
         l AS (SELECT document_id, e.y, string_agg(e.feature || '=' || printf('%.2f', coalesce(sign(cells.value) * floor(abs(cells.value) * 100 + 0.5) / 100, 0)), ', ' ORDER BY fi) AS line FROM e LEFT JOIN cells ON cells.country = e.country AND cells.year = e.y AND cells.feature = e.feature GROUP BY ALL)
