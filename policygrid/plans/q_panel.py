@@ -144,6 +144,37 @@ def selector_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _selection(spark, sf_dir, "linear-trend").groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 4).alias("best"), F.round(F.min("score"), 4).alias("worst"))
 
 
+def _spots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """document_id, country, region (empty where unknown), year of each policy document."""
+    r = table(spark, sf_dir, "country_region").groupBy(evened_words(F.col("country")).alias("country")).agg(F.min(evened_words(F.col("region_name"))).alias("region"))
+    return _anchors(spark, sf_dir).join(r, "country", "left").withColumn("region", F.coalesce("region", F.lit("")))
+
+
+def _spot_selection(c: DataFrame, spots: DataFrame, method: str) -> DataFrame:
+    """country, region, year, table_idx, score, rank: the eight tables most like the tensor of that country and year."""
+    at = durable(spots.select("country", "region", "year").distinct(), "spots")
+    key = F.struct("country", "region", "year").alias("spot")
+    scaled = tensors.scale(c, tensors.fit_scaler(c, train_country()))
+    signal = at.join(selector.tensor_signal(at.select("country", "year").distinct(), scaled, 10), ["country", "year"], "left").select(key, *[f"s_{d}" for d in selector.DESCRIPTOR])
+    tables = selector.place_descriptor(c, at, 10).select(key, "table_idx", *selector.DESCRIPTOR)
+    return selector.select_tables(signal, tables, "spot", method, 8, 5).select("spot.*", "table_idx", "score", "rank")
+
+
+def _policy_selection(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+    spots = _spots(spark, sf_dir)
+    top = _spot_selection(durable(cells(spark, sf_dir), "cells"), spots, method)
+    return spots.join(top, ["country", "region", "year"]).select("document_id", "table_idx", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
+def selector_policy_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per policy document the tables whose ten years before it (country, region, World) look most like its tensor over all tables."""
+    return _policy_selection(spark, sf_dir, "pearson")
+
+
+def selector_policy_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _policy_selection(spark, sf_dir, "linear-trend")
+
+
 def trend_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = sampling.trends(cells(spark, sf_dir), ["country", "feature"], "year", "value")
     return t.select("country", "feature", "first_value", "last_value", "trend")
@@ -153,7 +184,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         panel_standardize, panel_dedupe_most_complete, feature_selection, feature_correlations, year_grid_interpolate, location_slice, panel_split, standard_scale_train_only,
-        window_tensor, window_tensor_all, table_text_render, sector_one_hot, negative_pairs, series_descriptor, selector_pearson, selector_trend, trend_labels,
+        window_tensor, window_tensor_all, table_text_render, sector_one_hot, negative_pairs, series_descriptor, selector_pearson, selector_trend, selector_policy_pearson, selector_policy_trend, trend_labels,
     )
 }
 
@@ -194,6 +225,28 @@ def _selector(score: str) -> str:
       SELECT place, count(*) AS n, round(max(score), 4) AS best, round(min(score), 4) AS worst FROM tp WHERE k <= 5 GROUP BY place"""
 
 
+def _selected(score: str, missing: str) -> str:
+    """CTEs up to `tp`: country, region, year, table_idx, score, k of each policy's country, region and year."""
+    names = ("mean", "std", "min", "max", "slope", "delta", "q75", "last")
+    return f"""{_CELLS}, {_SCALED}, {_ANCHOR}, rg AS (SELECT {even("country")} AS country, min({even("region_name")}) AS region FROM country_region GROUP BY 1),
+      ar AS (SELECT document_id, country, coalesce(region, '') AS region, year FROM an LEFT JOIN rg USING (country)), sp AS (SELECT DISTINCT country, region, year FROM ar),
+      pl AS (SELECT * FROM (SELECT country, region, year, unnest([country, region, 'world']) AS place FROM sp) WHERE place <> ''),
+      nm AS (SELECT table_idx, feature FROM (SELECT *, row_number() OVER (PARTITION BY table_idx ORDER BY feature) AS r FROM (SELECT DISTINCT table_idx, feature FROM cells)) WHERE r <= 6),
+      us AS (SELECT cells.*, country AS place FROM cells JOIN nm USING (table_idx, feature) UNION ALL SELECT cells.*, 'european union' FROM cells JOIN nm USING (table_idx, feature) WHERE contains(country, 'european union') AND country <> 'european union'),
+      sr AS (SELECT w.place, w.year AS py, table_idx, feature, us.year, value FROM us JOIN (SELECT DISTINCT place, year FROM pl) w ON us.place = w.place AND us.year BETWEEN w.year - 10 AND w.year - 1),
+      {_descriptor("place, py, table_idx, feature", "sr", "ds")},
+      td AS (SELECT country, region, year, table_idx, {", ".join(f"avg({c}) AS {c}" for c in names)} FROM pl JOIN ds ON pl.place = ds.place AND pl.year = ds.py WHERE n >= 2 GROUP BY ALL),
+      fe AS (SELECT feature, row_number() OVER (ORDER BY feature) AS f FROM (SELECT DISTINCT feature FROM sc)),
+      own AS (SELECT p.country, p.year AS py, fe.f AS year, coalesce(sc.value, 0) AS value FROM (SELECT DISTINCT country, year FROM sp WHERE country IN (SELECT country FROM sc)) p CROSS JOIN fe
+        LEFT JOIN sc ON sc.country = p.country AND sc.year = p.year - 9 AND sc.feature = fe.feature), {_descriptor("country, py", "own", "sg")},
+      sx AS (SELECT td.country, td.region, td.year, td.table_idx, round(CASE WHEN sg.n >= 2 THEN {score} ELSE {missing} END, 5) AS score FROM td LEFT JOIN sg ON sg.country = td.country AND sg.py = td.year),
+      tp AS (SELECT *, row_number() OVER (PARTITION BY country, region, year ORDER BY score DESC, table_idx) AS k FROM sx)"""
+
+
+def _policy_selector(score: str, missing: str) -> str:
+    return f"WITH {_selected(score, missing)} SELECT document_id, table_idx, score, k AS rank FROM ar JOIN tp USING (country, region, year) WHERE k <= 8"
+
+
 def _pearson_sql() -> str:
     names = ("mean", "std", "min", "max", "slope", "delta", "q75", "last")
     ma, mb = (f"(({' + '.join(f'{s}.{c}' for c in names)}) / 8)" for s in ("sg", "td"))
@@ -240,6 +293,8 @@ SQL = {
     "series_descriptor": f"WITH {_CELLS}, {_descriptor('country, feature', 'cells', 'ds')} SELECT country, feature, n, " + ", ".join(f"round({c}, 7) AS {c}" for c in selector.DESCRIPTOR) + " FROM ds",
     "selector_pearson": _selector(_pearson_sql()),
     "selector_trend": _selector("-abs(sg.slope - td.slope) - 0.5 * abs(sg.delta - td.delta)"),
+    "selector_policy_pearson": _policy_selector(_pearson_sql(), "-1"),
+    "selector_policy_trend": _policy_selector("-abs(sg.slope - td.slope) - 0.5 * abs(sg.delta - td.delta)", "-1e9"),
     "trend_labels": f"""WITH {_CELLS}, e AS (SELECT country, feature, arg_min(value, year) AS first_value, arg_max(value, year) AS last_value FROM cells GROUP BY ALL)
         SELECT country, feature, first_value, last_value, CASE WHEN abs(last_value - first_value) < 0.05 * (abs(first_value) + 1e-9) THEN 'stable' WHEN last_value > first_value THEN 'increasing' ELSE 'decreasing' END AS trend FROM e""",
 }

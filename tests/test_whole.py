@@ -2,7 +2,7 @@
 
 import pytest
 
-from policygrid.operators import tensors
+from policygrid.operators import selector, tensors
 from policygrid.plans import q_panel
 
 
@@ -17,3 +17,35 @@ def test_windows_take_features_of_all_tables(spark, sf):
     features = q_panel.standard_scale_train_only(spark, sf).select("feature").distinct().count()
     whole = q_panel.window_tensor_all(spark, sf).groupBy("document_id", "window").sum("n_features").collect()
     assert len(whole) == 4 * q_panel._anchors(spark, sf).count() and {r[2] for r in whole} == {features}
+
+
+def test_tensor_signal_is_that_of_the_dense_row(spark):
+    import numpy as np
+
+    rows = [("a", 2001, f"f{i}", v) for i, v in ((0, 2.0), (3, -1.0), (4, 5.0), (6, 1.5))] + [("b", 2001, "f5", -2.0), ("c", 1999, "f1", 1.0), ("c", 1999, "f2", 3.0)]
+    panel = spark.createDataFrame(rows, "country string, year int, feature string, value double")
+    spots = spark.createDataFrame([("a", 2010), ("b", 2010), ("c", 2010), ("gone", 2010)], "country string, year int")
+    got = {r["country"]: [r[f"s_{c}"] for c in selector.DESCRIPTOR] for r in selector.tensor_signal(spots, panel, 10).collect()}
+    assert set(got) == {"a", "b", "c"} and got["c"] == [0.0] * 8
+    for country in "ab":
+        x = np.zeros(7)
+        for c, y, f, v in rows:
+            if c == country and y == 2001:
+                x[int(f[1])] = v
+        unit = max(abs(x.mean()), 1e-6)
+        assert got[country] == pytest.approx([x.mean(), x.std(), x.min(), x.max(), np.polyfit(np.arange(7), x, 1)[0] / unit, (x[-1] - x[0]) / unit, np.percentile(x, 75), x[-1]])
+
+
+def test_tables_of_country_region_and_world(spark):
+    rows = [(t, p, 2000 + i, f"t{t}", float(i * k)) for t, p, k in ((0, "a", 1), (1, "r", 2), (2, "world", 3)) for i in range(5)]
+    long = spark.createDataFrame(rows, "table_idx int, country string, year int, feature string, value double")
+    spots = spark.createDataFrame([("a", "r", 2005), ("b", "", 2005), ("a", "r", 2002)], "country string, region string, year int")
+    got = {(r["country"], r["year"], r["table_idx"]): r["max"] for r in selector.place_descriptor(long, spots, 10).collect()}
+    assert got == {("a", 2005, 0): 4.0, ("a", 2005, 1): 8.0, ("a", 2005, 2): 12.0, ("b", 2005, 2): 12.0, ("a", 2002, 0): 1.0, ("a", 2002, 1): 2.0, ("a", 2002, 2): 3.0}
+
+
+def test_policies_select_tables_of_their_own(spark, sf):
+    got = q_panel.selector_policy_pearson(spark, sf).collect()
+    years = {r["document_id"]: r["year"] for r in q_panel._anchors(spark, sf).collect()}
+    assert len({r["document_id"] for r in got}) > 1 and len({years[r["document_id"]] for r in got}) > 1
+    assert {r["rank"] for r in got} >= {1} and all(r["rank"] <= 8 for r in got)
