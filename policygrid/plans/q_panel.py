@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from policygrid.functions.ordering import top_per
 from policygrid.functions.text import evened_words
 from policygrid.operators import models, panel, sampling, selector, tensors
 from policygrid.session import durable, table
@@ -175,6 +176,22 @@ def selector_policy_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _policy_selection(spark, sf_dir, "linear-trend")
 
 
+def table_text_render_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five-year tensor of each document as text, up to 22 columns: the features of its selected tables in rank order, no text where none is selected."""
+    spots, c = _spots(spark, sf_dir), durable(cells(spark, sf_dir), "cells")
+    top = _spot_selection(c, spots, "pearson")
+    named = top.join(c.select("table_idx", "feature").distinct(), "table_idx")
+    place = ["country", "region", "year"]
+    cols = top_per(named.select(*place, "feature", F.col("rank").alias("_t")), place, [F.col("_t").asc(), F.col("feature").asc()], 22, name="col")
+    steps = cols.select("*", F.explode(F.sequence(F.col("year") - 4, F.col("year"))).alias("_y"))
+    read = steps.join(c.select("country", F.col("year").alias("_y"), "feature", "value"), ["country", "_y", "feature"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    cell = F.concat("feature", F.lit("="), F.format_string("%.2f", models.two_decimals(F.col("value"))))
+    in_order = lambda key, v: F.transform(F.array_sort(F.collect_list(F.struct(key, v.alias("v")))), lambda x: x["v"])
+    lines = read.groupBy(*place, "_y").agg(F.array_join(in_order("col", cell), ", ").alias("line"))
+    texts = lines.groupBy(*place).agg(F.array_join(in_order("_y", F.col("line")), "\\n").alias("text"))
+    return spots.join(texts, place, "left").select("document_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
 def trend_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = sampling.trends(cells(spark, sf_dir), ["country", "feature"], "year", "value")
     return t.select("country", "feature", "first_value", "last_value", "trend")
@@ -184,7 +201,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         panel_standardize, panel_dedupe_most_complete, feature_selection, feature_correlations, year_grid_interpolate, location_slice, panel_split, standard_scale_train_only,
-        window_tensor, window_tensor_all, table_text_render, sector_one_hot, negative_pairs, series_descriptor, selector_pearson, selector_trend, selector_policy_pearson, selector_policy_trend, trend_labels,
+        window_tensor, window_tensor_all, table_text_render, sector_one_hot, negative_pairs, series_descriptor, selector_pearson, selector_trend, selector_policy_pearson, selector_policy_trend, table_text_render_all, trend_labels,
     )
 }
 
@@ -295,6 +312,12 @@ SQL = {
     "selector_trend": _selector("-abs(sg.slope - td.slope) - 0.5 * abs(sg.delta - td.delta)"),
     "selector_policy_pearson": _policy_selector(_pearson_sql(), "-1"),
     "selector_policy_trend": _policy_selector("-abs(sg.slope - td.slope) - 0.5 * abs(sg.delta - td.delta)", "-1e9"),
+    "table_text_render_all": f"""WITH {_selected(_pearson_sql(), "-1")},
+        co AS (SELECT * FROM (SELECT country, region, year, feature, row_number() OVER (PARTITION BY country, region, year ORDER BY k, feature) AS fi FROM tp JOIN (SELECT DISTINCT table_idx, feature FROM cells) USING (table_idx) WHERE k <= 8) WHERE fi <= 22),
+        e AS (SELECT co.*, co.year - o.o AS y FROM co, (SELECT unnest(range(0, 5)) AS o) o),
+        l AS (SELECT e.country, e.region, e.year, e.y, string_agg(e.feature || '=' || printf('%.2f', coalesce(sign(cells.value) * floor(abs(cells.value) * 100 + 0.5) / 100, 0)), ', ' ORDER BY fi) AS line FROM e LEFT JOIN cells ON cells.country = e.country AND cells.year = e.y AND cells.feature = e.feature GROUP BY ALL),
+        x AS (SELECT country, region, year, string_agg(line, '\\n' ORDER BY y) AS text FROM l GROUP BY ALL)
+        SELECT document_id, coalesce(text, '') AS text FROM ar LEFT JOIN x USING (country, region, year)""",
     "trend_labels": f"""WITH {_CELLS}, e AS (SELECT country, feature, arg_min(value, year) AS first_value, arg_max(value, year) AS last_value FROM cells GROUP BY ALL)
         SELECT country, feature, first_value, last_value, CASE WHEN abs(last_value - first_value) < 0.05 * (abs(first_value) + 1e-9) THEN 'stable' WHEN last_value > first_value THEN 'increasing' ELSE 'decreasing' END AS trend FROM e""",
 }

@@ -49,3 +49,18 @@ def test_policies_select_tables_of_their_own(spark, sf):
     years = {r["document_id"]: r["year"] for r in q_panel._anchors(spark, sf).collect()}
     assert len({r["document_id"] for r in got}) > 1 and len({years[r["document_id"]] for r in got}) > 1
     assert {r["rank"] for r in got} >= {1} and all(r["rank"] <= 8 for r in got)
+
+
+def test_rendered_columns_are_those_of_the_selected_tables(spark, sf):
+    of = {}
+    for r in q_panel.cells(spark, sf).select("table_idx", "feature").distinct().collect():
+        of.setdefault(r["table_idx"], []).append(r["feature"])
+    chosen = {}
+    for r in sorted(q_panel.selector_policy_pearson(spark, sf).collect(), key=lambda r: r["rank"]):
+        chosen.setdefault(r["document_id"], []).extend(sorted(of[r["table_idx"]]))
+    texts = {r["document_id"]: r["text"] for r in q_panel.table_text_render_all(spark, sf).collect()}
+    assert len(texts) == q_panel._anchors(spark, sf).count() and chosen
+    for d, text in texts.items():
+        lines = text.split("\\n") if text else []
+        assert len(lines) == (5 if d in chosen else 0)
+        assert all([c.split("=")[0] for c in line.split(", ")] == chosen[d][:22] for line in lines)
