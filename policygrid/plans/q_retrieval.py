@@ -164,11 +164,17 @@ def selector_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def triplet_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of `embeddings`: the next row of the label is the positive, the first of the next label the negative."""
+    """Rows of `embeddings`: the next row of the label is the positive, the first of the next label the negative.
+
+    Shards are 1,000 ids of a label; the last row of each takes the first of the next that has any.
+    """
     e = table(spark, sf_dir, "embeddings")
     first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("neg")).select((F.col("label") - 1).alias("label"), "neg")
-    pos = F.lead("embedding").over(W.partitionBy("label", F.floor(F.col("vec_id") / 1000)).orderBy("vec_id"))
-    t = e.withColumn("pos", pos).where("pos is not null").join(first, "label")
+    e = e.withColumn("block", F.floor(F.col("vec_id") / 1000))
+    heads = e.groupBy("label", "block").agg(F.min_by(F.struct("embedding"), F.col("vec_id")).alias("head"))
+    halo = heads.select("label", "block", F.lead("head").over(W.partitionBy("label").orderBy("block")).alias("head"))
+    pos = F.lead(F.struct("embedding")).over(W.partitionBy("label", "block").orderBy("vec_id"))
+    t = e.withColumn("pos", pos).join(halo, ["label", "block"]).withColumn("pos", F.coalesce("pos", "head")["embedding"]).where("pos is not null").join(first, "label")
     return t.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(models.triplet_loss(F.col("embedding"), F.col("pos"), F.col("neg"))), 6).alias("loss"))
 
 

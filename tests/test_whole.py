@@ -3,7 +3,7 @@
 import pytest
 
 from policygrid.operators import selector, tensors
-from policygrid.plans import q_panel
+from policygrid.plans import q_panel, q_retrieval
 
 
 def test_windows_take_features_of_all_tables(spark, sf):
@@ -64,3 +64,16 @@ def test_rendered_columns_are_those_of_the_selected_tables(spark, sf):
         lines = text.split("\\n") if text else []
         assert len(lines) == (5 if d in chosen else 0)
         assert all([c.split("=")[0] for c in line.split(", ")] == chosen[d][:22] for line in lines)
+
+
+def test_triplets_across_shards(spark, tmp_path):
+    import numpy as np
+
+    ids = [(5, 0), (999, 0), (1000, 0), (4001, 0), (4002, 0), (7, 1), (2500, 1), (3, 2)]
+    rows = [(i, label, [float(i % 7), float(label)]) for i, label in ids]
+    spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = q_retrieval.triplet_loss(spark, str(tmp_path)).first()
+    of = {label: [np.array(v) for i, k, v in sorted(rows) if k == label] for label in (0, 1, 2)}
+    d = lambda a, b: np.sqrt(((a - b + 1e-6) ** 2).sum())
+    loss = [max(0, d(a, p) - d(a, of[k + 1][0]) + 1) for k in (0, 1) for a, p in zip(of[k], of[k][1:])]
+    assert got["n"] == len(loss) == 5 and got["loss"] == pytest.approx(np.mean(loss), abs=1e-6)
