@@ -92,3 +92,30 @@ def negative_pairs(train: DataFrame, key: str, summary: str, k: int, seed: int)
     nxt = steps.withColumn("_t", F.pmod(F.col("_r") - 1 + F.col("negative_no"), F.lit(max(1, n))) + 1)
     neg = nxt.join(ranked.select(F.col("_r").alias("_t"), F.col("_rep").alias("negative")), "_t").select(summary, "negative_no", "negative")
     return train.select(F.col(key).alias("anchor"), summary).join(neg, summary).select("anchor", "negative_no", "negative")
+
+
+def fold_negatives(rows: DataFrame, key: str, summary: str, fold: str, folds: list[int], k: int, seed: int) -> DataFrame:
+    """fold, anchor, negative, negative_no: negative_pairs() of the train rows of each held-out fold, with seed + fold. Rows without a fold are always train rows."""
+    parts = [negative_pairs(rows.where(~F.col(fold).eqNullSafe(f)), key, summary, k, seed + f).withColumn("fold", F.lit(f)) for f in folds]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def examples(policies: DataFrame, panel: DataFrame, windows: list[int], features: list[str], key: str) -> DataFrame:
+    """key, window, anchor_summary, positive_time_series, positive_sector, doc_id, sector, country of each policy.
+
+    `policies` has key, country, year, geography, family_summary, sector (a list) and document_id.
+    """
+    series = window_tensor(window_cells(policies.select(key, "country", "year"), panel, windows, features), [key])
+    return policies.join(series, key).select(
+        key, "window", F.col("family_summary").alias("anchor_summary"), F.col("tensor").alias("positive_time_series"), sector_one_hot(F.col("sector")).alias("positive_sector"),
+        F.coalesce("document_id", F.lit("")).alias("doc_id"), "sector", F.trim("geography").alias("country"))
+
+
+def pair_records(records: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+    """anchor, negative_no, window and the fields of a pair: an anchor's example beside the series and sectors of each of its negatives."""
+    a = records.select(F.col(key).alias("anchor"), "window", "anchor_summary", "positive_time_series", "positive_sector")
+    n = records.select(F.col(key).alias("negative"), "window", F.col("positive_time_series").alias("negative_time_series"), F.col("positive_sector").alias("negative_sector"))
+    return pairs.select("anchor", "negative", "negative_no").join(a, "anchor").join(n, ["negative", "window"]).drop("negative")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from policygrid.functions.ordering import top_per
-from policygrid.functions.text import evened_words
+from policygrid.functions.text import evened_words, policy_year, split_sectors
 from policygrid.operators import models, panel, sampling, selector, tensors
 from policygrid.session import durable, table
 
@@ -119,6 +119,43 @@ def negative_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tensors.negative_pairs(g, "row_id", "family_summary", 2, 42).select("anchor", F.col("negative_no").cast("bigint").alias("negative_no"), "negative")
 
 
+def _policies(spark: SparkSession, sf_dir: str, c: DataFrame) -> DataFrame:
+    """row_id, document_id, family_summary, sector, geography, country, year, fold of policies with all of summary, sector, date and a country of the panel."""
+    g = table(spark, sf_dir, "group_kfold_assignments")
+    day = F.trim("last_event_in_timeline")
+    g = g.select("row_id", "document_id", "family_summary", split_sectors(F.col("sector")).alias("sector"), "geography", evened_words(F.col("geography")).alias("country"), F.when(day.rlike("^[0-9]{4}-"), policy_year(day)).alias("year"), "fold")
+    return g.where("trim(family_summary) <> '' and size(sector) > 0 and country <> '' and year is not null").join(c.select("country").distinct(), "country", "left_semi")
+
+
+def _folds(spark: SparkSession, sf_dir: str) -> list[int]:
+    return sorted(r[0] for r in table(spark, sf_dir, "group_kfold_assignments").where("fold is not null").select("fold").distinct().collect())
+
+
+def fold_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train pairs of every held-out fold and window, with seed + fold; the tensors are those of the anchor's and the negative's country and year."""
+    rows = durable(_policies(spark, sf_dir, cells(spark, sf_dir)).select("row_id", "family_summary", "fold"), "policies")
+    p = tensors.fold_negatives(rows, "row_id", "family_summary", "fold", _folds(spark, sf_dir), 2, 42)
+    return p.select("fold", F.explode(F.array(*[F.lit(w) for w in (1, 2, 5, 10)])).alias("window"), "anchor", F.col("negative_no").cast("bigint").alias("negative_no"), "negative")
+
+
+def prepare_fold(spark: SparkSession, sf_dir: str, fold: int, windows: list[int], k: int = 2, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pair records, test records and the manifest of a held-out fold, with whole tensors; the scaler is fitted on countries of train policies."""
+    c = durable(cells(spark, sf_dir), "cells")
+    rows = durable(_policies(spark, sf_dir, c), "policies")
+    held = F.col("fold").eqNullSafe(fold)
+    train = rows.where(~held)
+    flagged = c.join(train.select("country").distinct().withColumn("_train", F.lit(True)), "country", "left")
+    fitted = c.select("feature").distinct().join(tensors.fit_scaler(flagged, F.col("_train")), "feature", "left")
+    params = fitted.select("feature", F.coalesce("mean", F.lit(0.0)).alias("mean"), F.coalesce("std", F.lit(1.0)).alias("std"))
+    names = sorted(r["feature"] for r in params.select("feature").collect())
+    records = durable(tensors.examples(rows, tensors.scale(c, params), windows, names, "row_id").join(rows.select("row_id", held.alias("_test")), "row_id"), "records")
+    pairs = tensors.pair_records(records.where("not _test"), tensors.negative_pairs(train, "row_id", "family_summary", k, seed + fold), "row_id")
+    tests = records.where("_test").drop("_test")
+    n = pairs.groupBy("window").agg(F.count(F.lit(1)).alias("train_pairs")).join(tests.groupBy("window").agg(F.count(F.lit(1)).alias("test_rows")), "window", "full")
+    manifest = n.select(F.lit(fold).alias("fold"), "window", F.lit(train.count()).alias("train_policy_rows"), F.lit(rows.where(held).count()).alias("test_policy_rows"), F.lit(len(names)).alias("feature_count"), F.coalesce("train_pairs", F.lit(0)).alias("train_pairs"), F.coalesce("test_rows", F.lit(0)).alias("test_rows"))
+    return pairs, tests, manifest
+
+
 def series_descriptor(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = selector.series_descriptor(cells(spark, sf_dir), ["country", "feature"], "year", "value")
     return d.select("country", "feature", "n", *[F.round(c, 7).alias(c) for c in selector.DESCRIPTOR])
@@ -201,7 +238,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         panel_standardize, panel_dedupe_most_complete, feature_selection, feature_correlations, year_grid_interpolate, location_slice, panel_split, standard_scale_train_only,
-        window_tensor, window_tensor_all, table_text_render, sector_one_hot, negative_pairs, series_descriptor, selector_pearson, selector_trend, selector_policy_pearson, selector_policy_trend, table_text_render_all, trend_labels,
+        window_tensor, window_tensor_all, table_text_render, sector_one_hot, negative_pairs, fold_pairs, series_descriptor, selector_pearson, selector_trend, selector_policy_pearson, selector_policy_trend, table_text_render_all, trend_labels,
     )
 }
 
@@ -307,6 +344,12 @@ SQL = {
     "negative_pairs": """WITH g AS (SELECT * FROM group_kfold_assignments WHERE fold <> 0 AND trim(family_summary) <> ''), t AS (SELECT family_summary, min(row_id) AS rep FROM g GROUP BY family_summary),
         r AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || family_summary), family_summary) AS r, count(*) OVER () AS n FROM t),
         x AS (SELECT a.family_summary, k.k AS negative_no, b.rep AS negative FROM r a, (VALUES (CAST(1 AS BIGINT)), (2)) AS k(k) JOIN r b ON b.r = (a.r - 1 + k.k) % a.n + 1) SELECT row_id AS anchor, negative_no, negative FROM g JOIN x USING (family_summary)""",
+    "fold_pairs": f"""WITH {_CELLS}, g AS (SELECT row_id, family_summary, fold FROM (SELECT *, {even("geography")} AS country FROM group_kfold_assignments) WHERE trim(family_summary) <> '' AND country IN (SELECT country FROM cells)
+          AND len(list_filter(string_split(coalesce(sector, ''), ';'), lambda s: trim(s) NOT IN ('', 'Other'))) > 0 AND regexp_matches(trim(last_event_in_timeline), '^[0-9]{{4}}-')),
+        f AS (SELECT DISTINCT fold AS held FROM group_kfold_assignments WHERE fold IS NOT NULL), tr AS (SELECT held, row_id, family_summary FROM g, f WHERE fold IS DISTINCT FROM held),
+        t AS (SELECT held, family_summary, min(row_id) AS rep FROM tr GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY held ORDER BY md5((42 + held) || ':' || family_summary), family_summary) AS r, count(*) OVER (PARTITION BY held) AS n FROM t),
+        x AS (SELECT a.held, a.family_summary, k.k AS negative_no, b.rep AS negative FROM r a, (VALUES (CAST(1 AS BIGINT)), (2)) AS k(k) JOIN r b ON b.held = a.held AND b.r = (a.r - 1 + k.k) % a.n + 1 WHERE k.k < a.n)
+        SELECT held AS fold, w."window", row_id AS anchor, negative_no, negative FROM tr JOIN x USING (held, family_summary), (VALUES (1), (2), (5), (10)) AS w("window")""",
     "series_descriptor": f"WITH {_CELLS}, {_descriptor('country, feature', 'cells', 'ds')} SELECT country, feature, n, " + ", ".join(f"round({c}, 7) AS {c}" for c in selector.DESCRIPTOR) + " FROM ds",
     "selector_pearson": _selector(_pearson_sql()),
     "selector_trend": _selector("-abs(sg.slope - td.slope) - 0.5 * abs(sg.delta - td.delta)"),

@@ -77,3 +77,19 @@ def test_triplets_across_shards(spark, tmp_path):
     d = lambda a, b: np.sqrt(((a - b + 1e-6) ** 2).sum())
     loss = [max(0, d(a, p) - d(a, of[k + 1][0]) + 1) for k in (0, 1) for a, p in zip(of[k], of[k][1:])]
     assert got["n"] == len(loss) == 5 and got["loss"] == pytest.approx(np.mean(loss), abs=1e-6)
+
+
+def test_every_fold_has_training_records(spark, sf):
+    pairs = q_panel.fold_pairs(spark, sf)
+    assert {(r["fold"], r["window"]) for r in pairs.select("fold", "window").distinct().collect()} == {(f, w) for f in q_panel._folds(spark, sf) for w in (1, 2, 5, 10)}
+    fold = {r["row_id"]: r["fold"] for r in q_panel._policies(spark, sf, q_panel.cells(spark, sf)).collect()}
+    assert all(r["fold"] not in (fold[r["anchor"]], fold[r["negative"]]) for r in pairs.collect())
+    made, tests, manifest = q_panel.prepare_fold(spark, sf, 1, [1, 5])
+    n = sum(f == 1 for f in fold.values())
+    for r in manifest.collect():
+        same = pairs.where(f"fold = 1 and window = {r['window']}").count()
+        assert (r["train_pairs"], r["test_rows"], r["train_policy_rows"]) == (same, n, len(fold) - n) and r["feature_count"] == q_panel.cells(spark, sf).select("feature").distinct().count()
+    assert manifest.count() == 2
+    one = made.where("window = 5").first()
+    assert len(one["positive_time_series"]) == len(one["negative_time_series"]) == 5 and len(one["negative_sector"]) == 22
+    assert {"anchor_summary", "positive_time_series", "positive_sector", "doc_id", "sector", "country"} <= set(tests.columns)
