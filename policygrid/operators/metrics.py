@@ -22,6 +22,11 @@ def mrr(rank: Column, k: int) -> Column:
     return F.when(rank <= k, 1.0 / rank).otherwise(0.0)
 
 
+def any_overlap(found: Column, answers: Column) -> Column:
+    """1 if any of the found ids is among the answers, else 0; nulls, also inside the lists, match nothing."""
+    return F.coalesce(F.arrays_overlap(F.array_compact(found), F.array_compact(answers)).cast("int"), F.lit(0))
+
+
 METRICS = {"hit": hit, "precision": precision, "ndcg": ndcg, "mrr": mrr}
 
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from policygrid.operators import selector, tensors
+from policygrid.operators import metrics, selector, tensors
 from policygrid.plans import q_panel, q_retrieval
 
 
@@ -93,3 +93,8 @@ def test_every_fold_has_training_records(spark, sf):
     one = made.where("window = 5").first()
     assert len(one["positive_time_series"]) == len(one["negative_time_series"]) == 5 and len(one["negative_sector"]) == 22
     assert {"anchor_summary", "positive_time_series", "positive_sector", "doc_id", "sector", "country"} <= set(tests.columns)
+
+
+def test_any_overlap_of_id_lists(spark):
+    df = spark.createDataFrame([(["a", "b"], ["b"]), (["a"], ["c", None]), ([], ["a"]), (None, ["a"]), (["a", None], [None])], "f array<string>, g array<string>")
+    assert [r[0] for r in df.select(metrics.any_overlap(df.f, df.g)).collect()] == [1, 0, 0, 0, 0]
