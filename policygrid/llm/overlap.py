@@ -174,8 +174,8 @@ def _route(threshold: float, shards: int, hot: int):
 def candidates_in_shard(ids: np.ndarray, size: np.ndarray, bits: np.ndarray, symbols: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (a, b), a < b, of sets that match in the shard and that sizes and bitmaps allow to be similar.
 
-    The sequences of symbols are indexed as one text and searched backwards; every
-    occurrence of a match is located. Nothing is left out however often a symbol
+    The sequences of symbols are indexed as one text and single symbols looked up; every
+    occurrence of one is located. Nothing is left out however often a symbol
     occurs: occurrences are worked off in blocks.
     """
     vocabulary, flat = np.unique(np.concatenate(symbols) if symbols else np.empty(0, np.int64), return_inverse=True)
