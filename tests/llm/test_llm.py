@@ -380,3 +380,45 @@ def test_found_columns(spark, sf):
     for name, cols in want.items():
         assert dict(queries.QUERIES[name](spark, sf).dtypes) == cols
     assert F is not None
+
+
+# --- p5: backward search
+
+
+def test_maximal_matches_equal_brute_force():
+    rng = np.random.default_rng(11)
+    held = [rng.permutation(12)[: rng.integers(0, 10)] + 1 for _ in range(30)]
+    streamed = [rng.permutation(12)[: rng.integers(0, 10)] + 1 for _ in range(30)]
+    index = overlap.FullTextIndex(held)
+    flat, lengths = np.concatenate(streamed), np.array([len(s) for s in streamed])
+    for least in (1, 2, 3):
+        longest = {}
+        for part in overlap.maximal_matches(index, flat, lengths, least):
+            for t, o, n, e, p in zip(*(c.tolist() for c in part)):
+                longest[t, o, e, p] = max(n, longest.get((t, o, e, p), 0))
+        want = {}
+        for (t, a), (e, b) in itertools.product(enumerate(streamed), enumerate(held)):
+            for i, j in itertools.product(range(len(a)), range(len(b))):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                    n += 1
+                if n >= least and not (i and j and a[i - 1] == b[j - 1]):
+                    want[t, i, e, j] = n
+        assert longest == want and want
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.65, 0.8, 0.9])
+def test_no_similar_set_is_lost(spark, threshold):
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(80)]
+    sets, seen = {}, set()
+    for _ in range(40):
+        base = rng.sample(vocabulary, rng.randrange(1, 45))
+        for _ in range(8):
+            w = frozenset([x for x in base if rng.random() > 0.1] + rng.sample(vocabulary, rng.randrange(3)))
+            if w and w not in seen:
+                seen.add(w)
+                sets[len(sets)] = w
+    df = spark.createDataFrame([(i, sorted(w)) for i, w in sets.items()], "set_id long, words array<string>")
+    got = {(r["a"], r["b"]) for r in overlap.similar_sets(df, threshold, 30).collect()}
+    assert got == {(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= threshold} and got
