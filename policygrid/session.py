@@ -40,29 +40,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir.
 
-    Where the setting is absent (tests, one machine) a temporary folder is set
-    for the session and removed when the process ends.
+    Where the setting is absent on one machine (tests) a temporary folder is set
+    for the session and removed when the process ends; on a cluster, where each
+    executor would write to a disk of its own, its absence raises RuntimeError.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="policygrid-")
         spark.sparkContext.setCheckpointDir(found)
         atexit.register(shutil.rmtree, found, True)
     return found
 
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of `path` and the path as its object."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; what is written there goes when the application ends."""
+    path = f"{shared_dir(spark)}/policygrid/{label}-{uuid.uuid4().hex}"
+    fs, p = file_system(spark, path)
+    fs.deleteOnExit(p)
+    return path
+
+
 def durable(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write `df` once to the shared folder and go on from the written table.
 
     It cuts the lineage, survives the loss of executors (unlike cached blocks or
     localCheckpoint) and is columnar, so later reads prune columns. The table is
-    removed when the application ends.
+    removed when the application ends, or by release().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/policygrid/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    fs, p = file_system(spark, path)
+    fs.deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -75,14 +92,13 @@ def spread(df: DataFrame, groups: int, *keys: str) -> DataFrame:
     return df.repartition(max(1, min(groups, 20_000)), *keys)
 
 
-def release(df: DataFrame) -> None:
-    """Remove the files of a table made by durable(); safe to call once it is no longer read."""
-    spark = df.sparkSession
-    roots = {f.rsplit("/part-", 1)[0] for f in df.inputFiles()}
-    for root in roots:
-        if "/policygrid/" in root:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def release(*tables: DataFrame) -> None:
+    """Remove the files of tables made by durable(), once nothing reads them any more."""
+    for df in tables:
+        for root in {f.rsplit("/part-", 1)[0] for f in df.inputFiles()}:
+            if "/policygrid/" in root:
+                fs, p = file_system(df.sparkSession, root)
+                fs.delete(p, True)
 
 
 def ship(spark: SparkSession) -> None:
