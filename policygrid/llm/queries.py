@@ -32,11 +32,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.assign_splits(durable(C.components(table(spark, sf_dir, "all_data_en")), "member"))
+    return C.in_batches(table(spark, sf_dir, "all_data_en"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    member = C.components(table(spark, sf_dir, "all_data_en"))
+    member = C.in_batches(table(spark, sf_dir, "all_data_en"))
     return member.where("row_id <> component").select(F.col("component").alias("first_row_id"), "row_id")
 
 

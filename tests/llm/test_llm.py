@@ -171,6 +171,32 @@ def test_component_table_keeps_splits_and_quarantines(spark, tmp_path):
             assert r["split"] == a[i]["split"]
     again = {r["row_id"]: r["split"] for r in t.update(_rows(spark, more)).collect()}
     assert again == {i: r["split"] for i, r in b.items()}
+    # Quarantine outlasts updates that have nothing to do with it, and spreads with a merge, until it is cleared.
+    third = {r["row_id"]: r for r in t.update(_rows(spark, [(2000, "another", None, None)])).collect()}
+    assert {i for i, r in third.items() if r["quarantined"]} == {i for i, r in b.items() if r["quarantined"]}
+    fourth = {r["row_id"]: r for r in t.update(_rows(spark, [(2001, "another", "bridge", None), (-5, "new", None, None)])).collect()}
+    assert fourth[2000]["quarantined"] and fourth[2001]["quarantined"] and fourth[2000]["component"] == min(train, test)
+    assert fourth[1002]["component"] == -5 and fourth[1002]["split"] == third[1002]["split"] and not fourth[1002]["quarantined"]
+    t.compact()
+    assert len(t.versions()) == 1
+    fifth = {r["row_id"]: r for r in t.update(_rows(spark, [(3000, f"f{test}", None, None)])).collect()}
+    assert {i for i, r in fifth.items() if r["quarantined"]} == {i for i, r in fourth.items() if r["quarantined"]} | {3000}
+    freed = t.clear(spark.createDataFrame([(min(train, test),)], "component long")).collect()
+    assert len(freed) == len(fifth) and not any(r["quarantined"] for r in freed)
+    assert len({(r["component"], r["split"]) for r in freed}) == len({r["component"] for r in freed})
+
+
+def test_batches_give_the_components_of_one_run(spark):
+    rng = random.Random(14)
+    some = lambda p, n: rng.choice([None, f"{p} {rng.randrange(n)}"])
+    rows = [(i, some("F", 60), some("T", 70), some("D", 90)) for i in range(160)]
+    rng.shuffle(rows)
+    path = queries.C.scratch(spark, "test")
+    t = components.ComponentTable(spark, path, keep=3)
+    for a in range(0, 160, 32):
+        out = t.update(_rows(spark, rows[a : a + 32]))
+    assert {r["row_id"]: r["component"] for r in out.collect()} == _first(rows) and len(t.versions()) < 4
+    assert t.update(_rows(spark, [])).count() == 160
 
 
 # --- p4
