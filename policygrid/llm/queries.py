@@ -68,6 +68,11 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts again, from their ids."""
+    return T.decode_corpus(p8_ids(spark, sf_dir))
+
+
 def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.pack(T.token_counts(table(spark, sf_dir, "documents")), "doc_id", "n_tokens").withColumnRenamed("item_id", "doc_id")
 
@@ -83,7 +88,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_neighbours": p1_neighbours, "p1_found": p1_found,
     "p2_splits": p2_splits, "p2_found": p2_found, "p4_pieces": p4_pieces, "p4_found": p4_found, "p5_pairs": p5_pairs, "p5_found": p5_found, "p5_report": p5_report,
-    "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_canonical": p10_canonical, "p10_found": p10_found,
+    "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_containers": p9_containers, "p10_canonical": p10_canonical, "p10_found": p10_found,
 }
 
 SPACES = r"[\s\x{1c}-\x{1f}\x{b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -105,6 +110,7 @@ _KEYS = f"""k AS (SELECT row_id, 'f' || {_even("family_id")} AS key FROM all_dat
    UNION ALL SELECT row_id, 't' || t FROM (SELECT row_id, lower(regexp_replace(family_title, '({SPACES}|[\\pP\\pC])+', '', 'g')) AS t FROM all_data_en) WHERE t NOT IN ({_BARE})),
    e AS MATERIALIZED (SELECT DISTINCT a.row_id AS a, b.row_id AS b FROM k a JOIN k b USING (key))"""
 SQL = {
+    "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p2_found": f"""WITH RECURSIVE {_KEYS}, reach AS (SELECT row_id AS root, row_id FROM all_data_en UNION SELECT r.root, e.b FROM reach r JOIN e ON e.a = r.row_id WHERE r.root < e.b)
         SELECT min(root) AS first_row_id, row_id FROM reach GROUP BY row_id HAVING min(root) < row_id""",
     "p4_found": f"""SELECT row_id FROM all_data_en WHERE {_path("text_file_path")} IN (SELECT {_path("text_file_path")} FROM text_files WHERE length(page_content) > 1500)""",

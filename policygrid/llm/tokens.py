@@ -15,15 +15,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from policygrid.session import durable, require_columns
+from policygrid.session import durable, require_columns, spread
 
 #: Where vocabulary files lie unless a path is given.
 FOLDER = os.environ.get("POLICYGRID_TOKENIZERS", "/opt/tokenizers")
 BYTE_BPE = "byte_bpe_50k.tiktoken"
 #: Pre-token pattern of the byte-level vocabularies. Fixed value; it looks ahead one character and never back.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Texts longer than CHUNK characters are encoded in chunks; consecutive chunks share OVERLAP characters.
-CHUNK, OVERLAP = 200_000, 2_000
+#: Characters from the start of one chunk to that of the next, and characters that two chunks share.
+CHUNK, OVERLAP = 4096, 256
+#: Chunks that make one task, about.
+_TASK_CHUNKS = 512
 
 
 def vocabulary_path(name: str = BYTE_BPE, folder: str = FOLDER) -> str:
@@ -93,17 +95,24 @@ def pretoken_ends(text: str, a: int, b: int) -> list[int]:
     One at the very end isn't certain, and white space is split by what follows it,
     so ends after white space are left out too.
     """
-    return [e for m in regex.finditer(PATTERN, text) if a <= (e := m.end()) < min(b, len(text)) and not text[e - 1].isspace()]
+    return [e for m in _PRETOKEN.finditer(text) if a <= (e := m.end()) < min(b, len(text)) and not text[e - 1].isspace()]
 
 
-def _chunks(size: int, overlap: int):
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
+_PRETOKEN = regex.compile(PATTERN)
 
-        for pdf in batches:
-            for key, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+
+def _cut(size: int, overlap: int):
+    """doc_id, chunk, last, text: the overlapping chunks of each text, a thousand of them in a batch at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 n = max(1, -(-(len(text) - overlap) // size))
-                yield pd.DataFrame({"doc_id": key, "chunk": range(n), "last": n - 1, "text": [text[i * size : (i + 1) * size + overlap] for i in range(n)]})
+                for a in range(0, n, 1000):
+                    some = range(a, min(n, a + 1000))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([key] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array([n - 1] * len(some), pa.int32()), pa.array([text[i * size : (i + 1) * size + overlap] for i in some], pa.string())],
+                        ["doc_id", "chunk", "last", "text"])
 
     return run
 
@@ -111,64 +120,103 @@ def _chunks(size: int, overlap: int):
 def _marks(size: int, overlap: int):
     """Per chunk: pre-token ends, in the text's positions, within the part shared with the chunk before and after."""
 
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             head, tail = [], []
-            for i, last, text in zip(pdf["chunk"], pdf["last"], pdf["text"], strict=True):
+            for i, last, text in zip(*(batch.column(c).to_pylist() for c in ("chunk", "last", "text")), strict=True):
                 ends = pretoken_ends(text, 0, len(text))
                 head.append([i * size + e for e in ends if e <= overlap] if i else [])
                 tail.append([i * size + e for e in ends if e >= size] if i < last else [])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "chunk": pdf["chunk"], "head": head, "tail": tail})
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("chunk"), pa.array(head, kind), pa.array(tail, kind)], ["doc_id", "chunk", "head", "tail"])
 
     return run
 
 
-def _encode_pieces(path: str, size: int):
+def _encode_pieces(path: str, size: int, count_only: bool):
+    """The ids (or their number) of each chunk's piece [a, b) of the text; b is null for the last."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            arrays = [encode(r["text"][r["a"] - r["chunk"] * size : r["b"] - r["chunk"] * size if r["b"] is not None else None], path) for r in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([r["doc_id"] for r in rows], pa.int64()), pa.array([r["chunk"] for r in rows], pa.int32()), _lists(arrays)], ["doc_id", "chunk", "ids"])
+            arrays = []
+            for chunk, text, a, b in zip(*(batch.column(c).to_pylist() for c in ("chunk", "text", "a", "b")), strict=True):
+                at = chunk * size
+                arrays.append(encode(text[a - at : None if b is None else b - at], path))
+            ids = pa.array([len(x) for x in arrays], pa.int32()) if count_only else _lists(arrays)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("chunk"), ids], ["doc_id", "chunk", "n_tokens" if count_only else "ids"])
 
     return run
 
 
+def _encoded(rows: DataFrame, path: str, size: int, overlap: int, count_only: bool) -> DataFrame:
+    """encode_corpus() or token_counts() of doc_id, text."""
+    kind = "n_tokens int" if count_only else "ids array<int>"
+    done = []
+    while True:
+        more = F.coalesce(F.length("text") > size + overlap, F.lit(False))
+        # A text of one chunk has no other to be stitched to.
+        done.append(rows.where(~more).mapInArrow(_encoder(path, count_only), f"doc_id long, {kind}"))
+        rows = rows.where(more)
+        chunks = rows.agg(F.coalesce(F.sum(F.ceil((F.length("text") - overlap) / size)), F.lit(0))).first()[0]
+        if not chunks:
+            break
+        tasks = -(-int(chunks) // _TASK_CHUNKS)
+        cut = spread(rows.mapInArrow(_cut(size, overlap), "doc_id long, chunk int, last int, text string"), tasks, "doc_id", "chunk")
+        marks = durable(cut.mapInArrow(_marks(size, overlap), "doc_id long, chunk int, head array<long>, tail array<long>"), "marks")
+        # The stitch after chunk i: the first boundary that its tail and the head of chunk i + 1 share.
+        after = marks.select("doc_id", (F.col("chunk") - 1).alias("chunk"), F.col("head").alias("next_head"))
+        stitches = durable(marks.join(after, ["doc_id", "chunk"]).select("doc_id", "chunk", F.array_min(F.array_intersect("tail", "next_head")).alias("stitch")), "stitches")
+        loose = stitches.where("stitch is null").select("doc_id").distinct()
+        firm = stitches.join(loose, "doc_id", "left_anti")
+        ends = firm.select("doc_id", (F.col("chunk") + 1).alias("chunk"), F.col("stitch").alias("a"))
+        bounds = firm.select("doc_id", "chunk", F.col("stitch").alias("b")).join(ends, ["doc_id", "chunk"], "full").select("doc_id", "chunk", F.coalesce("a", F.lit(0)).alias("a"), "b")
+        pieces = cut.select("doc_id", "chunk", "text").join(bounds, ["doc_id", "chunk"]).mapInArrow(_encode_pieces(path, size, count_only), f"doc_id long, chunk int, {kind}")
+        if count_only:
+            whole = pieces.groupBy("doc_id").agg(F.sum("n_tokens").cast("int").alias("n_tokens"))
+        else:
+            whole = pieces.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])).alias("ids"))
+        done.append(whole)
+        if loose.isEmpty():
+            break
+        # A pre-token longer than an overlap: those texts again, with wider chunks and overlaps.
+        rows, size, overlap = rows.join(loose, "doc_id", "left_semi"), 4 * size, 4 * overlap
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
+
+
 def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, ids of every row; null and empty texts have no ids (an empty list).
 
-    Texts up to `size` + `overlap` characters are encoded where they lie. Longer
-    ones are cut into overlapping chunks, which are pre-tokenised in parallel. The
-    pattern reads forwards only, so from a position that is a boundary in both of
-    two neighbouring chunks on, both agree with the whole text: there they are
-    stitched, and the pieces between stitches are encoded in parallel and joined. A
-    text in which some overlap has no common boundary (a pre-token longer than the
-    overlap) is encoded as a whole. Every row comes out once; `key` must be unique.
+    Texts are cut into chunks of `size` + `overlap` characters, one starting every
+    `size`, which are pre-tokenised in parallel. The pattern reads forwards only, so
+    from a position that is a boundary in both of two neighbouring chunks on, both
+    agree with the whole text: there they are stitched, and the pieces between
+    stitches are encoded in parallel and their ids joined. Where an overlap has no
+    common boundary (a pre-token longer than it) the text is cut again with chunks
+    and overlaps four times as wide, until there is one or the text is one chunk.
+    Every row comes out once; `key` must be unique and not null; other columns,
+    whatever their names, are ignored; no rows give no rows.
     """
     require_columns(docs, key, text)
-    path = path or vocabulary_path()
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    is_long = F.coalesce(F.length("text") > size + overlap, F.lit(False))
-    short = rows.where(~is_long).mapInArrow(_encoder(path, False), "doc_id long, ids array<int>")
-    long = durable(rows.where(is_long), "long-texts")
-    if long.isEmpty():
-        return short
-    chunks = durable(long.mapInPandas(_chunks(size, overlap), "doc_id long, chunk int, last int, text string"), "chunks")
-    marks = durable(chunks.repartition("doc_id", "chunk").mapInPandas(_marks(size, overlap), "doc_id long, chunk int, head array<long>, tail array<long>"), "marks")
-    # The stitch after chunk i: the first boundary that its tail and the head of chunk i + 1 share.
-    nxt = marks.select("doc_id", (F.col("chunk") - 1).alias("chunk"), F.col("head").alias("next_head"))
-    cuts = marks.join(nxt, ["doc_id", "chunk"]).select("doc_id", "chunk", F.array_min(F.array_intersect("tail", "next_head")).alias("cut"))
-    doc_cuts = durable(cuts.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("chunk", F.coalesce("cut", F.lit(-1))))).alias("cuts"), F.bool_and(F.col("cut").isNotNull()).alias("whole")), "cuts")
-    placed = chunks.join(doc_cuts.where("whole"), "doc_id").select(
-        "doc_id", "chunk", "text", F.coalesce(F.try_element_at("cuts", F.col("chunk") - 1), F.lit(0)).alias("a"), F.try_element_at("cuts", F.col("chunk")).alias("b"))
-    parts = placed.repartition("doc_id", "chunk").mapInArrow(_encode_pieces(path, size), "doc_id long, chunk int, ids array<int>")
-    stitched = parts.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])).alias("ids"))
-    rest = long.join(doc_cuts.where("not whole"), "doc_id", "left_semi").mapInArrow(_encoder(path, False), "doc_id long, ids array<int>")
-    return short.unionByName(stitched).unionByName(rest)
-
-
-def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens of every row; 0 for null and empty texts. The ids stay in the Python worker."""
+    return _encoded(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), path or vocabulary_path(), size, overlap, False)
+
+
+def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """doc_id, n_tokens of every row, by the chunks of encode_corpus(); 0 for null and empty texts. The ids stay in the Python worker."""
     require_columns(docs, key, text)
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text)).mapInArrow(_encoder(path or vocabulary_path(), True), "doc_id long, n_tokens int")
+    return _encoded(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), path or vocabulary_path(), size, overlap, True)
+
+
+def _decoder(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([decode(ids, path) for ids in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
+
+    return run
+
+
+def decode_corpus(encoded: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, text of doc_id, ids: the bytes of the ids joined; no ids give the empty text."""
+    return encoded.select("doc_id", "ids").mapInArrow(_decoder(path or vocabulary_path()), "doc_id long, text string")

@@ -303,10 +303,13 @@ def test_round_trip_and_chunks_equal_the_whole(spark):
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, ids int")
     whole = {r["doc_id"]: r["ids"] for r in tokens.encode_corpus(df).collect()}
     cut = {r["doc_id"]: r["ids"] for r in tokens.encode_corpus(df, size=100, overlap=30).collect()}
-    assert whole == cut and len(whole) == len(texts) and whole[0] == whole[1] == []
+    fine = {r["doc_id"]: r["ids"] for r in tokens.encode_corpus(df, size=16, overlap=6).collect()}  # most have to be widened
+    assert whole == cut == fine and len(whole) == len(texts) and whole[0] == whole[1] == []
     for i, t in enumerate(texts):
         assert tokens.decode(whole[i], path) == (t or "")
-    counts = {r["doc_id"]: r["n_tokens"] for r in tokens.token_counts(df).collect()}
+    counts = {r["doc_id"]: r["n_tokens"] for r in tokens.token_counts(df, size=100, overlap=30).collect()}
+    assert tokens.encode_corpus(df.limit(0)).count() == 0
+    assert {r["doc_id"]: r["text"] for r in tokens.decode_corpus(tokens.encode_corpus(df)).collect()} == {i: t or "" for i, t in enumerate(texts)}
     assert counts == {i: len(v) for i, v in whole.items()}
 
 
