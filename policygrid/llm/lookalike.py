@@ -114,42 +114,35 @@ def representatives(counts: dict[str, int]) -> dict[str, str]:
 
 
 class Rewriter:
-    """Greedy leftmost-longest rewriting of class members by their representatives, over decomposed text.
+    """Greedy leftmost-longest rewriting of class members by their representatives: a multi-pattern automaton over decomposed text.
 
-    Members of several characters need the automaton. Where all that are left to
-    rewrite are single characters the automaton has depth one, and is applied as a
-    table of code points (composed characters included), which is the same and faster.
+    The automaton reads UTF-8 bytes (each as one character), so that its states have
+    few ways out; as no character's bytes begin inside another's, matches are the
+    same as over characters.
     """
 
     def __init__(self, to: dict[str, str]) -> None:
         self.automaton = ahocorasick.Automaton()
         for s, r in to.items():
             if s:
-                self.automaton.add_word(s, (len(s), r))
+                self.automaton.add_word(_bytes(s), (len(s.encode()), _bytes(r)))
         self.automaton.make_automaton()
-        self.table: dict[int, str] | None = None
-        if all(len(s) <= 1 for s in to):
-            chars = {c for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.decomposition(c)[:1] not in ("", "<")} | {s for s in to if s}
-            table = {c: "".join(to.get(x, x) for x in unicodedata.normalize("NFD", c)) for c in chars}
-            self.table = {ord(c): r for c, r in table.items() if unicodedata.normalize("NFC", r) != unicodedata.normalize("NFC", c)}
 
     def __call__(self, text: str) -> str:
         """The canonical form. Rewriting can bring a letter and an accent together, so accents are composed last."""
-        if text.isascii() and text.isprintable():
-            return text
-        flat = text.translate(self.table) if self.table is not None else self.scan(unicodedata.normalize("NFD", text))
-        return flat if unicodedata.is_normalized("NFC", flat) else unicodedata.normalize("NFC", flat)
-
-    def scan(self, flat: str) -> str:
-        """The automaton's pass over decomposed text."""
+        if not len(self.automaton):
+            return unicodedata.normalize("NFC", text)
+        flat = _bytes(unicodedata.normalize("NFD", text))
         out, at = [], 0
         for end, (n, r) in self.automaton.iter_long(flat):
-            start = end - n + 1
-            if start > at:
-                out.append(flat[at:start])
+            out.append(flat[at : end - n + 1])
             out.append(r)
             at = end + 1
-        return "".join([*out, flat[at:]])
+        return unicodedata.normalize("NFC", "".join([*out, flat[at:]]).encode("latin-1").decode())
+
+
+def _bytes(s: str) -> str:
+    return s.encode().decode("latin-1")
 
 
 def _canonical(to: dict[str, str]):
@@ -196,11 +189,14 @@ def canonical_text(docs: DataFrame, text: str = "text", to: dict[str, str] | Non
     """`docs` with the column `canonical`: texts that look the same are equal in it, others differ.
 
     Case, accents, punctuation, digits and line ends stay. Null stays null, a text
-    of unseen characters becomes empty. Printable ASCII passes without Python.
+    of unseen characters becomes empty. A text of printable ASCII is its own
+    canonical form unless a class has another representative than the ASCII member,
+    in which case the automaton reads it too.
     """
     require_columns(docs, text)
     to = representatives(member_counts(docs, text)) if to is None else to
-    plain = F.col(text).isNull() | ~F.col(text).rlike(r"[^\t\n\r -~]")
+    # Without a pattern of ASCII alone there is nothing to rewrite in such a text.
+    plain = F.col(text).isNull() if any(s and s.isascii() and s.isprintable() for s in to) else F.col(text).isNull() | ~F.col(text).rlike(r"[^\t\n\r -~]")
     return docs.withColumn("canonical", F.when(plain, F.col(text)).otherwise(_canonical(to)(F.when(~plain, F.col(text)))))
 
 

@@ -366,17 +366,32 @@ def test_looks(a, b, same):
     assert rewrite(rewrite(a)) == rewrite(a)
 
 
+def _greedy(to, text):
+    """Leftmost-longest rewriting, position by position."""
+    flat, out, i = unicodedata.normalize("NFD", text), "", 0
+    while i < len(flat):
+        n = max((len(s) for s in to if s and flat.startswith(s, i)), default=0)
+        out += to[flat[i : i + n]] if n else flat[i]
+        i += n or 1
+    return unicodedata.normalize("NFC", out)
+
+
 @settings(max_examples=80, deadline=None)
-@given(st.text(alphabet="aеoоκḰ̈​  ﬁfiＡй1\n", max_size=30))
-def test_table_and_automaton_agree(text):
-    rewrite = lookalike.Rewriter(lookalike.representatives({}))
-    assert rewrite.table is not None
-    assert unicodedata.normalize("NFC", rewrite.scan(unicodedata.normalize("NFD", text))) == rewrite(text)
+@given(st.text(alphabet="aеoоκḰ̈​  ﬁfiＡй1\n🌱", max_size=30), st.sampled_from([{}, {"ﬁ": 9, "f": 1, "i": 1}, {"а": 5, "е": 7}]))
+def test_automaton_equals_greedy_rewriting(text, counts):
+    to = lookalike.representatives(counts)
+    assert lookalike.Rewriter(to)(text) == _greedy(to, text)
 
 
 def test_automaton_rewrites_longer_members():
-    rewrite = lookalike.Rewriter({"fi": "ﬁ", "а": "a"})
-    assert rewrite.table is None and rewrite("éffiап") == "éfﬁaп"
+    to = {"fi": "ﬁ", "ffi": "ﬃ", "а": "a"}
+    assert lookalike.Rewriter(to)("éffiап fi") == _greedy(to, "éffiап fi") == "éﬃaп ﬁ" and lookalike.Rewriter({})("é") == "é"
+
+
+def test_ascii_is_rewritten_where_another_member_stands_for_it(spark):
+    df = spark.createDataFrame([(1, "аааа"), (2, "a"), (3, "plain text"), (4, "а")], "doc_id long, text string")
+    out = {r["doc_id"]: r["canonical"] for r in lookalike.canonical_text(df).collect()}
+    assert out[2] == out[4] and {(r[0], r[1]) for r in lookalike.lookalike_pairs(df).collect()} == {(2, 4)}
 
 
 def test_representative_is_the_most_frequent():
