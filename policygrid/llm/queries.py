@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,6 +106,15 @@ def _even(c: str) -> str:
     return f"lower(regexp_replace({c}, '{SPACES}', '', 'g'))"
 
 
+def _looks() -> str:
+    """VALUES (character, what it becomes) of the look-alike classes: each member of one character, and composed characters by their parts."""
+    to = L.representatives({})
+    seen = lambda s: "".join(to.get(c, c) for c in unicodedata.normalize("NFD", s))
+    rows = {c: seen(c) for c in map(chr, range(1, sys.maxunicode + 1)) if c in to or unicodedata.decomposition(c)[:1] not in ("", "<")}
+    code = lambda s: "||".join(f"chr({ord(c)})" for c in s) or "''"
+    return ", ".join(f"({code(c)}, {code(r)})" for c, r in rows.items() if unicodedata.normalize("NFC", r) != unicodedata.normalize("NFC", c))
+
+
 _BLANK = ", ".join("'" + v.replace("'", "''") + "'" for v in NO_VALUE_EVEN)
 _BARE = ", ".join("'" + v + "'" for v in NO_VALUE_BARE)
 _KEYS = f"""k AS (SELECT row_id, 'f' || {_even("family_id")} AS key FROM all_data_en WHERE {_even("family_id")} NOT IN ({_BLANK})
@@ -110,6 +122,10 @@ _KEYS = f"""k AS (SELECT row_id, 'f' || {_even("family_id")} AS key FROM all_dat
    UNION ALL SELECT row_id, 't' || t FROM (SELECT row_id, lower(regexp_replace(family_title, '({SPACES}|[\\pP\\pC])+', '', 'g')) AS t FROM all_data_en) WHERE t NOT IN ({_BARE})),
    e AS MATERIALIZED (SELECT DISTINCT a.row_id AS a, b.row_id AS b FROM k a JOIN k b USING (key))"""
 SQL = {
+    "p10_found": f"""WITH m(c, r) AS (VALUES {_looks()}), t AS (SELECT doc_id, text, regexp_extract_all(text, '(?s).') AS cs FROM documents WHERE text IS NOT NULL),
+        ch AS (SELECT doc_id, unnest(cs) AS c, generate_subscripts(cs, 1) AS i FROM t), x AS (SELECT doc_id, nfc_normalize(string_agg(coalesce(r, c), '' ORDER BY i)) AS look FROM ch LEFT JOIN m USING (c) GROUP BY doc_id)
+        SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM x a JOIN x b ON a.look = b.look AND a.doc_id < b.doc_id JOIN t s ON s.doc_id = a.doc_id JOIN t o ON o.doc_id = b.doc_id
+        WHERE s.text <> o.text AND regexp_matches(a.look, '[^\\s\\pC\\x{{85}}\\x{{a0}}\\x{{2028}}\\x{{2029}}]')""",
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p2_found": f"""WITH RECURSIVE {_KEYS}, reach AS (SELECT row_id AS root, row_id FROM all_data_en UNION SELECT r.root, e.b FROM reach r JOIN e ON e.a = r.row_id WHERE r.root < e.b)
         SELECT min(root) AS first_row_id, row_id FROM reach GROUP BY row_id HAVING min(root) < row_id""",
