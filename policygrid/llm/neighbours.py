@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from policygrid.functions.ordering import top_per
 from policygrid.session import durable, require_columns, spread
 
-#: Vectors of a shard's graph about; a cell with more is dealt to several shards.
+#: Vectors of a shard's graph about; a cell with over twice as many is split into leaves.
 SHARD = 3000
+#: Leaves that a cell is split into at once, cells that are split in one round, and vectors per leaf that the split is fitted on.
+LEAVES, SPLITS, LEAF_SAMPLE = 256, 256, 64
 #: Cells are fitted on at most so many vectors; every vector is indexed.
 FIT_SAMPLE = 40_000
 MOST_CELLS = 4096
@@ -23,65 +25,50 @@ MOST_CELLS = 4096
 PROBES = 2
 #: Out-degree after pruning, beam width, relaxation of the pruning distance.
 DEGREE, BEAM, ALPHA = 16, 32, 1.2
-#: Queries that search a graph in step.
-_TOGETHER = 256
+#: Queries that search a graph in step, and nodes they begin at.
+_TOGETHER, _ENTRIES = 256, 8
 
 
 class Graph:
     """A directed graph over unit vectors for greedy search, its edges pruned to differ in direction.
 
-    Vectors are inserted in batches. For each a beam search over the graph so far
-    proposes neighbours; robust pruning keeps the nearest and drops those that a
-    kept one is `alpha` times nearer to. Edges are made both ways; a node is pruned
-    again when it has twice the degree.
+    Vectors are inserted from the first on, in batches as large as the graph so far
+    (256 at most). For each a greedy beam search over that graph proposes neighbours;
+    robust pruning keeps the nearest and drops those that a kept one is `alpha` times
+    nearer to. Edges are made both ways; a node is pruned again when it has twice the
+    degree. No vectors are compared but those that a search meets.
     """
 
-    def __init__(self, x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, seed: int = 0, least: float | None = None) -> None:
-        self.least = least  # proposals of at least that similarity are kept
+    def __init__(self, x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, seed: int = 0) -> None:
         self.x, self.n = np.ascontiguousarray(x, np.float32), len(x)
         self.degree, self.beam, self.alpha = degree, beam, alpha
         self.out = np.full((self.n, 2 * degree), -1, np.int32)
         self.used = np.zeros(self.n, np.int64)
         order = np.random.default_rng(seed).permutation(self.n)
-        first = order[: min(self.n, 1024)]
-        self.entry = np.empty(0, np.int64)
-        self.proposed: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if not self.n:
-            return
-        mean = self.x[first].mean(0)
-        # Search begins at vectors spread over the first batch, nearest to its mean first.
-        self.entry = first[np.argsort(-(self.x[first] @ mean))][:: max(1, len(first) // 8)][:8].astype(np.int64)
-        self._link(first, *self._among(first, 2 * beam))
-        done = len(first)
+        # Searches begin at some of the vectors that were inserted first.
+        self.entry = order[:_ENTRIES].astype(np.int64)
+        done = min(self.n, 1)
         while done < self.n:
-            batch = order[done : done + min(done, 1024)]
-            found, sims = self.search(self.x[batch], beam)
-            # Vectors of a batch don't meet in the graph yet; they are compared directly.
-            beside, near = self._among(batch, 8)
-            self._link(batch, np.concatenate([found, beside], 1), np.concatenate([sims, near], 1))
+            batch = order[done : done + min(done, _TOGETHER)]
+            self._link(batch, *self.search(self.x[batch], beam, entry=order[: min(done, _ENTRIES)]))
             done += len(batch)
 
-    def _among(self, nodes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """The `most` nearest of `nodes` for each of them."""
-        s = self.x[nodes] @ self.x[nodes].T
-        np.fill_diagonal(s, -2)
-        top = np.argpartition(-s, min(most, len(nodes) - 1), 1)[:, :most]
-        got = np.take_along_axis(s, top, 1)
-        return np.where(got > -2, nodes[top], -1), got
-
-    def proposals(self, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """Per vector the k best of all that were proposed to it, or it to them, as it was inserted, with at least that similarity."""
-        a, b, s = (np.concatenate(c) for c in zip(*self.proposed, strict=True)) if self.n else (np.empty(0, np.int64),) * 2 + (np.empty(0, np.float32),)
-        keep = s >= least
-        a, b, s = a[keep], b[keep], s[keep]
-        a, b, s = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([s, s])
-        _, once = np.unique(a * max(1, self.n) + b, return_index=True)
-        a, b, s = a[once], b[once], s[once]
-        order = np.lexsort((b, -s, a))
-        a, b, s = a[order], b[order], s[order]
-        place = np.arange(len(a)) - np.searchsorted(a, a)
-        ids, sims = np.full((self.n, k), -1, np.int64), np.full((self.n, k), -2, np.float32)
-        ids[a[place < k], place[place < k]], sims[a[place < k], place[place < k]] = b[place < k], s[place < k]
+    def neighbours(self, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (-1: none) and similarities of the `beam` best met for each of the graph's own vectors, best first.
+
+        The second pass over the vectors: each beam search begins at the vector's own
+        node, in the graph of all; what it meets is linked, as vectors that were
+        inserted together have not met before.
+        """
+        ids, sims = np.full((self.n, beam), -1, np.int64), np.full((self.n, beam), -2, np.float32)
+        for a in range(0, self.n, _TOGETHER):
+            nodes = np.arange(a, min(self.n, a + _TOGETHER))
+            i, s = self._search(self.x[nodes], beam, 2, nodes[:, None])
+            s[i == nodes[:, None]] = -2
+            best = np.argsort(-s, 1, kind="stable")
+            ids[nodes], sims[nodes] = np.take_along_axis(i, best, 1), np.take_along_axis(s, best, 1)
+            ids[nodes] = np.where(sims[nodes] > -2, ids[nodes], -1)
+            self._link(nodes, np.concatenate([ids[nodes], self.out[nodes]], 1), np.concatenate([sims[nodes], self._sims(self.x[nodes], self.out[nodes])], 1))
         return ids, sims
 
     def _prune(self, nodes: np.ndarray, cand: np.ndarray, sims: np.ndarray) -> np.ndarray:
@@ -105,9 +92,6 @@ class Graph:
         return out
 
     def _link(self, nodes: np.ndarray, cand: np.ndarray, sims: np.ndarray) -> None:
-        if self.least is not None:
-            near = (sims >= self.least) & (cand >= 0)
-            self.proposed.append((np.repeat(nodes, near.sum(1)), cand[near].astype(np.int64), sims[near]))
         kept = self._prune(nodes, cand, sims)
         self.out[nodes, : self.degree] = kept
         self.used[nodes] = (kept >= 0).sum(1)
@@ -136,24 +120,28 @@ class Graph:
         s[c < 0] = -2
         return s
 
-    def search(self, queries: np.ndarray, beam: int, width: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, queries: np.ndarray, beam: int, width: int = 2, entry: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1: none) and similarities of the `beam` best vectors met, best first; `width` nodes are expanded at a time."""
         ids, sims = [], []
+        entry = self.entry if entry is None else entry
         for a in range(0, len(queries), _TOGETHER):
-            i, s = self._search(np.ascontiguousarray(queries[a : a + _TOGETHER], np.float32), beam, width)
+            q = np.ascontiguousarray(queries[a : a + _TOGETHER], np.float32)
+            i, s = self._search(q, beam, width, np.broadcast_to(entry, (len(q), len(entry))))
             ids.append(i)
             sims.append(s)
         return (np.concatenate(ids), np.concatenate(sims)) if ids else (np.empty((0, beam), np.int64), np.empty((0, beam), np.float32))
 
-    def _search(self, q: np.ndarray, beam: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    def _search(self, q: np.ndarray, beam: int, width: int, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """search() of queries that each begin at the nodes of its row of `entry`."""
         b = len(q)
         seen = np.zeros((b, self.n), np.int32)  # 0: not met; else the place by which it was met
         ids = np.full((b, beam), -1, np.int64)
         sims = np.full((b, beam), -2, np.float32)
         wait = np.zeros((b, beam), bool)
-        m = min(beam, len(self.entry))
-        ids[:, :m], sims[:, :m], wait[:, :m] = self.entry[:m], q @ self.x[self.entry[:m]].T, True
-        seen[:, self.entry[:m]] = 1
+        m = min(beam, entry.shape[1])
+        entry = entry[:, :m]
+        ids[:, :m], sims[:, :m], wait[:, :m] = entry, self._sims(q, entry), True
+        np.put_along_axis(seen, entry, 1, 1)
         live = np.arange(b)
         place = 1
         while len(live):
@@ -273,6 +261,79 @@ def _assign(centroids: np.ndarray, probes: int, width: int):
     return run
 
 
+def _fit_leaves(shard: int, width: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        x = _vectors(table.column("vec"), width)
+        n = table.column("n")[0].as_py()
+        c = fit_cells(x[np.argsort(table.column("nid").to_numpy(), kind="stable")], min(LEAVES, math.ceil(n / shard)))
+        return pa.table({"cell": pa.array([key[0].as_py()], pa.int32()), "centroids": pa.array([c.tobytes()], pa.binary())})
+
+    return run
+
+
+def _to_leaves(centroids, width: int):
+    """Rows of split cells at their nearest leaf; members at the next nearest too, to be searched there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book = {c: (first, np.frombuffer(m, np.float32).reshape(-1, width)) for c, (first, m) in centroids.value.items()}
+        for batch in batches:
+            x, cell = _vectors(batch.column("vec"), width), batch.column("cell").to_numpy()
+            member = batch.column("member").to_numpy(zero_copy_only=False).astype(bool)
+            near = np.full((len(x), 2), -1, np.int32)
+            for c in np.unique(cell):
+                at = np.flatnonzero(cell == c)
+                first, m = book[int(c)]
+                s = x[at] @ m.T
+                near[at, 0] = s.argmax(1) + first
+                if len(m) > 1:
+                    s[np.arange(len(at)), near[at, 0] - first] = -3
+                    near[at, 1] = np.where(member[at], s.argmax(1) + first, -1)
+            row = np.concatenate([np.arange(len(x)), np.flatnonzero(near[:, 1] >= 0)])
+            to = np.concatenate([near[:, 0], near[near[:, 1] >= 0, 1]])
+            own = np.concatenate([member, np.zeros(len(to) - len(x), bool)])
+            yield pa.RecordBatch.from_arrays([batch.column("nid").take(pa.array(row)), batch.column("vec").take(pa.array(row)), pa.array(to, pa.int32()), pa.array(own)], ["nid", "vec", "cell", "member"])
+
+    return run
+
+
+def _leaves(sent: DataFrame, cells: int, shard: int, width: int) -> tuple[DataFrame, int]:
+    """`sent` (nid, vec, cell, member) with cells of over two shards' worth of members split, and the number of cells.
+
+    A crowded cell is split by k-means over a bounded sample of its members, and
+    its leaves again, until none is crowded. Each vector stays a member of one leaf
+    and gains one more to be searched in per split: copies grow with the depth, which
+    is the logarithm of the crowd to the base 256. A round splits the 256 largest
+    cells at most, so at most 65,536 centroids (16 MB) reach the driver and are
+    broadcast; what is left is split in the next round. A split that parts nothing
+    (vectors all but equal) ends the splitting of that cell.
+    """
+    spark = sent.sparkSession
+    dense: list[int] = []
+    while True:
+        sizes = sent.where("member").groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * shard)
+        crowded = {r["cell"]: r["n"] for r in sizes.where(~F.col("cell").isin(dense)).orderBy(F.desc("n"), "cell").limit(SPLITS).collect()}
+        if not crowded:
+            return sent, cells
+        here = F.col("cell").isin(list(crowded))
+        # How many of a cell's members are drawn follows its number of leaves.
+        share = F.element_at(F.create_map(*[F.lit(v) for c, n in crowded.items() for v in (c, n)]), F.col("cell"))
+        drawn = sent.where(here & F.col("member")).withColumn("n", share).where(F.pmod(F.xxhash64("nid", F.lit(7)), F.col("n")) < LEAF_SAMPLE * F.least(F.lit(LEAVES), F.ceil(F.col("n") / shard)))
+        fitted = {r["cell"]: bytes(r["centroids"]) for r in drawn.groupBy("cell").applyInArrow(_fit_leaves(shard, width), "cell int, centroids binary").collect()}
+        book, first = {}, cells
+        for c, m in sorted(fitted.items()):
+            book[c] = (first, m)
+            first += len(m) // (4 * width)
+        dense += [c for c in crowded if c not in fitted]
+        here = F.col("cell").isin(list(book))
+        moved = sent.where(here).mapInArrow(_to_leaves(spark.sparkContext.broadcast(book), width), sent.schema)
+        sent = durable(sent.where(~here).unionByName(moved), "leaves")
+        # A leaf that got nearly all of its cell would not get smaller by another split.
+        parents = {leaf: c for c, (a, m) in book.items() for leaf in range(a, a + len(m) // (4 * width))}
+        largest = {r["cell"]: r["n"] for r in sent.where(F.col("member") & (F.col("cell") >= cells)).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * shard).orderBy(F.desc("n")).limit(SPLITS).collect()}
+        dense += [leaf for leaf, n in largest.items() if n > 0.95 * crowded[parents[leaf]]]
+        cells = first
+
+
 def _shard_search(k: int, width: int, beam: int, least: float | None):
     def run(table: pa.Table) -> pa.Table:
         nid = table.column("nid").to_numpy()
@@ -280,11 +341,11 @@ def _shard_search(k: int, width: int, beam: int, least: float | None):
         member = table.column("member").to_numpy(zero_copy_only=False).astype(bool)
         order = np.argsort(nid[member], kind="stable")  # the graph doesn't depend on the order of arrival
         index, base = np.flatnonzero(member)[order], nid[member][order]
-        graph = Graph(x[index], beam=beam, least=least)
-        # What the graph's own vectors are like was proposed as they were inserted; where any similarity counts they search once more.
-        again = np.flatnonzero(~member) if least is not None else np.arange(len(nid))
-        parts = [(index, *graph.proposals(k, least))] if least is not None and len(base) else []
-        parts += [(again[a : a + 4096], *graph.search(x[again[a : a + 4096]], beam)) for a in range(0, len(again), 4096)]
+        # Where only high similarity counts a narrower beam does for the graph's own vectors, whose search begins among their like.
+        graph = Graph(x[index], beam=3 * beam // 4)
+        parts = [(index, *graph.neighbours(beam if least is None else beam // 2))]
+        visit = np.flatnonzero(~member)
+        parts += [(visit[a : a + 4096], *graph.search(x[visit[a : a + 4096]], beam)) for a in range(0, len(visit), 4096)]
         one, two, value = [], [], []
         for rows, got, s in parts:
             s = np.where((got < 0) | (nid[rows][:, None] == (base[np.maximum(got, 0)] if len(base) else -1)), -2, s)
@@ -319,9 +380,9 @@ def similar_classes(vectors: DataFrame, k: int, width: int = 64, probes: int = P
 
     Cells come from k-means over a bounded sample. Each vector is indexed in the
     shard of its nearest cell and searched in its `probes` nearest; a cell that holds
-    more than two shards' worth is dealt to several by hash, and all of them are
-    searched. A pair met from either side counts for both. With `least` only
-    similarities of at least that are given.
+    more than two shards' worth is split into leaves (see _leaves()), so however
+    crowded a cell is, a vector goes to few shards. A pair met from either side counts
+    for both. With `least` only similarities of at least that are given.
     """
     count = vectors.count()
     if count < 2:
@@ -332,17 +393,9 @@ def similar_classes(vectors: DataFrame, k: int, width: int = 64, probes: int = P
     cells = max(1, min(MOST_CELLS, math.ceil(count / shard), len(sample)))
     centroids = fit_cells(sample, cells)
     placed = durable(vectors.select("nid", "vec").mapInArrow(_assign(centroids, probes, width), "nid long, vec binary, cells array<int>"), "cells")
-    sizes = {r["cell"]: r["n"] for r in placed.groupBy(F.col("cells")[0].alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per cell
-    deal = [max(1, round(sizes.get(c, 0) / shard)) if sizes.get(c, 0) > 2 * shard else 1 for c in range(cells)]
-    first = np.concatenate([[0], np.cumsum(deal)])
-    deals, starts = F.array(*[F.lit(int(d)) for d in deal]), F.array(*[F.lit(int(s)) for s in first[:-1]])
-    if max(deal) == 1:
-        sent = placed.select("nid", "vec", F.posexplode("cells").alias("rank", "shard")).withColumn("member", F.col("rank") == 0)
-    else:
-        each = placed.select("nid", "vec", F.posexplode("cells").alias("rank", "cell")).withColumn("d", F.get(deals, F.col("cell"))).withColumn("s", F.get(starts, F.col("cell")))
-        own = F.col("s") + F.pmod(F.xxhash64("nid"), F.col("d")).cast("int")
-        sent = each.select("nid", "vec", F.explode(F.sequence(F.col("s"), F.col("s") + F.col("d") - 1)).alias("shard"), ((F.col("rank") == 0) & True).alias("first"), own.alias("own")).withColumn("member", F.col("first") & (F.col("shard") == F.col("own")))
-    found = spread(sent.select("shard", "nid", "vec", "member"), int(first[-1]), "shard").groupBy("shard").applyInArrow(_shard_search(k, width, beam, least), "nid long, ids array<long>, sims array<float>")
+    sent = placed.select("nid", "vec", F.posexplode("cells").alias("rank", "cell")).select("nid", "vec", "cell", (F.col("rank") == 0).alias("member"))
+    sent, cells = _leaves(sent, cells, shard, width)
+    found = spread(sent.select(F.col("cell").alias("shard"), "nid", "vec", "member"), cells, "shard").groupBy("shard").applyInArrow(_shard_search(k, width, beam, least), "nid long, ids array<long>, sims array<float>")
     # At most k rows from each shard that indexes or searches a vector.
     listed = found.select("nid", F.arrays_zip((F.transform("sims", lambda v: -v)).alias("far"), F.col("ids").alias("other")).alias("x"))
     best = listed.groupBy("nid").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("x")))), 1, k).alias("x"))

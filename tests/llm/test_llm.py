@@ -57,6 +57,8 @@ def test_graph_recall():
     assert (np.diff(sims, axis=1) <= 1e-6).all() and (g.used <= 2 * g.degree).all()
     hits = np.array([[j in set(r) for j in t] for t, r in zip(top, got)])
     assert hits.mean() > 0.9
+    ids, near = g.neighbours(64)
+    assert np.mean([[j in set(r) for j in t] for t, r in zip(top, ids)]) > 0.9 and not (ids == np.arange(3000)[:, None]).any() and (near[ids < 0] == -2).all()
     near = np.take_along_axis(s, top, 1) >= 0.9
     assert hits[near].mean() > 0.97
 
@@ -82,15 +84,26 @@ def test_similar_pairs_equal_brute_force(spark):
     assert got <= want and len(got) >= 0.98 * len(want)
 
 
-def test_dealt_cells_are_searched_whole(spark, monkeypatch):
-    x = np.random.default_rng(2).normal(size=(400, 64))
-    monkeypatch.setattr(neighbours, "fit_cells", lambda sample, cells: sample[:1])  # one cell holds all
-    near = neighbours.most_similar(_frame(spark, x), "id", "embedding", k=3, shard=50, probes=1, beam=48).collect()
-    top, _ = _brute(x, 3)
-    got = {}
-    for r in near:
-        got.setdefault(r["id"], set()).add(r["other_id"])
-    assert np.mean([len({f"v{j:05d}" for j in t} & got[f"v{i:05d}"]) / 3 for i, t in enumerate(top)]) > 0.9
+def test_crowded_cell_is_split_and_copies_are_bounded(spark, monkeypatch):
+    x = _vectors(1200)
+    x[:900] = x[0] * 3 + np.random.default_rng(3).normal(size=(900, 64)) * 0.6  # three quarters lie close together
+    for i in range(0, 900, 3):
+        x[i + 1] = x[i] + np.random.default_rng(i).normal(size=64) * 0.05
+    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    sent = spark.createDataFrame([(i, bytearray(v.tobytes()), 0, True) for i, v in enumerate(u)] + [(i, bytearray(u[i].tobytes()), 1, False) for i in range(600)], "nid long, vec binary, cell int, member boolean")
+    rows = neighbours._leaves(sent, 2, 100, 64)[0].collect()
+    copies, own, load = {}, {}, {}
+    for r in rows:
+        copies[r["nid"]] = copies.get(r["nid"], 0) + 1
+        if r["member"]:
+            own.setdefault(r["nid"], []).append(r["cell"])
+            load[r["cell"]] = load.get(r["cell"], 0) + 1
+    assert len(own) == 1200 and all(len(v) == 1 for v in own.values()) and max(load.values()) <= 200 and max(copies.values()) <= 5
+    monkeypatch.setattr(neighbours, "MOST_CELLS", 1)
+    got = {(r[0], r[1]) for r in neighbours.similar_pairs(_frame(spark, x), "id", "embedding", least=0.97, k=3, shard=150).collect()}
+    top, s = _brute(x, 3)
+    want = {(f"v{min(i, j):05d}", f"v{max(i, j):05d}") for i in range(len(x)) for j in top[i] if s[i, j] >= 0.97}
+    assert len(got & want) >= 0.9 * len(want) > 200  # a crowd without structure, in four leaves
 
 
 def test_copies_of_a_vector(spark):
