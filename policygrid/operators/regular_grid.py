@@ -48,31 +48,42 @@ def regular_grid(readings: DataFrame, keys: list[str], time: str, value: str, sh
     """One row per step from the first to the last reading of each series.
 
     `readings` has one row per key and whole-numbered `time`. A series is cut into
-    time shards of `shard` steps, each one row with its sorted readings; a shard
-    gets the last reading before it and the two after it from its neighbours (the
-    halo), so no task ever holds a whole series. Between two readings at most
-    `max_gap` steps apart the value is that of the monotone cubic (Fritsch-Carlson
-    with harmonic slopes); a longer gap ends the segment and its steps come out as
-    `missing` with a null value.
+    time shards of `shard` steps (at least `max_gap`), each one row with its sorted
+    readings. A shard sends its last reading to the two shards after it and its
+    first two to the two before (the halo), and rows are grouped by key and shard, so
+    no task holds a whole series. Between two readings at most `max_gap` steps apart
+    the value is that of the monotone cubic (Fritsch-Carlson with harmonic slopes); a
+    longer gap ends the segment and its steps come out as `missing` with a null
+    value. Where no shard near by has a reading, the gap runs from an open end to the
+    next open start; only those ends, not the readings, are ordered per series.
 
     Result: keys, time, value, status in (`read`, `filled`, `missing`). Defined
     cases: no readings give no rows; a single reading gives one row; rows with a
     null key, time or value must be left out before (usable_readings does).
     """
     require_columns(readings, *keys, time, value)
+    shard = max(shard, max_gap, 1)
     by_shard = (
         readings.select(*keys, F.floor(F.col(time) / shard).alias("_shard"), F.struct(F.col(time).cast("long").alias("t"), F.col(value).cast("double").alias("v")).alias("_r"))
         .groupBy(*keys, "_shard").agg(F.sort_array(F.collect_list("_r")).alias("own"))
     )
-    w = W.partitionBy(*keys).orderBy("_shard")
-    halo = (
-        by_shard.withColumn("next1", F.lead("own", 1).over(w)).withColumn("next2", F.lead("own", 2).over(w)).withColumn("prev1", F.lag("own", 1).over(w))
-        .select(
-            *keys, F.size("own").alias("n"), F.coalesce(F.slice("prev1", -1, 1), F.array().cast("array<struct<t:bigint,v:double>>")).alias("before"), "own",
-            F.slice(F.concat(F.coalesce("next1", F.array().cast("array<struct<t:bigint,v:double>>")), F.coalesce("next2", F.array().cast("array<struct<t:bigint,v:double>>"))), 1, 2).alias("after"),
-        )
+    none = F.array().cast("array<struct<t:bigint,v:double>>")
+    send = lambda by, own, halo: F.struct((F.col("_shard") + by).alias("to"), own.alias("own"), halo.alias("halo"))
+    first, last = F.slice("own", 1, 2), F.slice("own", -1, 1)
+    sent = by_shard.select(*keys, F.explode(F.array(send(0, F.col("own"), none), send(-1, none, first), send(-2, none, first), send(1, none, last), send(2, none, last))).alias("x"))
+    met = sent.groupBy(*keys, F.col("x.to").alias("_shard")).agg(F.flatten(F.collect_list("x.own")).alias("own"), F.array_sort(F.flatten(F.collect_list("x.halo"))).alias("halo")).where(F.size("own") > 0)
+    begin = F.col("_shard") * shard
+    seen = met.select(
+        *keys, "own", F.size("own").alias("n"), F.slice(F.filter("halo", lambda r: r["t"] < begin), -1, 1).alias("before"),
+        F.slice(F.filter("halo", lambda r: r["t"] >= begin + shard), 1, 2).alias("after"),
     )
-    seen = halo.select(*keys, F.size("before").alias("b"), "n", F.concat("before", "own", "after").alias("a"))
+    # Ends that no shard near by goes on from, and starts that none near by leads to.
+    ends = F.filter(F.array(F.when(F.size("before") == 0, F.col("own")[0]["t"]), F.when(F.size("after") == 0, F.get("own", F.col("n") - 1)["t"])), lambda t: t.isNotNull())
+    edge = seen.where("size(before) = 0 or size(after) = 0").select(*keys, (F.size("before") == 0).alias("opens"), (F.size("after") == 0).alias("closes"), ends.alias("e"))
+    edge = edge.select(*keys, "closes", F.col("e")[0].alias("from"), F.element_at("e", -1).alias("to"), "opens")
+    far = edge.withColumn("next", F.lead(F.when(F.col("opens"), F.col("from"))).over(W.partitionBy(*keys).orderBy("from"))).where("closes and next is not null")
+    gone = far.select(*keys, F.explode(F.sequence(F.col("to") + 1, F.col("next") - 1)).alias("t"))
+    seen = seen.select(*keys, F.size("before").alias("b"), "n", F.concat("before", "own", "after").alias("a"))
     at = lambda i: F.get(F.col("a"), i)
     steps = seen.select(*keys, "a", F.explode(F.sequence(F.col("b"), F.col("b") + F.col("n") - 1)).alias("i"))
     i = F.col("i")
@@ -96,11 +107,13 @@ def regular_grid(readings: DataFrame, keys: list[str], time: str, value: str, sh
         + s * s * (3 - 2 * s) * F.col("v2") + s * s * (s - 1) * F.col("h1") * F.col("m2")
     )
     here = F.col("t") == F.col("t1")
+    kind = readings.schema[time].dataType
+    unread = gone.select(*keys, F.col("t").cast(kind).alias(time), F.lit(None).cast("double").alias(value), F.lit("missing").alias("status"))
     return grid.select(
-        *keys, F.col("t").cast(readings.schema[time].dataType).alias(time),
+        *keys, F.col("t").cast(kind).alias(time),
         F.when(here, F.col("v1")).when(F.col("joined"), curve).alias(value),
         F.when(here, F.lit("read")).when(F.col("joined"), F.lit("filled")).otherwise(F.lit("missing")).alias("status"),
-    )
+    ).unionByName(unread)
 
 
 def with_country_names(df: DataFrame, regions: DataFrame) -> DataFrame:
