@@ -181,8 +181,26 @@ def test_units_fall_back_where_no_dependency_holds(spark):
 
 def test_dependencies_are_verified_on_all_records(spark):
     df = spark.createDataFrame([("a", "x", "u"), ("a", "x", "u"), ("b", "x", "v"), ("b", "y", "v"), (None, "y", "w"), ("c", "y", None)], "k string, l string, t string")
-    got = {d.determinant: d for d in fill_missing.mine_dependencies(df, [(("l",), "t"), (("k",), "t"), (("k", "l"), "t")])}
+    got = {d.determinant: d for d in fill_missing.mine_dependencies(df, ["k", "l"], ["t"])}
     assert not got["l",].holds and got["l",].violations == 2 and got["k",].holds and ("k", "l") not in got
+    assert fill_missing.best_determinant(list(got.values()), "t").determinant == ("k",)
+
+
+def test_dependencies_on_two_columns_and_on_nothing(spark):
+    df = spark.createDataFrame([(a, b, f"{a}{b}", a * 10 + b, None) for a in (1, 2, 3) for b in (1, 2) for _ in range(3)], "a int, b int, t string, id int, none string")
+    mined = fill_missing.mine_dependencies(df, ["a", "b", "none"], ["t"])
+    assert [d.determinant for d in mined if d.holds] == [("a", "b")] and len(mined) == 6
+    assert next(d for d in mined if d.determinant == ("none",)) == fill_missing.Dependency(("none",), "t", 0, 0, 0)
+    assert not any(d.holds for d in fill_missing.mine_dependencies(df.limit(0), ["a", "b"], ["t"]))
+
+
+@pytest.mark.parametrize("shard", [1, 4, 16])
+def test_grid_over_empty_shards(spark, shard):
+    rows = [("s", t, float(t)) for t in (0, 1, 40, 41, 42, 300, 301, 303, 9000)] + [("one", 7, 1.0)]
+    got = {(r["k"], r["t"]): (r["v"], r["status"]) for r in regular_grid.regular_grid(spark.createDataFrame(rows, "k string, t int, v double"), ["k"], "t", "v", shard, 3).collect()}
+    read = {(k, t) for k, t, _ in rows}
+    assert set(got) == {("s", t) for t in range(9001)} | {("one", 7)}
+    assert all(s == ("read" if k in read else "filled" if k == ("s", 302) else "missing") for k, (_, s) in got.items()) and abs(got["s", 302][0] - 302) < 1e-9
 
 
 def test_found_columns(spark, sf):
