@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from policygrid.session import durable, fresh_name, require_columns
+from policygrid.session import durable, fresh_name, release, require_columns
 
 #: Delimiters a dialect may use. Fixed values; a line end is one delimiter in all its spellings.
 DELIMITERS = (";", "；", ",", "，", "、", "|", "/", "\t", "\n")
 #: Closing marks of the quotes a value may be put in. Fixed values.
 QUOTES = {'"': '"', "'": "'", "“": "”", "«": "»"}
 _BULLET = re.compile(r"(?:[•‣◦▪●·*–—-]\s+|[•‣◦▪●]|\(?\d{1,3}[.)]\s+)")
+_QUOTED = re.compile("[" + "".join(QUOTES) + "]")
 _EDGE = re.compile(r"^[\s\x1c-\x1f​﻿]+|[\s\x1c-\x1f​﻿]+$")
 #: Bits of a character spelled out in a field, of one in the book of known values (whose words recur), and of a delimiter declared.
 CHAR_BITS, BOOK_BITS, DIALECT_BITS = 6.0, 2.0, 1.5
@@ -52,6 +52,23 @@ def _unquote(s: str) -> str:
     return s
 
 
+@lru_cache(maxsize=1024)
+def _cutter(delimiters: frozenset[str]) -> re.Pattern:
+    return re.compile("([" + "".join(map(re.escape, sorted(delimiters))) + ("\\r" if "\n" in delimiters else "") + "])")
+
+
+def _pieces(s: str, delimiters: frozenset[str]) -> Iterator[str]:
+    """The stretches between delimiters, without the list mark of one that begins a line."""
+    cut = _cutter(delimiters).split(s) if delimiters else [s]
+    for k in range(0, len(cut), 2):
+        piece = cut[k]
+        bare = piece.lstrip()
+        gap = len(piece) - len(bare)
+        before = piece[gap - 1] if gap else cut[k - 1] if k else "\n"
+        mark = _BULLET.match(bare) if before in "\r\n" else None
+        yield bare[mark.end() :] if mark else piece
+
+
 def split_field(raw: str, delimiters: frozenset[str], quoting: bool) -> list[str]:
     """The values of `raw`, trimmed, without quotes and list marks; blank ones left out."""
     s = _trim(raw)
@@ -59,6 +76,8 @@ def split_field(raw: str, delimiters: frozenset[str], quoting: bool) -> list[str
         s = s[1:-1]
     elif len(s) >= 2 and s[0] == "[" and s[-1] == "]":
         s = s[1:-1]
+    if not (quoting and _QUOTED.search(s)):
+        return [v for v in map(_trim, _pieces(s, delimiters)) if v]
     parts, start, i, n, fresh = [], 0, 0, len(s), True
     while i < n:
         c = s[i]
@@ -103,35 +122,15 @@ def parses(raw: str) -> dict[tuple[str, ...], tuple[frozenset[str], bool]]:
     return out
 
 
-def cheapest(raw: str, bits: dict[str, float]) -> tuple[list[str], frozenset[str], bool]:
-    """The parse with the fewest bits: those of its values, and of the delimiters its dialect declares."""
-
-    def length(values: tuple[str, ...], d: tuple[frozenset[str], bool]) -> float:
-        return sum(bits.get(v, CHAR_BITS * (len(v) + 1)) for v in values) + DIALECT_BITS * len(d[0])
-
-    values, d = min(parses(raw).items(), key=lambda x: (length(*x), len(x[1][0]), x[0]))
-    return list(values), *d
+#: Texts that hold no delimiter, quote, bracket or list mark are one value in every dialect.
+_PLAIN = r"^ *\p{L}(?:[\p{L}\p{M}\p{N} .&%:+_-]*[\p{L}\p{M}\p{N}.])? *$"
 
 
-def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each field text: the different values of its parses, and how often each occurs in a parse on average."""
+def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each field text its different parses, and how many delimiters the dialect of each declares."""
     for pdf in batches:
-        items, weights = [], []
-        for raw in pdf["raw"]:
-            found = parses(raw)
-            seen: Counter[str] = Counter(v for p in found for v in p)
-            items.append(list(seen))
-            weights.append([c / len(found) for c in seen.values()])
-        yield pd.DataFrame({"field_name": pdf["field_name"], "cell": pdf["cell"], "raw": pdf["raw"], "items": items, "weights": weights})
-
-
-def _choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = [cheapest(raw, dict(zip(i, b, strict=True))) for raw, i, b in zip(pdf["raw"], pdf["known"], pdf["bits"], strict=True)]
-        yield pd.DataFrame({
-            "field_name": pdf["field_name"], "cell": pdf["cell"], "items": [r[0] for r in rows],
-            "dialect": ["".join(sorted(r[1])) for r in rows], "quoting": [r[2] for r in rows],
-        })
+        found = [parses(raw) for raw in pdf["raw"]]
+        yield pd.DataFrame({"field_name": pdf["field_name"], "cell": pdf["cell"], "parses": [[list(p) for p in f] for f in found], "declared": [[len(d[0]) for d in f.values()] for f in found]})
 
 
 def _code_lengths(counts: DataFrame) -> DataFrame:
@@ -154,8 +153,9 @@ def unpack_fields(df: DataFrame, row_id: str, fields: list[str], rounds: int = 2
     the values of all parses of every text over the whole table, each text's vote
     spread over its parses; the counts give code lengths, and each
     text takes the dialect (delimiters and quoting) of fewest bits. Later rounds
-    count only the chosen parses, which sharpens the code. item_no counts from 1
-    over values that aren't blank, repeats included.
+    count only the chosen parses, which sharpens the code. A text is parsed once, in
+    Python unless it is plain words; its parses are rated by sums in the JVM. item_no
+    counts from 1 over values that aren't blank, repeats included.
 
     Null, blank and delimiter-only fields give no rows; a field with one value gives
     one row; a column that is missing raises ValueError.
@@ -166,22 +166,23 @@ def unpack_fields(df: DataFrame, row_id: str, fields: list[str], rounds: int = 2
     long = long.select("row_id", F.col(f"x.{name}").alias("field_name"), F.col(f"x.{value}").alias("raw")).where(F.trim("raw") != "")
     long = long.withColumn("cell", F.md5(F.concat_ws("\x00", "field_name", "raw")))
     cells = long.groupBy("field_name", "cell").agg(F.first("raw").alias("raw"))
-    cand = durable(cells.mapInPandas(_candidates, "field_name string, cell string, raw string, items array<string>, weights array<double>"), "packed-cells")
-    pairs = cand.select("field_name", "cell", F.explode("items").alias("item"))
-    counts = cand.select("field_name", F.explode(F.arrays_zip("items", "weights")).alias("x")).groupBy("field_name", F.col("x.items").alias("item")).agg(F.sum("x.weights").alias("w"))
+    plain = F.col("raw").rlike(_PLAIN)
+    shape = "field_name string, cell string, parses array<array<string>>, declared array<int>"
+    whole = cells.where(plain).select("field_name", "cell", F.array(F.array(F.trim("raw"))).alias("parses"), F.array(F.lit(0)).alias("declared"))
+    cand = durable(cells.where(~plain).mapInPandas(_parse, shape).unionByName(whole), "packed-cells")
+    # A row per value of each parse; a parse without a value has one row without an item.
+    each = cand.select("field_name", "cell", "declared", F.size("parses").alias("n"), F.posexplode("parses").alias("p", "items"))
+    items = each.select("field_name", "cell", "n", "p", F.get("declared", F.col("p")).alias("d"), F.explode_outer("items").alias("item"))
+    counts = items.where("item is not null").groupBy("field_name", "item").agg(F.sum(1 / F.col("n")).alias("w"))
     chosen = None
     for _ in range(rounds):
-        # The code book is joined to the distinct values of each text, not to the rows; AQE splits values that many texts share.
-        known = pairs.join(_code_lengths(counts), ["field_name", "item"]).groupBy("cell").agg(F.collect_list(F.struct("item", "bits")).alias("k"))
-        rated = cand.select("field_name", "cell", "raw").join(known, "cell", "left").select(
-            "field_name", "cell", "raw", F.coalesce("k.item", F.array().cast("array<string>")).alias("known"), F.coalesce("k.bits", F.array().cast("array<double>")).alias("bits"))
-        chosen = durable(rated.mapInPandas(_choose, "field_name string, cell string, items array<string>, dialect string, quoting boolean"), "packed-chosen")
+        spelled = F.when(F.col("item").isNull(), 0.0).otherwise(F.lit(CHAR_BITS) * (F.length("item") + 1))
+        rated = items.where("n > 1").join(_code_lengths(counts), ["field_name", "item"], "left").select("cell", "p", "d", F.coalesce("bits", spelled).alias("bits"))
+        length = rated.groupBy("cell", "p", "d").agg(F.sum("bits").alias("bits")).withColumn("bits", F.round(F.col("bits") + DIALECT_BITS * F.col("d"), 6))
+        best = length.groupBy("cell").agg(F.min(F.struct("bits", "d", "p"))["p"].alias("p"))
+        before, chosen = chosen, durable(cand.join(best, "cell", "left").select("field_name", "cell", F.get("parses", F.coalesce("p", F.lit(0))).alias("items")), "packed-chosen")
+        if before is not None:
+            release(before)
         counts = chosen.select("field_name", F.explode("items").alias("item")).groupBy("field_name", "item").agg(F.count(F.lit(1)).cast("double").alias("w"))
     parsed = long.select("row_id", "field_name", "cell").join(chosen.select("cell", "items"), "cell")
     return parsed.select("row_id", "field_name", F.posexplode("items").alias("p", "item"), F.size("items").alias("n_items")).select("row_id", "field_name", (F.col("p") + 1).alias("item_no"), "item", "n_items")
-
-
-def bits_of(counts: dict[str, float]) -> dict[str, float]:
-    """The code book of _code_lengths() for counts held in memory; what tests compare with."""
-    total = sum(counts.values())
-    return {v: min(math.log2(total / w) + BOOK_BITS * (len(v) + 1) / w, CHAR_BITS * (len(v) + 1)) for v, w in counts.items() if w > 1}

@@ -125,7 +125,6 @@ def test_dialects_of_a_packed_table(spark):
 def test_parses_never_fail_and_hold_no_blank(raw):
     for values in packed_fields.parses(raw):
         assert all(v and v == v.strip() for v in values)
-    packed_fields.cheapest(raw, {})
 
 
 def test_quoted_values():
