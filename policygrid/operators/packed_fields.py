@@ -134,15 +134,17 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _code_lengths(counts: DataFrame) -> DataFrame:
-    """field_name, item, bits: -log2 of the value's share of the field's values and its part of the book entry that spells it once.
+    """item, bits of counts (field_name, item, size, w): -log2 of the value's share of the field's values and its part of the book entry that spells it once.
 
     Spelling it out on the spot is the bound; a value that occurs once gains
-    nothing from a code book and isn't in it.
+    nothing from a code book and isn't in it. Values are told apart by hashes of
+    field and value; two that collide would only share a code length.
     """
     totals = counts.groupBy("field_name").agg(F.sum("w").alias("total"))
     book = counts.where("w > 1").join(F.broadcast(totals), "field_name")  # one row per field name
-    spelled = F.lit(CHAR_BITS) * (F.length("item") + 1)
-    return book.select("field_name", "item", F.least(F.log2(F.col("total") / F.col("w")) + F.lit(BOOK_BITS) * (F.length("item") + 1) / F.col("w"), spelled).alias("bits"))
+    spelled = F.lit(CHAR_BITS) * (F.col("size") + 1)
+    bits = F.least(F.log2(F.col("total") / F.col("w")) + F.lit(BOOK_BITS) * (F.col("size") + 1) / F.col("w"), spelled)
+    return book.groupBy("item").agg(F.min(bits).alias("bits"))
 
 
 def unpack_fields(df: DataFrame, row_id: str, fields: list[str], rounds: int = 2) -> DataFrame:
@@ -164,25 +166,27 @@ def unpack_fields(df: DataFrame, row_id: str, fields: list[str], rounds: int = 2
     name, value = fresh_name(df.columns, "field_name"), fresh_name(df.columns, "raw")
     long = df.select(F.col(row_id).alias("row_id"), F.explode(F.array(*[F.struct(F.lit(f).alias(name), F.col(f).cast("string").alias(value)) for f in fields])).alias("x"))
     long = long.select("row_id", F.col(f"x.{name}").alias("field_name"), F.col(f"x.{value}").alias("raw")).where(F.trim("raw") != "")
-    long = long.withColumn("cell", F.md5(F.concat_ws("\x00", "field_name", "raw")))
+    long = long.withColumn("cell", F.unhex(F.md5(F.concat_ws("\x00", "field_name", "raw"))))
     cells = long.groupBy("field_name", "cell").agg(F.first("raw").alias("raw"))
     plain = F.col("raw").rlike(_PLAIN)
-    shape = "field_name string, cell string, parses array<array<string>>, declared array<int>"
+    shape = "field_name string, cell binary, parses array<array<string>>, declared array<int>"
     whole = cells.where(plain).select("field_name", "cell", F.array(F.array(F.trim("raw"))).alias("parses"), F.array(F.lit(0)).alias("declared"))
     cand = durable(cells.where(~plain).mapInPandas(_parse, shape).unionByName(whole), "packed-cells")
-    # A row per value of each parse; a parse without a value has one row without an item.
+    # A row per value of each parse, the value as a hash and its length; a parse without a value has one row without a hash.
     each = cand.select("field_name", "cell", "declared", F.size("parses").alias("n"), F.posexplode("parses").alias("p", "items"))
     items = each.select("field_name", "cell", "n", "p", F.get("declared", F.col("p")).alias("d"), F.explode_outer("items").alias("item"))
-    counts = items.where("item is not null").groupBy("field_name", "item").agg(F.sum(1 / F.col("n")).alias("w"))
+    items = items.select("field_name", "cell", "n", "p", "d", F.when(F.col("item").isNotNull(), F.xxhash64("field_name", "item")).alias("item"), F.length("item").alias("size"))
+    counts = items.where("item is not null").groupBy("field_name", "item", "size").agg(F.sum(1 / F.col("n")).alias("w"))
     chosen = None
     for _ in range(rounds):
-        spelled = F.when(F.col("item").isNull(), 0.0).otherwise(F.lit(CHAR_BITS) * (F.length("item") + 1))
-        rated = items.where("n > 1").join(_code_lengths(counts), ["field_name", "item"], "left").select("cell", "p", "d", F.coalesce("bits", spelled).alias("bits"))
+        spelled = F.when(F.col("item").isNull(), 0.0).otherwise(F.lit(CHAR_BITS) * (F.col("size") + 1))
+        rated = items.where("n > 1").join(_code_lengths(counts), "item", "left").select("cell", "p", "d", F.coalesce("bits", spelled).alias("bits"))
         length = rated.groupBy("cell", "p", "d").agg(F.sum("bits").alias("bits")).withColumn("bits", F.round(F.col("bits") + DIALECT_BITS * F.col("d"), 6))
         best = length.groupBy("cell").agg(F.min(F.struct("bits", "d", "p"))["p"].alias("p"))
         before, chosen = chosen, durable(cand.join(best, "cell", "left").select("field_name", "cell", F.get("parses", F.coalesce("p", F.lit(0))).alias("items")), "packed-chosen")
         if before is not None:
             release(before)
-        counts = chosen.select("field_name", F.explode("items").alias("item")).groupBy("field_name", "item").agg(F.count(F.lit(1)).cast("double").alias("w"))
+        picked = chosen.select("field_name", F.explode("items").alias("item"))
+        counts = picked.groupBy("field_name", F.xxhash64("field_name", "item").alias("item"), F.length("item").alias("size")).agg(F.count(F.lit(1)).cast("double").alias("w"))
     parsed = long.select("row_id", "field_name", "cell").join(chosen.select("cell", "items"), "cell")
     return parsed.select("row_id", "field_name", F.posexplode("items").alias("p", "item"), F.size("items").alias("n_items")).select("row_id", "field_name", (F.col("p") + 1).alias("item_no"), "item", "n_items")
