@@ -148,8 +148,9 @@ def clean_html(c: Column, full: bool = False) -> Column:
 
 
 def policy_year(c: Column) -> Column:
-    """The whole number before the first hyphen, null if it is none."""
-    return F.try_to_number(F.trim(F.split_part(c, F.lit("-"), F.lit(1))), F.lit("9999")).cast("int")
+    """The whole number before the first hyphen, null if it is none (or has more than nine digits)."""
+    head = F.trim(F.split_part(c, F.lit("-"), F.lit(1)))
+    return F.when(head.rlike("^[+]?[0-9]{1,9}$"), head.cast("int"))
 
 
 def first_non_blank(*cols: Column) -> Column:

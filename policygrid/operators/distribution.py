@@ -54,6 +54,6 @@ def score_histogram(df: DataFrame, score: str, by: str, bins: int = 30) -> DataF
     return counts.select(by, "bin", (lo + F.col("bin") * width).alias("lo"), (lo + (F.col("bin") + 1) * width).alias("hi"), "n", F.try_divide(F.col("n").cast("double"), total * width).alias("density"))
 
 
-def inverted_index(df: DataFrame, key: str, values: Column, name: str = "value") -> DataFrame:
-    """value, keys: from rows with an array of values to the sorted different keys of each value."""
-    return df.select(F.col(key), F.explode(values).alias(name)).distinct().groupBy(name).agg(F.array_sort(F.collect_list(key)).alias("keys"))
+def inverted_index(df: DataFrame, key: str, values: Column, name: str) -> DataFrame:
+    """name, key of every different pair of a value in the list `values` and a key that has it: a row per entry, so a value of any number of keys is no array."""
+    return df.select(F.col(key), F.explode(values).alias(name)).where(F.col(name).isNotNull() & F.col(key).isNotNull()).distinct().select(name, key)

@@ -112,3 +112,37 @@ def regional_test_pick(df: DataFrame, key: str, region: str, country: str, size:
     best = cand.groupBy(country).agg(F.min_by(F.struct(key, region, "_o"), F.struct("_o", key)).alias("b")).select(F.col(country), F.col(f"b.{key}").alias(key), F.col(f"b.{region}").alias(region), F.col("b._o").alias("_o"))
     lead = best.withColumn("_r", F.row_number().over(W.partitionBy(region).orderBy("_o", key)))
     return lead.orderBy(F.when(F.col("_r") == 1, 0).otherwise(1), "_o", key).limit(size).select(key, region, country)
+
+
+def held_out(df: DataFrame, folds: list[int]) -> DataFrame:
+    """`df` once per held-out fold (`held`), as its train rows: those of other folds."""
+    return df.withColumn("held", F.explode(F.filter(F.array(*[F.lit(f) for f in folds]), lambda f: f != F.col("fold"))))
+
+
+def counts_per_fold(df: DataFrame, key: str, folds: list[int]) -> DataFrame:
+    """fold, key, n_train, n_test for every fold and every key there is: one count, train is the total less the fold's own."""
+    total = df.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("fold", "n"))).alias("own"), F.sum("n").alias("total"))
+    each = total.select(key, "own", "total", F.explode(F.array(*[F.lit(f) for f in folds])).alias("fold")).withColumn("n_test", F.coalesce(F.try_element_at("own", F.col("fold")), F.lit(0).cast("bigint")))
+    return each.select("fold", key, (F.col("total") - F.col("n_test")).alias("n_train"), "n_test")
+
+
+def validation_splits(df: DataFrame, key: str, share: float, folds: list[int], seed: int = 0) -> DataFrame:
+    """held, key, is_validation: validation_split() of the train rows of each held-out fold.
+
+    Ranks are counted per fold in the ranges of hash_rank(), so no task sees all rows.
+    """
+    order = seeded(seed, F.col(key))
+    rows = df.select(key, "fold", order.alias("_d"), F.substring(order, 1, 3).alias("_range"))
+    # All folds share the order: the ranges are counted once per fold, and those of the other folds added up.
+    n = rows.groupBy("_range", "fold").agg(F.count(F.lit(1)).alias("_n"))
+    counts = n.groupBy("_range").agg(F.map_from_entries(F.collect_list(F.struct("fold", "_n"))).alias("_c"))
+    at = counts.withColumn("held", F.explode(F.array(*[F.lit(f) for f in folds])))
+    size = F.aggregate(F.map_values(F.map_filter("_c", lambda k, v: k != F.col("held"))), F.lit(0).cast("bigint"), lambda a, v: a + v)
+    sized = at.select("_range", "held", size.alias("_size"))
+    before = sized.withColumn("_before", F.sum("_size").over(W.partitionBy("held").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)))  # at most 4,096 rows per fold
+    total = F.sum("_size").over(W.partitionBy("held"))
+    before = before.select("_range", "held", F.coalesce("_before", F.lit(0)).alias("_before"), total.alias("_total"))
+    ranked = held_out(rows, folds).join(F.broadcast(before), ["_range", "held"])
+    place = F.row_number().over(W.partitionBy("held", "_range").orderBy("_d", key)) + F.col("_before")
+    most = F.least(F.greatest(F.lit(1), F.floor(F.col("_total") * share + 0.5)), F.greatest(F.lit(0), F.col("_total") - 1))
+    return ranked.select("held", key, (place <= most).alias("is_validation"))

@@ -109,3 +109,14 @@ def panel_split(keys: DataFrame, train_countries: DataFrame) -> DataFrame:
     """country, split: a country with any train policy is `train`, else `test`."""
     marked = keys.select("country").distinct().join(train_countries.select("country").distinct().withColumn("_t", F.lit(True)), "country", "left")
     return marked.select("country", F.when(F.col("_t"), "train").otherwise("test").alias("split"))
+
+
+def fold_split(countries: DataFrame, policies: DataFrame, folds: list[int]) -> DataFrame:
+    """fold, country, split per held-out fold: panel_split() with the policies (country, fold) of the other folds as train policies.
+
+    Which folds a country has policies in is gathered once (a set of folds per country).
+    """
+    seen = policies.groupBy("country").agg(F.collect_set("fold").alias("_folds"))
+    each = countries.select("country", F.explode(F.array(*[F.lit(f) for f in folds])).alias("fold")).join(seen, "country", "left")
+    train = F.coalesce(F.exists("_folds", lambda f: f != F.col("fold")), F.lit(False))
+    return each.select("fold", "country", F.when(train, "train").otherwise("test").alias("split"))

@@ -61,8 +61,11 @@ def location_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    policies = table(spark, sf_dir, "group_kfold_assignments").where("fold = 1").select(evened_words(F.col("geography")).alias("country"))
-    return panel.panel_split(cells(spark, sf_dir), policies)
+    """Per held-out fold the split of each country of the panel: train where any policy of another fold is from there."""
+    g = table(spark, sf_dir, "group_kfold_assignments").where("fold is not null").select("fold", evened_words(F.col("geography")).alias("country"))
+    folds = _folds(spark, sf_dir)
+    countries = cells(spark, sf_dir).select("country").distinct()
+    return panel.fold_split(countries, g, folds)
 
 
 def _scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,32 +82,16 @@ def _anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.where(f"country <> '' and year between {FIRST} and {LAST}")
 
 
-def _wide_features(c: DataFrame) -> list[str]:
-    """Features of the first table, in order: the columns of the panel that anchors get windows of."""
-    return sorted(r["feature"] for r in c.where("table_idx = 0").select("feature").distinct().collect())
-
-
 def window_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document and window the mean and last value of each feature of the first table over its tensor."""
-    s = durable(_scaled(spark, sf_dir), "scaled")
-    w = tensors.window_cells(_anchors(spark, sf_dir), s, [1, 2, 5, 10], _wide_features(s))
-    return w.groupBy("document_id", "window", "feature").agg(F.count(F.lit(1)).alias("n_steps"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.max_by("value", "pos"), 6).alias("last"))
+    """Per country and year of a document and window the mean and last value of each feature over the tensor, features of all tables.
 
-
-def window_tensor_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """window_tensor over the features of all tables; those without a reading in a window are one row without a feature, with their number."""
+    Documents of one country and year share their tensor (n_docs of them). Features
+    without a reading in a window are one row without a feature, with their number.
+    """
     a = _anchors(spark, sf_dir)
     w = tensors.window_summary(a, durable(_scaled(spark, sf_dir), "scaled"), [1, 2, 5, 10])
-    out = a.join(w, ["country", "year"])
-    return out.select("document_id", "window", "feature", "n_features", F.col("window").cast("bigint").alias("n_steps"), F.round("mean", 6).alias("mean"), F.round("last", 6).alias("last"))
-
-
-def table_text_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five-year tensor of each document as text, with the features of the first table in order."""
-    c = durable(cells(spark, sf_dir), "cells")
-    names = _wide_features(c)
-    t = tensors.window_tensor(tensors.window_cells(_anchors(spark, sf_dir), c, [5], names), ["document_id"])
-    return t.select("document_id", models.render_table(F.col("tensor"), names).alias("text"))
+    out = a.groupBy("country", "year").agg(F.count(F.lit(1)).alias("n_docs")).join(w, ["country", "year"])
+    return out.select("country", "year", "window", "feature", "n_features", "n_docs", F.col("window").cast("bigint").alias("n_steps"), F.round("mean", 6).alias("mean"), F.round("last", 6).alias("last"))
 
 
 def sector_one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,11 +101,6 @@ def sector_one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("row_id", F.array_join(F.transform(tensors.sector_one_hot(split_sectors(F.col("sector"))), lambda x: x.cast("string")), "").alias("one_hot"))
 
 
-def negative_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = table(spark, sf_dir, "group_kfold_assignments").where("fold <> 0 and trim(family_summary) <> ''")
-    return tensors.negative_pairs(g, "row_id", "family_summary", 2, 42).select("anchor", F.col("negative_no").cast("bigint").alias("negative_no"), "negative")
-
-
 def _policies(spark: SparkSession, sf_dir: str, c: DataFrame) -> DataFrame:
     """row_id, document_id, family_summary, sector, geography, country, year, fold of policies with all of summary, sector, date and a country of the panel."""
     g = table(spark, sf_dir, "group_kfold_assignments")
@@ -161,27 +143,6 @@ def series_descriptor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("country", "feature", "n", *[F.round(c, 7).alias(c) for c in selector.DESCRIPTOR])
 
 
-def _selection(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
-    """Per country, the tables whose ten years before 2015 look most like its series of the first table's first feature."""
-    c = durable(cells(spark, sf_dir), "cells")
-    at = c.select("country").distinct().withColumn("year", F.lit(2015))
-    first = c.where("table_idx = 0").groupBy("country").agg(F.min("feature").alias("feature"))
-    own = c.join(first, ["country", "feature"]).where("year between 2005 and 2014")
-    signal = selector.series_descriptor(own, ["country"], "year", "value").where("n >= 2")
-    signal = signal.select(F.col("country").alias("place"), *[F.col(d).alias(f"s_{d}") for d in selector.DESCRIPTOR])
-    tables = selector.table_descriptor(c, at.withColumn("place", F.col("country")), ["place"], 10)
-    top = selector.select_tables(signal, tables, "place", method, 5, 5)
-    return top.select("place", F.col("table_idx"), "score")
-
-
-def selector_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _selection(spark, sf_dir, "pearson").groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 4).alias("best"), F.round(F.min("score"), 4).alias("worst"))
-
-
-def selector_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _selection(spark, sf_dir, "linear-trend").groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 4).alias("best"), F.round(F.min("score"), 4).alias("worst"))
-
-
 def _spots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """document_id, country, region (empty where unknown), year of each policy document."""
     r = table(spark, sf_dir, "country_region").groupBy(evened_words(F.col("country")).alias("country")).agg(F.min(evened_words(F.col("region_name"))).alias("region"))
@@ -204,16 +165,16 @@ def _policy_selection(spark: SparkSession, sf_dir: str, method: str) -> DataFram
     return spots.join(top, ["country", "region", "year"]).select("document_id", "table_idx", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
-def selector_policy_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
+def selector_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per policy document the tables whose ten years before it (country, region, World) look most like its tensor over all tables."""
     return _policy_selection(spark, sf_dir, "pearson")
 
 
-def selector_policy_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+def selector_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _policy_selection(spark, sf_dir, "linear-trend")
 
 
-def table_text_render_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def table_text_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five-year tensor of each document as text, up to 22 columns: the features of its selected tables in rank order, no text where none is selected."""
     spots, c = _spots(spark, sf_dir), durable(cells(spark, sf_dir), "cells")
     top = _spot_selection(c, spots, "pearson")
@@ -238,7 +199,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         panel_standardize, panel_dedupe_most_complete, feature_selection, feature_correlations, year_grid_interpolate, location_slice, panel_split, standard_scale_train_only,
-        window_tensor, window_tensor_all, table_text_render, sector_one_hot, negative_pairs, fold_pairs, series_descriptor, selector_pearson, selector_trend, selector_policy_pearson, selector_policy_trend, table_text_render_all, trend_labels,
+        window_tensor, table_text_render, sector_one_hot, fold_pairs, series_descriptor, selector_pearson, selector_trend, trend_labels,
     )
 }
 
@@ -267,18 +228,6 @@ def _descriptor(keys: str, src: str, name: str) -> str:
       arg_min(value, i) AS fst, arg_max(value, i) AS lst, quantile_cont(value, 0.75) AS q75 FROM (SELECT *, CAST(row_number() OVER (PARTITION BY {keys} ORDER BY year) - 1 AS DOUBLE) AS i FROM {src}) GROUP BY {keys})))"""
 
 
-def _selector(score: str) -> str:
-    names = ("mean", "std", "min", "max", "slope", "delta", "q75", "last")
-    return f"""WITH {_CELLS}, fs AS (SELECT country, min(feature) AS feature FROM cells WHERE table_idx = 0 GROUP BY country),
-      own AS (SELECT cells.* FROM cells JOIN fs USING (country, feature) WHERE year BETWEEN 2005 AND 2014), {_descriptor("country", "own", "sg")},
-      nm AS (SELECT table_idx, feature FROM (SELECT *, row_number() OVER (PARTITION BY table_idx ORDER BY feature) AS r FROM (SELECT DISTINCT table_idx, feature FROM cells)) WHERE r <= 6),
-      us AS (SELECT cells.* FROM cells JOIN nm USING (table_idx, feature) WHERE year BETWEEN 2005 AND 2014), {_descriptor("country, table_idx, feature", "us", "ds")},
-      td AS (SELECT country, table_idx, {", ".join(f"avg({c}) AS {c}" for c in names)} FROM ds WHERE n >= 2 GROUP BY ALL),
-      sx AS (SELECT sg.country AS place, td.table_idx, round({score}, 5) AS score FROM sg JOIN td USING (country) WHERE sg.n >= 2),
-      tp AS (SELECT *, row_number() OVER (PARTITION BY place ORDER BY score DESC, table_idx) AS k FROM sx)
-      SELECT place, count(*) AS n, round(max(score), 4) AS best, round(min(score), 4) AS worst FROM tp WHERE k <= 5 GROUP BY place"""
-
-
 def _selected(score: str, missing: str) -> str:
     """CTEs up to `tp`: country, region, year, table_idx, score, k of each policy's country, region and year."""
     names = ("mean", "std", "min", "max", "slope", "delta", "q75", "last")
@@ -325,25 +274,15 @@ SQL = {
           WINDOW w AS (PARTITION BY country, feature ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), z AS (PARTITION BY country, feature ORDER BY year ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
         SELECT country, feature, year, round(coalesce(value, v0 + (v1 - v0) * (year - y0) / nullif(y1 - y0, 0), v0, v1), 6) AS value FROM s""",
     "location_slice": f"WITH {_CELLS} SELECT feature, year, value FROM cells WHERE country = 'meridia' AND year BETWEEN 2000 AND 2009",
-    "panel_split": f"WITH {_CELLS} SELECT country, CASE WHEN country IN (SELECT {even('geography')} FROM group_kfold_assignments WHERE fold = 1 AND geography IS NOT NULL) THEN 'train' ELSE 'test' END AS split FROM (SELECT DISTINCT country FROM cells)",
+    "panel_split": f"""WITH {_CELLS}, g AS (SELECT fold, {even('geography')} AS country FROM group_kfold_assignments WHERE fold IS NOT NULL AND geography IS NOT NULL), f AS (SELECT DISTINCT fold FROM group_kfold_assignments WHERE fold IS NOT NULL)
+        SELECT f.fold, c.country, CASE WHEN EXISTS (SELECT 1 FROM g WHERE g.country = c.country AND g.fold <> f.fold) THEN 'train' ELSE 'test' END AS split FROM f, (SELECT DISTINCT country FROM cells) c""",
     "standard_scale_train_only": f"WITH {_CELLS}, {_SCALED} SELECT country, year, feature, round(value, 6) AS value FROM sc",
-    "window_tensor": f"""WITH {_CELLS}, {_SCALED}, {_ANCHOR}, fe AS (SELECT DISTINCT feature FROM sc WHERE table_idx = 0),
-        e AS (SELECT document_id, w."window", feature, an.year - o.o AS y, an.country FROM an, fe, (VALUES (1), (2), (5), (10)) AS w("window"), (SELECT unnest(range(0, 10)) AS o) o WHERE o.o < w."window"),
-        j AS (SELECT e.document_id, e."window", e.feature, e.y, coalesce(sc.value, 0) AS v FROM e LEFT JOIN sc ON sc.country = e.country AND sc.year = e.y AND sc.feature = e.feature)
-        SELECT document_id, "window", feature, count(*) AS n_steps, round(avg(v), 6) AS mean, round(arg_max(v, y), 6) AS last FROM j GROUP BY ALL""",
-    "window_tensor_all": f"""WITH {_CELLS}, {_SCALED}, {_ANCHOR}, fe AS (SELECT DISTINCT feature FROM sc),
-        e AS (SELECT document_id, w."window", feature, an.year - o.o AS y, an.country FROM an, fe, (VALUES (1), (2), (5), (10)) AS w("window"), (SELECT unnest(range(0, 10)) AS o) o WHERE o.o < w."window"),
-        j AS (SELECT e.document_id, e."window", e.feature, e.y, sc.value AS r, coalesce(sc.value, 0) AS v FROM e LEFT JOIN sc ON sc.country = e.country AND sc.year = e.y AND sc.feature = e.feature),
-        x AS (SELECT document_id, "window", CASE WHEN count(r) > 0 THEN feature END AS f, count(*) AS n_steps, avg(v) AS mean, arg_max(v, y) AS last FROM j GROUP BY document_id, "window", feature)
-        SELECT document_id, "window", f AS feature, count(*) AS n_features, n_steps, round(max(mean), 6) AS mean, round(max(last), 6) AS last FROM x GROUP BY document_id, "window", f, n_steps""",
-    "table_text_render": f"""WITH {_CELLS}, {_ANCHOR}, fe AS (SELECT feature, row_number() OVER (ORDER BY feature) AS fi FROM (SELECT DISTINCT feature FROM cells WHERE table_idx = 0)),
-        e AS (SELECT document_id, feature, fi, an.year - o.o AS y, an.country FROM an, fe, (SELECT unnest(range(0, 5)) AS o) o WHERE fi <= 22),
-        l AS (SELECT document_id, e.y, string_agg(e.feature || '=' || printf('%.2f', coalesce(sign(cells.value) * floor(abs(cells.value) * 100 + 0.5) / 100, 0)), ', ' ORDER BY fi) AS line FROM e LEFT JOIN cells ON cells.country = e.country AND cells.year = e.y AND cells.feature = e.feature GROUP BY ALL)
-        SELECT document_id, string_agg(line, '\\n' ORDER BY y) AS text FROM l GROUP BY document_id""",
+    "window_tensor": f"""WITH {_CELLS}, {_SCALED}, {_ANCHOR}, pt AS (SELECT country, year, count(*) AS n_docs FROM an GROUP BY ALL), fe AS (SELECT DISTINCT feature FROM sc),
+        e AS (SELECT pt.country, pt.year, n_docs, w."window", feature, pt.year - o.o AS y FROM pt, fe, (VALUES (1), (2), (5), (10)) AS w("window"), (SELECT unnest(range(0, 10)) AS o) o WHERE o.o < w."window"),
+        j AS (SELECT e.*, sc.value AS r, coalesce(sc.value, 0) AS v FROM e LEFT JOIN sc ON sc.country = e.country AND sc.year = e.y AND sc.feature = e.feature),
+        x AS (SELECT country, year, n_docs, "window", CASE WHEN count(r) > 0 THEN feature END AS f, count(*) AS n_steps, avg(v) AS mean, arg_max(v, y) AS last FROM j GROUP BY country, year, n_docs, "window", feature)
+        SELECT country, year, "window", f AS feature, count(*) AS n_features, n_docs, n_steps, round(max(mean), 6) AS mean, round(max(last), 6) AS last FROM x GROUP BY country, year, n_docs, "window", f, n_steps""",
     "sector_one_hot": f"SELECT row_id, array_to_string(list_transform({_VOCABULARY}, lambda s: CASE WHEN list_contains(list_transform(string_split(coalesce(sector, ''), ';'), lambda p: trim(p, ' ')), s) THEN '1' ELSE '0' END), '') AS one_hot FROM all_data_en",
-    "negative_pairs": """WITH g AS (SELECT * FROM group_kfold_assignments WHERE fold <> 0 AND trim(family_summary) <> ''), t AS (SELECT family_summary, min(row_id) AS rep FROM g GROUP BY family_summary),
-        r AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || family_summary), family_summary) AS r, count(*) OVER () AS n FROM t),
-        x AS (SELECT a.family_summary, k.k AS negative_no, b.rep AS negative FROM r a, (VALUES (CAST(1 AS BIGINT)), (2)) AS k(k) JOIN r b ON b.r = (a.r - 1 + k.k) % a.n + 1) SELECT row_id AS anchor, negative_no, negative FROM g JOIN x USING (family_summary)""",
     "fold_pairs": f"""WITH {_CELLS}, g AS (SELECT row_id, family_summary, fold FROM (SELECT *, {even("geography")} AS country FROM group_kfold_assignments) WHERE trim(family_summary) <> '' AND country IN (SELECT country FROM cells)
           AND len(list_filter(string_split(coalesce(sector, ''), ';'), lambda s: trim(s) NOT IN ('', 'Other'))) > 0 AND regexp_matches(trim(last_event_in_timeline), '^[0-9]{{4}}-')),
         f AS (SELECT DISTINCT fold AS held FROM group_kfold_assignments WHERE fold IS NOT NULL), tr AS (SELECT held, row_id, family_summary FROM g, f WHERE fold IS DISTINCT FROM held),
@@ -351,11 +290,9 @@ SQL = {
         x AS (SELECT a.held, a.family_summary, k.k AS negative_no, b.rep AS negative FROM r a, (VALUES (CAST(1 AS BIGINT)), (2)) AS k(k) JOIN r b ON b.held = a.held AND b.r = (a.r - 1 + k.k) % a.n + 1 WHERE k.k < a.n)
         SELECT held AS fold, w."window", row_id AS anchor, negative_no, negative FROM tr JOIN x USING (held, family_summary), (VALUES (1), (2), (5), (10)) AS w("window")""",
     "series_descriptor": f"WITH {_CELLS}, {_descriptor('country, feature', 'cells', 'ds')} SELECT country, feature, n, " + ", ".join(f"round({c}, 7) AS {c}" for c in selector.DESCRIPTOR) + " FROM ds",
-    "selector_pearson": _selector(_pearson_sql()),
-    "selector_trend": _selector("-abs(sg.slope - td.slope) - 0.5 * abs(sg.delta - td.delta)"),
-    "selector_policy_pearson": _policy_selector(_pearson_sql(), "-1"),
-    "selector_policy_trend": _policy_selector("-abs(sg.slope - td.slope) - 0.5 * abs(sg.delta - td.delta)", "-1e9"),
-    "table_text_render_all": f"""WITH {_selected(_pearson_sql(), "-1")},
+    "selector_pearson": _policy_selector(_pearson_sql(), "-1"),
+    "selector_trend": _policy_selector("-abs(sg.slope - td.slope) - 0.5 * abs(sg.delta - td.delta)", "-1e9"),
+    "table_text_render": f"""WITH {_selected(_pearson_sql(), "-1")},
         co AS (SELECT * FROM (SELECT country, region, year, feature, row_number() OVER (PARTITION BY country, region, year ORDER BY k, feature) AS fi FROM tp JOIN (SELECT DISTINCT table_idx, feature FROM cells) USING (table_idx) WHERE k <= 8) WHERE fi <= 22),
         e AS (SELECT co.*, co.year - o.o AS y FROM co, (SELECT unnest(range(0, 5)) AS o) o),
         l AS (SELECT e.country, e.region, e.year, e.y, string_agg(e.feature || '=' || printf('%.2f', coalesce(sign(cells.value) * floor(abs(cells.value) * 100 + 0.5) / 100, 0)), ', ' ORDER BY fi) AS line FROM e LEFT JOIN cells ON cells.country = e.country AND cells.year = e.y AND cells.feature = e.feature GROUP BY ALL),

@@ -35,10 +35,15 @@ def fold_train_test_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.fold_sizes(_folded(spark, sf_dir))
 
 
+def _folds(spark: SparkSession, sf_dir: str) -> list[int]:
+    return sorted(r[0] for r in _folded(spark, sf_dir).where("fold is not null").select("fold").distinct().collect())
+
+
 def fold_train_without_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Train rows of fold 0 whose document is not also in its test rows."""
-    train, _ = folds.fold_view(_folded(spark, sf_dir).where("document_id is not null"), 0, "document_id")
-    return train.select("row_id", "document_id", F.col("fold").cast("bigint").alias("fold"))
+    """Train rows of each held-out fold whose document is not also in its test rows."""
+    g = _folded(spark, sf_dir).where("document_id is not null and fold is not null").select("row_id", "document_id", "fold")
+    test = g.select("document_id", F.col("fold").alias("held")).distinct()
+    return folds.held_out(g, _folds(spark, sf_dir)).join(test, ["document_id", "held"], "left_anti").select("held", "row_id", "document_id", F.col("fold").cast("bigint").alias("fold"))
 
 
 def first_valid_group_key(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,11 +58,11 @@ def region_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def region_share_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of the regions among train and test rows of fold 0 side by side."""
-    g = _folded(spark, sf_dir).where("fold is not null")
-    a, b = (distribution.share(g.where(c), F.col("region_name"), "region") for c in ("fold <> 0", "fold = 0"))
-    out = distribution.side_by_side(a, b, "region", "pct", ("train_pct", "test_pct"))
-    return out.select("region", F.round("train_pct", 6).alias("train_pct"), F.round("test_pct", 6).alias("test_pct"))
+    """Share of the regions among train and test rows of each held-out fold side by side."""
+    g = _folded(spark, sf_dir).where("fold is not null and region_name is not null").groupBy(F.col("region_name").alias("region"), "fold").agg(F.count(F.lit(1)).alias("n"))
+    each = folds.counts_per_fold(g, "region", _folds(spark, sf_dir))
+    pct = lambda c: F.round(F.coalesce(F.try_divide(F.col(c) * 100.0, F.sum(c).over(W.partitionBy("fold"))), F.lit(0.0)), 6)
+    return each.select("fold", "region", pct("n_train").alias("train_pct"), pct("n_test").alias("test_pct"))
 
 
 def multivalue_sector_share(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,9 +71,9 @@ def multivalue_sector_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def country_counts_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _folded(spark, sf_dir).where("fold is not null and alpha_3 is not null")
-    a, b = (g.where(c).groupBy("alpha_3").agg(F.count(F.lit(1)).alias("n")) for c in ("fold <> 0", "fold = 0"))
-    return distribution.side_by_side(a, b, "alpha_3", "n", ("n_train", "n_test"))
+    """Train and test rows of each country in each held-out fold, 0 where there are none."""
+    g = _folded(spark, sf_dir).where("fold is not null and alpha_3 is not null").groupBy("alpha_3", "fold").agg(F.count(F.lit(1)).alias("n"))
+    return folds.counts_per_fold(g, "alpha_3", _folds(spark, sf_dir))
 
 
 def label_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,8 +81,8 @@ def label_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def validation_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _folded(spark, sf_dir).where("fold <> 0").select("row_id")
-    return folds.validation_split(g, "row_id", 0.2, 7).select("row_id", "is_validation")
+    """A fifth of the train rows of each held-out fold."""
+    return folds.validation_splits(_folded(spark, sf_dir).where("fold is not null"), "row_id", 0.2, _folds(spark, sf_dir), 7)
 
 
 def regional_test_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +129,7 @@ def ascii_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def policy_years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _filings(spark, sf_dir).select("row_id", F.when(F.trim("last_event_in_timeline").rlike(r"^[0-9]{4}-"), text.policy_year(F.trim("last_event_in_timeline"))).alias("year"))
+    return _filings(spark, sf_dir).select("row_id", text.policy_year(F.col("last_event_in_timeline")).alias("year"))
 
 
 def instrument_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,9 +210,9 @@ def metadata_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The different features of each unit, as one string."""
+    """The different features of each unit."""
     t = table(spark, sf_dir, "time_series").where(~text.is_stand_in(F.col("unit")))
-    return distribution.inverted_index(t, "feature", F.array(F.trim("unit")), "unit").select("unit", F.array_join("keys", ";").alias("features"))
+    return distribution.inverted_index(t, "feature", F.array(F.trim("unit")), "unit")
 
 
 def cached_key_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,8 +232,8 @@ def hparam_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document's policy summary beside the family summary of its first filing."""
-    h = _folded(spark, sf_dir).where("trim(family_summary) <> '' and document_id is not null").groupBy("document_id").agg(F.min_by("family_summary", "row_id").alias("human"))
+    """A document's policy summary beside the family summary of its last filing."""
+    h = _folded(spark, sf_dir).where("trim(family_summary) <> '' and document_id is not null").groupBy("document_id").agg(F.max_by("family_summary", "row_id").alias("human"))
     return table(spark, sf_dir, "policy_document").select("document_id", F.col("summary").alias("generated")).join(h, "document_id")
 
 
@@ -245,7 +250,7 @@ LISTS = {"sector": ("IN_SECTOR", "Sector"), "keyword": ("HAS_KEYWORD", "Keyword"
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _filings(spark, sf_dir).where("trim(document_id) <> ''").withColumn("last_event_in_timeline", F.when(F.trim("last_event_in_timeline").rlike(r"^[0-9]{4}-"), F.trim("last_event_in_timeline")))
+    a = _filings(spark, sf_dir).where("trim(document_id) <> ''")
     return graph.policy_edges(a, LISTS, F.split("instrument", ";")).unionByName(graph.hierarchy(table(spark, sf_dir, "country_region")))
 
 
@@ -364,7 +369,8 @@ def _edge(src_label: str, src: str, rel: str, dst_label: str, dst: str, frm: str
 
 _LEVEL = "list_filter([CASE WHEN trim(country) <> '' THEN {'label': 'Country', 'name': trim(country)} END, CASE WHEN trim(sub_region) <> '' THEN {'label': 'SubRegion', 'name': trim(sub_region)} END, CASE WHEN trim(region_name) <> '' THEN {'label': 'Region', 'name': trim(region_name)} END], lambda x: x IS NOT NULL)"
 _HIER = f"SELECT DISTINCT s[1].label AS src_label, s[1].name AS src, 'IS_PART_OF' AS rel, s[2].label AS dst_label, s[2].name AS dst FROM (SELECT unnest(list_zip(l[1:len(l) - 1], l[2:])) AS s FROM (SELECT {_LEVEL} AS l FROM country_region))"
-_E = "WITH a AS (SELECT *, CASE WHEN regexp_matches(trim(last_event_in_timeline), '^[0-9]{4}-') THEN TRY_CAST(split_part(trim(last_event_in_timeline), '-', 1) AS INTEGER) END AS y FROM all_data_en WHERE trim(document_id) <> ''), i AS (SELECT document_id, unnest(string_split(instrument, ';')) AS i FROM a), e AS MATERIALIZED (" + " UNION ALL ".join([
+_YEAR = "CASE WHEN regexp_full_match(trim(split_part(last_event_in_timeline, '-', 1)), '[+]?[0-9]{1,9}') THEN CAST(trim(split_part(last_event_in_timeline, '-', 1)) AS INTEGER) END"
+_E = "WITH a AS (SELECT *, " + _YEAR + " AS y FROM all_data_en WHERE trim(document_id) <> ''), i AS (SELECT document_id, unnest(string_split(instrument, ';')) AS i FROM a), e AS MATERIALIZED (" + " UNION ALL ".join([
     _edge("PolicyDocument", "document_id", "EFFECTIVE_FROM", "ApprovalYear", "CAST(y AS VARCHAR)", "a"), _edge("PolicyDocument", "document_id", "IS_OF_TYPE", "DocumentType", "document_role", "a"),
     _edge("Country", "geography", "APPLIES", "PolicyDocument", "document_id", "a"),
     *[_edge("PolicyDocument", "document_id", rel, label, "v", f"(SELECT document_id, unnest(string_split({c}, ';')) AS v FROM a)") for c, (rel, label) in LISTS.items()],
@@ -386,17 +392,21 @@ SQL = {
         g AS (SELECT group_key, (row_number() OVER (ORDER BY md5('42:' || group_key), group_key) - 1) % 5 AS fold FROM (SELECT DISTINCT group_key FROM k)) SELECT row_id, group_key, fold FROM k JOIN g USING (group_key)""",
     "fold_leakage_check": "SELECT trim(family_id) AS group_key, count(DISTINCT fold) AS n_folds FROM group_kfold_assignments WHERE trim(family_id) <> '' AND fold IS NOT NULL GROUP BY 1 HAVING min(fold) <> max(fold)",
     "fold_train_test_counts": "SELECT fold, CAST(sum(count(*)) OVER () - count(*) AS BIGINT) AS n_train, count(*) AS n_test FROM group_kfold_assignments WHERE fold IS NOT NULL GROUP BY fold",
-    "fold_train_without_test": "SELECT row_id, document_id, CAST(fold AS BIGINT) AS fold FROM group_kfold_assignments WHERE fold <> 0 AND document_id IS NOT NULL AND document_id NOT IN (SELECT document_id FROM group_kfold_assignments WHERE fold = 0 AND document_id IS NOT NULL)",
+    "fold_train_without_test": """WITH g AS (SELECT row_id, document_id, fold FROM group_kfold_assignments WHERE document_id IS NOT NULL AND fold IS NOT NULL), f AS (SELECT DISTINCT fold AS held FROM group_kfold_assignments WHERE fold IS NOT NULL)
+        SELECT held, row_id, document_id, CAST(fold AS BIGINT) AS fold FROM f JOIN g ON fold <> held WHERE NOT EXISTS (SELECT 1 FROM g t WHERE t.fold = held AND t.document_id = g.document_id)""",
     "first_valid_group_key": f"SELECT coalesce(nullif({_strip('family_title')}, ''), 'UNKNOWN_FAMILY') AS group_key, count(*) AS n FROM all_data_en GROUP BY 1",
     "region_left_join": "SELECT row_id, geography_iso, region_name, sub_region, intermediate_region FROM all_data_en LEFT JOIN country_region ON geography_iso = alpha_3",
-    "region_share_pct": """WITH g AS (SELECT region_name AS region, fold <> 0 AS t FROM group_kfold_assignments WHERE fold IS NOT NULL AND region_name IS NOT NULL),
-        s AS (SELECT t, region, count(*) * 100.0::DOUBLE / sum(count(*)) OVER (PARTITION BY t) AS pct FROM g GROUP BY t, region)
-        SELECT region, round(coalesce(a.pct, 0), 6) AS train_pct, round(coalesce(b.pct, 0), 6) AS test_pct FROM (SELECT * FROM s WHERE t) a FULL JOIN (SELECT * FROM s WHERE NOT t) b USING (region)""",
+    "region_share_pct": """WITH g AS (SELECT region_name AS region, fold FROM group_kfold_assignments WHERE fold IS NOT NULL AND region_name IS NOT NULL), f AS (SELECT DISTINCT fold AS held FROM group_kfold_assignments WHERE fold IS NOT NULL),
+        s AS (SELECT held, region, count(*) FILTER (fold <> held) AS a, count(*) FILTER (fold = held) AS b FROM f, g GROUP BY ALL)
+        SELECT held AS fold, region, round(coalesce(a * 100.0::DOUBLE / nullif(sum(a) OVER (PARTITION BY held), 0), 0), 6) AS train_pct, round(coalesce(b * 100.0::DOUBLE / nullif(sum(b) OVER (PARTITION BY held), 0), 0), 6) AS test_pct FROM s""",
     "multivalue_sector_share": """WITH x AS (SELECT fold, trim(unnest(string_split(sector, ';')), ' ') AS sector FROM group_kfold_assignments WHERE fold IS NOT NULL)
         SELECT CAST(fold AS BIGINT) AS fold, sector, count(*) AS n, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (PARTITION BY fold), 6) AS pct FROM x WHERE sector NOT IN ('', 'Other') GROUP BY fold, sector""",
-    "country_counts_outer": "SELECT alpha_3, count(*) FILTER (fold <> 0) AS n_train, count(*) FILTER (fold = 0) AS n_test FROM group_kfold_assignments WHERE fold IS NOT NULL AND alpha_3 IS NOT NULL GROUP BY alpha_3",
+    "country_counts_outer": """WITH g AS (SELECT alpha_3, fold FROM group_kfold_assignments WHERE fold IS NOT NULL AND alpha_3 IS NOT NULL), f AS (SELECT DISTINCT fold AS held FROM group_kfold_assignments WHERE fold IS NOT NULL)
+        SELECT held AS fold, alpha_3, count(*) FILTER (fold <> held) AS n_train, count(*) FILTER (fold = held) AS n_test FROM f, g GROUP BY ALL""",
     "label_codes": "SELECT sub_region, printf('R%02d', row_number() OVER (ORDER BY sub_region)) AS code FROM (SELECT DISTINCT sub_region FROM country_region WHERE sub_region IS NOT NULL)",
-    "validation_split": "WITH g AS (SELECT row_id, row_number() OVER (ORDER BY md5('7:' || row_id), row_id) AS r, count(*) OVER () AS n FROM group_kfold_assignments WHERE fold <> 0) SELECT row_id, r <= least(greatest(1, floor(n * 0.2::DOUBLE + 0.5)), n - 1) AS is_validation FROM g",
+    "validation_split": """WITH f AS (SELECT DISTINCT fold AS held FROM group_kfold_assignments WHERE fold IS NOT NULL),
+        g AS (SELECT held, row_id, row_number() OVER (PARTITION BY held ORDER BY md5('7:' || row_id), row_id) AS r, count(*) OVER (PARTITION BY held) AS n FROM group_kfold_assignments, f WHERE fold <> held)
+        SELECT held, row_id, r <= least(greatest(1, floor(n * 0.2::DOUBLE + 0.5)), n - 1) AS is_validation FROM g""",
     "regional_test_pick": """WITH c AS (SELECT row_id, region_name, alpha_3, md5('3:' || row_id) AS o FROM group_kfold_assignments WHERE region_name IS NOT NULL AND alpha_3 IS NOT NULL),
         b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY alpha_3 ORDER BY o, row_id) AS k FROM c) WHERE k = 1), l AS (SELECT *, row_number() OVER (PARTITION BY region_name ORDER BY o, row_id) AS r FROM b)
         SELECT row_id, region_name, alpha_3 FROM l ORDER BY CASE WHEN r = 1 THEN 0 ELSE 1 END, o, row_id LIMIT 40""",
@@ -409,7 +419,7 @@ SQL = {
     "token_counts": "SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents) GROUP BY token",
     "filename_sanitize": "SELECT country, coalesce(nullif(trim(regexp_replace(country, '[^A-Za-z0-9._-]+', '_', 'g'), '_'), ''), 'unknown') AS file_name, replace(lower(sub_region), ' ', '-') AS slug FROM country_region",
     "ascii_sanitize": r"SELECT doc_id, md5(regexp_replace(text, '[^\x00-\x7F]+', ' ', 'g')) AS digest FROM documents",
-    "policy_years": "SELECT row_id, CASE WHEN regexp_matches(trim(last_event_in_timeline), '^[0-9]{4}-') THEN TRY_CAST(split_part(trim(last_event_in_timeline), '-', 1) AS INTEGER) END AS year FROM all_data_en",
+    "policy_years": f"SELECT row_id, {_YEAR} AS year FROM all_data_en",
     "instrument_parse": "WITH i AS (SELECT unnest(string_split(instrument, ';')) AS i FROM all_data_en) SELECT nullif(trim(split_part(i, '|', 1)), '') AS name, nullif(trim(split_part(i, '|', 2)), '') AS kind, count(*) AS n FROM i WHERE trim(split_part(i, '|', 1)) <> '' GROUP BY ALL",
     "json_title_fallback": "SELECT coalesce(json_extract_string(props, '$.title'), json_extract_string(props, '$.k'), 'none') AS title, count(*) AS n FROM events GROUP BY 1",
     "metadata_alias": "SELECT chunk_id, coalesce(nullif(trim(document_id), ''), '') AS document_id, fold FROM chunk",
@@ -426,7 +436,7 @@ SQL = {
     "continent_lookup": "SELECT coalesce(region_name, 'Other') AS continent, count(*) AS n FROM all_data_en LEFT JOIN country_region ON trim(geography) = trim(country) GROUP BY 1",
     "metadata_context": """WITH a AS (SELECT row_id, geography, lang, CASE WHEN lower(trim(coalesce(sector, ''))) NOT IN ('', 'nan', 'none') THEN 'Sector: ' || trim(sector) END AS s, CASE WHEN lower(trim(coalesce(category, ''))) NOT IN ('', 'nan', 'none') THEN 'Category: ' || trim(category) END AS c FROM all_data_en)
         SELECT row_id, CASE WHEN s IS NOT NULL OR c IS NOT NULL THEN concat_ws(chr(10), s, c) ELSE coalesce(trim(geography), '') || ', ' || coalesce(trim(lang), '') END AS context FROM a""",
-    "inverted_index": f"SELECT trim(unit) AS unit, string_agg(DISTINCT feature, ';' ORDER BY feature) AS features FROM time_series WHERE unit IS NOT NULL AND lower(regexp_replace(unit, '{SPACES}', '', 'g')) NOT IN ({', '.join(chr(39) + v + chr(39) for v in text.NO_VALUE_EVEN)}) GROUP BY 1",
+    "inverted_index": f"SELECT DISTINCT trim(unit) AS unit, feature FROM time_series WHERE unit IS NOT NULL AND lower(regexp_replace(unit, '{SPACES}', '', 'g')) NOT IN ({', '.join(chr(39) + v + chr(39) for v in text.NO_VALUE_EVEN)})",
     "cached_key_sha256": "SELECT row_id, sha256('fold=' || fold || '|idx=' || row_id || '|doc_id=' || document_id) AS cache_key FROM group_kfold_assignments WHERE fold IS NOT NULL AND document_id IS NOT NULL",
     "rouge12": f"""WITH h AS (SELECT document_id, arg_min(family_summary, row_id) AS human FROM group_kfold_assignments WHERE trim(family_summary) <> '' AND document_id IS NOT NULL GROUP BY document_id),
         p AS MATERIALIZED (SELECT document_id, summary AS generated, human FROM policy_document JOIN h USING (document_id)), {_rouge(1)}, {_rouge(2)}

@@ -267,7 +267,7 @@ SQL = {
         SELECT count(*) AS queries_evaluated, {_metric()} FROM ({_RANK.format(c="score", d="bd", q="tq")})""",
     "selector_semantic": f"WITH {_BASE} SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 8",
     "triplet_loss": """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), f AS (SELECT label - 1 AS label, arg_min(v, vec_id) AS neg FROM e GROUP BY label),
-        t AS (SELECT label, v, lead(v) OVER (PARTITION BY label, vec_id // 1000 ORDER BY vec_id) AS pos FROM e),
+        t AS (SELECT label, v, lead(v) OVER (PARTITION BY label ORDER BY vec_id) AS pos FROM e),
         x AS (SELECT sqrt(list_sum(list_transform(list_zip(v, pos), lambda z: (z[1] - z[2] + 1e-6) * (z[1] - z[2] + 1e-6)))) AS a, sqrt(list_sum(list_transform(list_zip(v, neg), lambda z: (z[1] - z[2] + 1e-6) * (z[1] - z[2] + 1e-6)))) AS b
           FROM t JOIN f USING (label) WHERE pos IS NOT NULL) SELECT count(*) AS n, round(avg(greatest(a - b + 1, 0)), 6) AS loss FROM x""",
     "contrastive_loss": """WITH e AS (SELECT vec_id // 16 AS batch, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),

@@ -15,8 +15,8 @@ def test_windows_take_features_of_all_tables(spark, sf):
         ("none", 1, None): (3, 0.0, 0.0), ("none", 2, None): (3, 0.0, 0.0),
     }
     features = q_panel.standard_scale_train_only(spark, sf).select("feature").distinct().count()
-    whole = q_panel.window_tensor_all(spark, sf).groupBy("document_id", "window").sum("n_features").collect()
-    assert len(whole) == 4 * q_panel._anchors(spark, sf).count() and {r[2] for r in whole} == {features}
+    whole = q_panel.window_tensor(spark, sf).groupBy("country", "year", "window", "n_docs").sum("n_features").collect()
+    assert sum(r["n_docs"] for r in whole) == 4 * q_panel._anchors(spark, sf).count() and {r[4] for r in whole} == {features}
 
 
 def test_tensor_signal_is_that_of_the_dense_row(spark):
@@ -45,7 +45,7 @@ def test_tables_of_country_region_and_world(spark):
 
 
 def test_policies_select_tables_of_their_own(spark, sf):
-    got = q_panel.selector_policy_pearson(spark, sf).collect()
+    got = q_panel.selector_pearson(spark, sf).collect()
     years = {r["document_id"]: r["year"] for r in q_panel._anchors(spark, sf).collect()}
     assert len({r["document_id"] for r in got}) > 1 and len({years[r["document_id"]] for r in got}) > 1
     assert {r["rank"] for r in got} >= {1} and all(r["rank"] <= 8 for r in got)
@@ -56,9 +56,9 @@ def test_rendered_columns_are_those_of_the_selected_tables(spark, sf):
     for r in q_panel.cells(spark, sf).select("table_idx", "feature").distinct().collect():
         of.setdefault(r["table_idx"], []).append(r["feature"])
     chosen = {}
-    for r in sorted(q_panel.selector_policy_pearson(spark, sf).collect(), key=lambda r: r["rank"]):
+    for r in sorted(q_panel.selector_pearson(spark, sf).collect(), key=lambda r: r["rank"]):
         chosen.setdefault(r["document_id"], []).extend(sorted(of[r["table_idx"]]))
-    texts = {r["document_id"]: r["text"] for r in q_panel.table_text_render_all(spark, sf).collect()}
+    texts = {r["document_id"]: r["text"] for r in q_panel.table_text_render(spark, sf).collect()}
     assert len(texts) == q_panel._anchors(spark, sf).count() and chosen
     for d, text in texts.items():
         lines = text.split("\\n") if text else []
