@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class Embedder(Protocol):
@@ -31,7 +32,11 @@ class Generator(Protocol):
 
 
 class HashedWords:
-    """Embedder that adds a signed unit per word at a hashed place; unit length, zeros for a text without words."""
+    """Embedder that adds a signed unit per word at a hashed place; unit length, zeros for a text without words.
+
+    The place is the number of the first two digits of the word's md5, the sign is
+    that of the third (8 and above add), so SQL can say the same.
+    """
 
     def __init__(self, width: int = 64) -> None:
         self.width = width
@@ -40,20 +45,42 @@ class HashedWords:
         out = np.zeros((len(texts), self.width))
         for row, text in zip(out, texts, strict=True):
             for word in re.findall("[a-z0-9]+", (text or "").lower()):
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
-                row[h % self.width] += 1 if h >> 63 else -1
+                h = hashlib.md5(word.encode()).hexdigest()
+                row[int(h[:2], 16) % self.width] += 1 if int(h[2], 16) >= 8 else -1
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norm > 0, norm, 1)
 
 
 class Extract:
-    """Generator that gives back the first words of its prompt."""
+    """Generator that gives back the first words of its prompt, or with `last` the last ones."""
 
-    def __init__(self, words: int = 40) -> None:
-        self.words = words
+    def __init__(self, words: int = 40, last: bool = False) -> None:
+        self.words, self.last = words, last
 
     def generate(self, prompt: str) -> str:
-        return " ".join(prompt.split()[: self.words])
+        words = prompt.split()
+        return " ".join(words[-self.words :] if self.last else words[: self.words])
+
+
+class Judge(Protocol):
+    """Scores of a text against what it was made from, by metric; a metric that can't be had raises."""
+
+    metrics: tuple[str, ...]
+
+    def score(self, metric: str, source: str, text: str) -> float: ...
+
+
+class SharedWords:
+    """Judge by words: alignment is the part of the text's words that the source has, coverage the reverse."""
+
+    metrics = ("alignment", "coverage")
+
+    def score(self, metric: str, source: str, text: str) -> float:
+        a, b = (set(re.findall("[a-z0-9]+", t.lower())) for t in (source, text))
+        of = b if metric == "alignment" else a
+        if not of:
+            raise ValueError("no words")
+        return len(a & b) / len(of)
 
 
 def rate_limited(error: Exception) -> bool:
@@ -230,6 +257,56 @@ def encode_texts(df: DataFrame, vector: str, encoder: DualEncoder, name: str = "
     return df.withColumn(name, F.pandas_udf(run, "array<double>")(F.col(vector)))
 
 
+def encode_queries(df: DataFrame, series: str, sectors: str, encoder: DualEncoder, name: str = "encoded") -> DataFrame:
+    """`df` with the query tower's vectors of a flat series and the 0/1 list of sectors."""
+
+    def run(s: pd.Series, k: pd.Series) -> pd.Series:
+        m = lambda v: np.array(v.to_list(), dtype=np.float64).reshape(len(v), -1)
+        return pd.Series(list(encoder.encode_query(m(s), m(k))), dtype=object)
+
+    return df.withColumn(name, F.pandas_udf(run, "array<double>")(F.col(series), F.col(sectors)))
+
+
+def input_dims(records: DataFrame, series: str, sectors: str) -> tuple[int, int]:
+    """Length of the flattened series and of the sector list; raises ValueError where records differ. One row reaches the driver."""
+    flat = F.size(F.flatten(series)) if records.schema[series].dataType.simpleString().startswith("array<array") else F.size(series)
+    row = records.agg(F.min(flat).alias("a"), F.max(flat).alias("b"), F.min(F.size(sectors)).alias("c"), F.max(F.size(sectors)).alias("d")).first()
+    if row["a"] is None or row["a"] != row["b"] or row["c"] != row["d"]:
+        raise ValueError(f"records have no common shape: {row.asDict()}")
+    return row["a"], row["c"]
+
+
+def judge_rows(df: DataFrame, source: str, text: str, make: Callable[[], Judge]) -> DataFrame:
+    """`df` with score_<metric> and error_<metric> of each row: what a metric raises is kept as text, the others still count."""
+    metrics = make().metrics
+    schema = T.StructType(list(df.schema.fields))
+    for m in metrics:
+        schema = schema.add(f"score_{m}", "double").add(f"error_{m}", "string")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        judge = make()
+        for pdf in batches:
+            for m in metrics:
+                scores, errors = [], []
+                for a, b in zip(pdf[source], pdf[text], strict=True):
+                    try:
+                        scores.append(float(judge.score(m, a if isinstance(a, str) else "", b if isinstance(b, str) else "")))
+                        errors.append(None)
+                    except Exception as error:
+                        scores.append(None)
+                        errors.append(str(error))
+                pdf = pdf.assign(**{f"score_{m}": pd.Series(scores, dtype="float64", index=pdf.index), f"error_{m}": pd.Series(errors, dtype=object, index=pdf.index)})
+            yield pdf
+
+    return df.mapInPandas(run, schema)
+
+
+def judge_means(judged: DataFrame, by: str) -> DataFrame:
+    """Mean of every score by kind of text, rounded to four places; rows without a score don't count (errors are)."""
+    scores = [c for c in judged.columns if c.startswith("score_")]
+    return judged.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(F.nanvl(F.col(c), F.lit(None))), 4).alias(c) for c in scores], *[F.count(c.replace("score_", "error_")).alias(c.replace("score_", "n_errors_")) for c in scores])
+
+
 def best_trial(trials: DataFrame, by: list[str], params: str = "params", loss: str = "val_loss") -> DataFrame:
     """by, params, val_loss of the trial with the least loss, ties to the smaller parameters."""
     return trials.groupBy(*by).agg(F.min(F.struct(loss, params)).alias("_x")).select(*by, f"_x.{params}", f"_x.{loss}")

@@ -305,16 +305,6 @@ def graph_qa_instrument_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return used.join(kind, "name").groupBy("kind").agg(F.count_distinct("doc").alias("n_docs"))
 
 
-def embedding_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "policy_document").select("document_id", "summary")
-    return models.embed_column(d, "summary", models.HashedWords(32)).select("document_id", F.array_join(F.transform("embedding", lambda x: F.format_string("%.4f", x)), " ").alias("vector"))
-
-
-def generation_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "policy_document").select("document_id", "summary")
-    return models.generate_column(d, "summary", models.Extract, "generated").select("document_id", "generated")
-
-
 def advisor_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "policy_document").select("document_id", "summary", "document_title", "geography")
     return models.advisor_chain(d, {"climate": "summary", "socio": "document_title", "other": "geography"}, models.Extract).select("document_id", "compact")
@@ -347,8 +337,7 @@ QUERIES = {
         label_codes, validation_split, regional_test_pick, fold_set_operations, html_clean, html_clean_full, whitespace_clean, keyword_clean, token_counts, filename_sanitize, ascii_sanitize,
         policy_years, instrument_parse, text_path_resolution, json_title_fallback, metadata_alias, metadata_upsert, metadata_upsert_counts, chunk_dedupe, chunk_fixed_stride, chunk_words,
         stratified_round_robin, simple_sample, strata_crosstab, continent_lookup, metadata_context, inverted_index, cached_key_sha256, hparam_grid, rouge12, rouge_l, graph_edges, graph_nodes,
-        graph_hierarchy, graph_related_docs, graph_chunk_edges, graph_entity_lookup, graph_qa_sectors_by_region, graph_qa_latest_by_country, graph_qa_instrument_types, embedding_stub,
-        generation_stub, advisor_stub, encoder_forward, event_windows, event_sessions,
+        graph_hierarchy, graph_related_docs, graph_chunk_edges, graph_entity_lookup, graph_qa_sectors_by_region, graph_qa_latest_by_country, graph_qa_instrument_types, advisor_stub, encoder_forward, event_windows, event_sessions,
     )
 }
 

@@ -157,12 +157,6 @@ def bm25_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.evaluate(retrieval.target_ranks(pooled, q), CUTS)
 
 
-def selector_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The eight chunks most like each query, with their score."""
-    top = retrieval.top_per(chunk_scores(spark, sf_dir, 8), ["query_id"], [F.col("score").desc(), F.col("chunk_id").asc()], 8)
-    return top.select("query_id", "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
-
-
 def triplet_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of `embeddings`: the next row of the label is the positive, the first of the next label the negative.
 
@@ -189,7 +183,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         retrieval_metrics_cosine, retrieval_trace_topk, retrieval_filter_cascade, retrieval_distinct_docs_top3, hit5_by_filter_mode, error_analysis_split, metrics_by_fold_method,
-        metrics_by_method, paired_significance, paired_pvalues, stability_summary, score_histogram, trace_hit1_collapse, bm25_topk, bm25_metrics, selector_semantic, triplet_loss, contrastive_loss,
+        metrics_by_method, paired_significance, paired_pvalues, stability_summary, score_histogram, trace_hit1_collapse, bm25_topk, bm25_metrics, triplet_loss, contrastive_loss,
     )
 }
 
@@ -265,7 +259,6 @@ SQL = {
     "bm25_topk": f"WITH {_BM25} SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM b) WHERE rank <= 3",
     "bm25_metrics": f"""WITH {_BM25}, bd AS (SELECT query_id, document_id, max(score) AS score FROM b JOIN cc USING (chunk_id) GROUP BY ALL)
         SELECT count(*) AS queries_evaluated, {_metric()} FROM ({_RANK.format(c="score", d="bd", q="tq")})""",
-    "selector_semantic": f"WITH {_BASE} SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 8",
     "triplet_loss": """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), f AS (SELECT label - 1 AS label, arg_min(v, vec_id) AS neg FROM e GROUP BY label),
         t AS (SELECT label, v, lead(v) OVER (PARTITION BY label ORDER BY vec_id) AS pos FROM e),
         x AS (SELECT sqrt(list_sum(list_transform(list_zip(v, pos), lambda z: (z[1] - z[2] + 1e-6) * (z[1] - z[2] + 1e-6)))) AS a, sqrt(list_sum(list_transform(list_zip(v, neg), lambda z: (z[1] - z[2] + 1e-6) * (z[1] - z[2] + 1e-6)))) AS b

@@ -60,6 +60,29 @@ def file_system(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def write_text(path: str, text: str) -> None:
+    """A small text file, written through Hadoop, so any store that tables can lie in will do."""
+    fs, p = file_system(SparkSession.active(), path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(path: str) -> str | None:
+    """A small text file read through Hadoop, None if there is none."""
+    spark = SparkSession.active()
+    fs, p = file_system(spark, path)
+    if not fs.exists(p) or fs.getFileStatus(p).isDirectory():
+        return None
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder; what is written there goes when the application ends."""
     path = f"{shared_dir(spark)}/policygrid/{label}-{uuid.uuid4().hex}"

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import csv
 import json
 import re
 from functools import reduce
-from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from policygrid.functions.text import normal_path, path_window
 from policygrid.operators.panel import standardize_table
+from policygrid.session import file_system, read_text
 
 #: The names under which vector stores keep the same metadata. Fixed values.
 ALIASES = {
@@ -93,9 +96,9 @@ def read_json_array(spark: SparkSession, path: str, schema: T.StructType = RECOR
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def read_traces(spark: SparkSession, folder: str, query: str = "query_text", doc: str = "target_doc_id") -> DataFrame:
+def read_traces(spark: SparkSession, folder: str, query: str = "query_text", doc: str = "target_doc_id", pattern: str = "*.{csv,jsonl}") -> DataFrame:
     """Rows of every CSV and JSONL under `folder` that has both columns, with trace_file and window (from the path, else `unknown`)."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{csv,jsonl}").load(folder).select("path").collect()  # one row per file
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder).select("path").collect()  # one row per file
     parts = []
     for path in sorted(r["path"] for r in listed):
         df = read_csv(spark, path) if path.endswith(".csv") else read_jsonl(spark, path)
@@ -133,14 +136,67 @@ def resolve_texts(rows: DataFrame, files: DataFrame, bases: list[str]) -> DataFr
 
 
 def read_manifest(path: str) -> dict:
-    """A small JSON object; empty on any failure."""
+    """A small JSON object, read through Hadoop; empty on any failure."""
     try:
-        found = json.loads(Path(path).read_text(encoding="utf-8"))
-    except (OSError, ValueError):
+        found = json.loads(read_text(path) or "")
+    except (OSError, ValueError, Py4JJavaError):
         return {}
     return found if isinstance(found, dict) else {}
 
 
+def load_hparams(path: str) -> dict | None:
+    """The parameters save_hparams() wrote, None if there are none."""
+    found = read_manifest(path).get("hparams")
+    return found if isinstance(found, dict) else None
+
+
+def resolve_checkpoint(spark: SparkSession, run_dir: str, explicit: str | None = None) -> str:
+    """The checkpoint to evaluate: the explicit file, else that of the first final trial, else the only one of any final trial.
+
+    Raises FileNotFoundError where there is none (or the explicit one is missing) and
+    RuntimeError where several could be meant.
+    """
+    fs, root = file_system(spark, run_dir)
+    path = lambda p: file_system(spark, p)[1]
+    there = lambda p: fs.exists(path(p)) and not fs.getFileStatus(path(p)).isDirectory()
+    if explicit is not None:
+        if not there(explicit):
+            raise FileNotFoundError(explicit)
+        return explicit
+    first = f"{run_dir}/checkpoints/final/trial_001/best.ckpt"
+    if there(first):
+        return first
+    found = sorted(str(f.getPath().toUri().getPath()) for f in fs.globStatus(path(f"{run_dir}/checkpoints/final/trial_*/best.ckpt")) or [])
+    if len(found) > 1:
+        raise RuntimeError(f"several checkpoints under {run_dir}; name one")
+    if not found:
+        raise FileNotFoundError(f"no checkpoint under {run_dir}")
+    return found[0]
+
+
+def keyed_records(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
+    """Records of a JSON array by `key`, of equal keys one; a file that is absent or can't be read gives no records."""
+    try:
+        return read_json_array(spark, path).where(F.col(key).isNotNull()).dropDuplicates([key])
+    except AnalysisException:
+        return spark.createDataFrame([], RECORD)
+
+
+def feature_columns(spark: SparkSession, path: str, keys: tuple[str, ...] = ("country", "year")) -> list[str]:
+    """The feature names of a CSV from its header alone; no row is read."""
+    head = (read_text(path) or "").partition("\n")[0].strip("\ufeff\r")
+    return [c for c in next(csv.reader([head]), []) if c not in keys]
+
+
+def read_retrieval_traces(spark: SparkSession, folder: str) -> DataFrame:
+    """read_traces() of the files named *retrieval_traces*.csv; raises ValueError where one lacks a column that every trace has."""
+    found = read_traces(spark, folder, pattern="*retrieval_traces*.csv")
+    missing = [c for c in ("query_text", "target_doc_id", "retrieved_doc_id") if c not in found.columns]
+    if missing:
+        raise ValueError(f"traces lack {missing}")
+    return found
+
+
 def collection_name(asked: str | None, manifest: dict, default: str = "chunks") -> str:
     """An explicit name; for none, `auto` and `manifest` that of the manifest, else the default."""
     if asked and asked.strip().lower() not in ("auto", "manifest"):

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from policygrid.session import file_system, write_text
+
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    fs, p = file_system(spark, path)
+    return fs.exists(p)
 
 
 def write_folds(df: DataFrame, path: str) -> None:
@@ -30,9 +31,13 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def write_manifest(path: str, **values) -> None:
-    """A small JSON object beside a table."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(values, indent=2, sort_keys=True, default=str), encoding="utf-8")
+    """A small JSON object beside a table, in the store the table lies in."""
+    write_text(path, json.dumps(values, indent=2, sort_keys=True, default=str))
+
+
+def save_hparams(path: str, hparams: dict, **about) -> None:
+    """The tuned parameters of a run (about: backbone, loss, val_loss, ...), to be shared by the runs of that kind."""
+    write_manifest(path, hparams=hparams, **about)
 
 
 def manifest_row(df: DataFrame, **aggregates) -> DataFrame:
