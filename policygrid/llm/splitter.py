@@ -47,9 +47,11 @@ def boundaries(text: str, most: int) -> list[int]:
 def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
     """Spans of pieces of at most `limit` characters that cover `text`; each begins `overlap` before the end of the one before.
 
-    A text within the limit, an empty one included, is one piece. Units are packed
-    greedily, so an end is at the coarsest boundary that the size allows; the last
-    piece never repeats only what the one before already has.
+    A text within the limit, an empty one included, is one piece. Units between
+    boundaries (a unit too long for a piece is divided at the next finer kind of
+    boundary) are packed greedily: a piece takes as many whole units as fit, so it can
+    end at a finer boundary than one that lies further back. The last piece never
+    repeats only what the one before already has.
     """
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and less than limit")
