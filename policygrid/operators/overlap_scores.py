@@ -11,27 +11,36 @@ from pyspark.sql import functions as F
 from policygrid.functions.text import tokens
 
 
-def _grams(t: Column, n: int) -> Column:
-    if n == 1:
-        return t
-    count = F.size(t) - n + 1
-    return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(F.array().cast("array<string>"))
-
-
 def f1(shared: Column, a: Column, b: Column) -> Column:
     """F1 of `shared` of a and b items, 0 where one side is empty."""
     p, r = F.try_divide(shared.cast("double"), a), F.try_divide(shared.cast("double"), b)
     return F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
 
 
-def rouge_n(pairs: DataFrame, key: str, generated: str, human: str, n: int) -> DataFrame:
-    """key, rouge<n>: F1 of clipped n-gram counts, without stemming. Null texts count as empty.
+def _stemmed(long: DataFrame) -> DataFrame:
+    """`long` (side, word, ...) with words as their stems: each different word of the table is stemmed once."""
+    stem = F.pandas_udf(lambda s: pd.Series([porter(w) if len(w) > 3 else w for w in s], index=s.index, dtype=object), "string")
+    book = long.select("word").distinct().withColumn("stem", stem("word"))
+    return long.join(book, "word").drop("word").withColumnRenamed("stem", "word")
+
+
+def rouge_n(pairs: DataFrame, key: str, generated: str, human: str, n: int, stem: bool = True) -> DataFrame:
+    """key, rouge<n>: F1 of clipped n-gram counts of stemmed words (`stem` off: of words as they stand). Null texts count as empty.
 
-    The counts are joined on (key, n-gram), so a long text is spread by its n-grams.
+    Words are joined to the dictionary of stems one by one and n-grams counted by
+    (key, n-gram), so a long text is spread by its words.
     """
-    base = pairs.select(F.col(key), _grams(tokens(F.col(generated)), n).alias("g"), _grams(tokens(F.col(human)), n).alias("h"))
-    long = base.select(key, F.lit(0).alias("side"), F.explode("g").alias("x")).union(base.select(key, F.lit(1), F.explode("h")))
-    per = long.groupBy(key, "x").agg(F.count_if(F.col("side") == 0).alias("cg"), F.count_if(F.col("side") == 1).alias("ch"))
+    long = pairs.select(key, F.lit(0).alias("side"), F.posexplode(tokens(F.col(generated))).alias("pos", "word")).union(pairs.select(key, F.lit(1), F.posexplode(tokens(F.col(human)))))
+    if stem:
+        long = _stemmed(long)
+    # The words of an n-gram meet under the place it begins at.
+    spread = long.select(key, "side", F.explode(F.array(*[F.struct((F.col("pos") - k).alias("at"), F.struct(F.lit(k).alias("k"), "word").alias("w")) for k in range(n)])).alias("g")) if n > 1 else None
+    if spread is None:
+        grams = long.select(key, "side", F.col("word").alias("x"))
+    else:
+        parts = spread.groupBy(key, "side", "g.at").agg(F.array_sort(F.collect_list("g.w")).alias("x"))  # n words at most
+        grams = parts.where((F.size("x") == n) & (F.col("at") >= 0)).select(key, "side", F.array_join("x.word", " ").alias("x"))
+    per = grams.groupBy(key, "x").agg(F.count_if(F.col("side") == 0).alias("cg"), F.count_if(F.col("side") == 1).alias("ch"))
     shared = per.groupBy(key).agg(F.sum(F.least("cg", "ch")).alias("m"), F.sum("cg").alias("ng"), F.sum("ch").alias("nh"))
     score = F.round(F.coalesce(f1(F.col("m"), F.col("ng"), F.col("nh")), F.lit(0.0)), 6)
     return pairs.select(key).join(shared, key, "left").select(key, score.alias(f"rouge{n}"))

@@ -102,7 +102,8 @@ def _pooled(digits: int):
 
 def _block_pairs(queries: DataFrame, chunks: DataFrame, group: str | None, label: str | None) -> tuple[DataFrame, str, str, str]:
     qt, ct = queries.schema["query_id"].dataType.simpleString(), chunks.schema["chunk_id"].dataType.simpleString()
-    parts = 64
+    # A part is about two blocks of chunks, so tasks follow the number of chunks.
+    parts = max(1, math.ceil(chunks.select("chunk_id").count() / (2 * BLOCK)))
     g = (F.col(group) if group else F.lit(0)).cast("long").alias("g")
     own = F.col(label) if label else F.lit(None).cast("string")
     lt = chunks.schema[label].dataType.simpleString() if label else "string"
@@ -232,6 +233,26 @@ def filter_cascade(scores: DataFrame, queries: DataFrame, chunk_meta: DataFrame)
     return marked.join(best, ["query_id", "level"]).drop("_c", "_s", "_g", "_t")
 
 
+def cascade_best(queries: DataFrame, chunks: DataFrame, digits: int = 10) -> DataFrame:
+    """query_id, level, n_chunks, best_score of the first level of filter_cascade() that has a chunk for the query.
+
+    `queries` has query_id, vec, fold, country, sector and `chunks` chunk_id, vec, fold,
+    geography, sector; a query's own chunk doesn't count. Only chunks of the query's
+    country are scored, pooled by sector where they are multiplied; all chunks of the
+    fold only for queries whose country has none. No row per chunk is made.
+    """
+    q = queries.select("query_id", "vec", "fold", F.trim("country").alias("_c"), F.trim("sector").alias("_s"))
+    c = chunks.select("chunk_id", "vec", "fold", F.trim("geography").alias("_c"), F.coalesce(F.trim("sector"), F.lit("")).alias("label"))
+    place = F.xxhash64("fold", "_c").alias("place")
+    near = durable(block_pool(q.where("_c <> ''").select("query_id", "vec", place), c.where("_c <> ''").select("chunk_id", "vec", "label", place), "label", digits, "place"), "same-country")
+    mine = near.join(q.select("query_id", "_s"), "query_id")
+    same = mine.where("_s <> '' and label = _s").select("query_id", F.lit(1).alias("level"), "n_chunks", F.col("score").alias("best_score"))
+    country = near.groupBy("query_id").agg(F.lit(2).alias("level"), F.sum("n_chunks").alias("n_chunks"), F.max("score").alias("best_score")).join(same.select("query_id"), "query_id", "left_anti")
+    rest = q.join(near.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "vec", "fold")
+    far = block_pool(rest, c.select("chunk_id", "vec", F.lit("").alias("label"), "fold"), "label", digits, "fold")
+    return same.unionByName(country).unionByName(far.select("query_id", F.lit(3).alias("level"), "n_chunks", F.col("score").alias("best_score")))
+
+
 def distinct_documents(scores: DataFrame, chunk_docs: DataFrame, allowed: DataFrame, top_docs: int, top_chunks: int = 1000) -> DataFrame:
     """Of the top chunks per query the first of each allowed document, at most `top_docs` documents."""
     ranked = top_per(scores, ["query_id"], [F.col("score").desc(), F.col("chunk_id").asc()], top_chunks, name="chunk_rank", salt=F.col("chunk_id"))

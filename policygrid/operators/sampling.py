@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from policygrid.functions.ordering import hash_rank, seeded
+from policygrid.functions.ordering import hash_rank, seeded, top_per
 
 
 def query_hits(traces: DataFrame, keys: list[str]) -> DataFrame:
@@ -29,7 +29,8 @@ def round_robin(pool: DataFrame, group: str, n: int, key: str, seed: int = 0, by
     """
     by = by or []
     order = [seeded(seed, F.col(key)), F.col(key)]
-    inside = pool.withColumn("_k", F.row_number().over(W.partitionBy(*by, group).orderBy(*order))).where(F.col("_k") <= n)
+    # A group can hold a large share of all rows, so it is cut to n in salted parts first.
+    inside = top_per(pool, [*by, group], order, n, name="_k", salt=F.col(key))
     place = F.row_number().over(W.partitionBy(*by).orderBy("_k", group))
     return inside.withColumn("sample_no", place).where(F.col("sample_no") <= n).drop("_k")
 

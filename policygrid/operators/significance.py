@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from itertools import product
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -117,13 +116,3 @@ def p_values(rows: DataFrame, pairs: list[tuple[str, str]], metrics: list[str],
     grouped = both.groupBy("baseline", "candidate", "metric").agg(F.collect_list(F.round(F.col("c") - F.col("b"), 12)).alias("d"))
     p = lambda f: F.pandas_udf(lambda s: pd.Series([f([float(x) for x in d]) for d in s], dtype="float64"), "double")
     return grouped.select("baseline", "candidate", "metric", p(t_test_p)("d").alias("p_ttest"), p(wilcoxon_p)("d").alias("p_wilcoxon"))
-
-
-def brute_wilcoxon(diffs: list[float]) -> float:
-    """The exact test by listing all signs; what tests compare with."""
-    n = len(diffs)
-    order = sorted(range(n), key=lambda i: abs(diffs[i]))
-    rank = {i: r + 1 for r, i in enumerate(order)}
-    w = min(sum(rank[i] for i in range(n) if diffs[i] > 0), sum(rank[i] for i in range(n) if diffs[i] < 0))
-    sums = [sum(r for r, s in zip(range(1, n + 1), signs, strict=True) if s) for signs in product((0, 1), repeat=n)]
-    return min(1.0, 2 * sum(s <= w for s in sums) / 2**n)

@@ -114,6 +114,14 @@ def examples(policies: DataFrame, panel: DataFrame, windows: list[int], features
         F.coalesce("document_id", F.lit("")).alias("doc_id"), "sector", F.trim("geography").alias("country"))
 
 
+def examples_at(policies: DataFrame, series: DataFrame, key: str) -> DataFrame:
+    """examples() with tensors by place: `series` has at (country, year), window and tensor, and policies of one place and year share it; _test goes along."""
+    placed = series.select("at.country", "at.year", "window", "tensor")
+    return policies.join(placed.withColumnRenamed("country", "_c").withColumnRenamed("year", "_y"), (F.col("country") == F.col("_c")) & (F.col("year") == F.col("_y"))).select(
+        key, "window", F.col("family_summary").alias("anchor_summary"), F.col("tensor").alias("positive_time_series"), sector_one_hot(F.col("sector")).alias("positive_sector"),
+        F.coalesce("document_id", F.lit("")).alias("doc_id"), "sector", F.trim("geography").alias("country"), "_test")
+
+
 def pair_records(records: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     """anchor, negative_no, window and the fields of a pair: an anchor's example beside the series and sectors of each of its negatives."""
     a = records.select(F.col(key).alias("anchor"), "window", "anchor_summary", "positive_time_series", "positive_sector")

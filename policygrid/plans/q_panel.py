@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from policygrid.functions.ordering import top_per
-from policygrid.functions.text import evened_words, policy_year, split_sectors
-from policygrid.operators import models, panel, sampling, selector, tensors
+from policygrid.functions.text import evened_words
+from policygrid.operators import models, panel, policies, sampling, selector, tensors
 from policygrid.session import durable, table
 
 FIRST, LAST = 1970, 2024
@@ -102,11 +102,11 @@ def sector_one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _policies(spark: SparkSession, sf_dir: str, c: DataFrame) -> DataFrame:
-    """row_id, document_id, family_summary, sector, geography, country, year, fold of policies with all of summary, sector, date and a country of the panel."""
+    """row_id, document_id, family_summary, sector, geography, country, year, fold of cleaned policies with a country of the panel."""
     g = table(spark, sf_dir, "group_kfold_assignments")
-    day = F.trim("last_event_in_timeline")
-    g = g.select("row_id", "document_id", "family_summary", split_sectors(F.col("sector")).alias("sector"), "geography", evened_words(F.col("geography")).alias("country"), F.when(day.rlike("^[0-9]{4}-"), policy_year(day)).alias("year"), "fold")
-    return g.where("trim(family_summary) <> '' and size(sector) > 0 and country <> '' and year is not null").join(c.select("country").distinct(), "country", "left_semi")
+    p = policies.clean_policies(g).join(g.select("row_id", "fold"), "row_id")
+    p = p.select("row_id", "document_id", "family_summary", F.col("sectors").alias("sector"), "geography", evened_words(F.col("geography")).alias("country"), F.year("event_date").alias("year"), "fold")
+    return p.join(c.select("country").distinct(), "country", "left_semi")
 
 
 def _folds(spark: SparkSession, sf_dir: str) -> list[int]:
@@ -120,24 +120,79 @@ def fold_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("fold", F.explode(F.array(*[F.lit(w) for w in (1, 2, 5, 10)])).alias("window"), "anchor", F.col("negative_no").cast("bigint").alias("negative_no"), "negative")
 
 
+def _fold_records(c: DataFrame, rows: DataFrame, fold: int, windows: list[int]) -> tuple[DataFrame, int]:
+    """The example records of all policies for a held-out fold (`_test`: whether it is held out) and the number of features; the scaler is fitted on countries of train policies."""
+    held = F.col("fold").eqNullSafe(fold)
+    flagged = c.join(rows.where(~held).select("country").distinct().withColumn("_train", F.lit(True)), "country", "left")
+    fitted = c.select("feature").distinct().join(tensors.fit_scaler(flagged, F.col("_train")), "feature", "left")
+    params = durable(fitted.select("feature", F.coalesce("mean", F.lit(0.0)).alias("mean"), F.coalesce("std", F.lit(1.0)).alias("std")), "scaler")
+    names = sorted(r["feature"] for r in params.select("feature").collect())  # the panel's columns
+    # Policies of one country and year share their tensor.
+    at = rows.select("country", "year").distinct().withColumn("at", F.struct("country", "year"))
+    series = tensors.window_tensor(tensors.window_cells(at, tensors.scale(c, params), windows, names), ["at"])
+    return tensors.examples_at(rows.withColumn("_test", held), series, "row_id"), len(names)
+
+
+def fold_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The example records of every held-out fold and window: role, document, size and sum of the tensor, and the sectors."""
+    c = durable(cells(spark, sf_dir), "cells")
+    rows = durable(_policies(spark, sf_dir, c), "policies")
+    parts = [_fold_records(c, rows, f, [1, 2, 5, 10])[0].withColumn("fold", F.lit(f)) for f in _folds(spark, sf_dir)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    flat = F.flatten("positive_time_series")
+    return out.select(
+        "fold", F.when(F.col("_test"), "test").otherwise("train").alias("role"), "row_id", "window", "doc_id", F.size("positive_time_series").cast("bigint").alias("n_steps"), F.size(flat).cast("bigint").alias("n_values"),
+        F.round(F.aggregate(flat, F.lit(0.0), lambda s, x: s + x), 4).alias("tensor_sum"), F.array_join(F.transform("positive_sector", lambda x: x.cast("string")), "").alias("one_hot"))
+
+
+def fold_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per held-out fold and window the numbers of train and test policies, pairs, test records and features."""
+    c = durable(cells(spark, sf_dir), "cells")
+    rows = durable(_policies(spark, sf_dir, c).select("row_id", "fold"), "policies")
+    total, n_features = rows.count(), c.select("feature").distinct().count()
+    held = rows.where("fold is not null").groupBy("fold").agg(F.count(F.lit(1)).alias("test_rows"))
+    pairs = fold_pairs(spark, sf_dir).groupBy("fold", "window").agg(F.count(F.lit(1)).alias("train_pairs"))
+    every = spark.createDataFrame([(f, w) for f in _folds(spark, sf_dir) for w in (1, 2, 5, 10)], "fold int, window int")
+    out = every.join(held, "fold", "left").join(pairs, ["fold", "window"], "left").withColumn("test_rows", F.coalesce("test_rows", F.lit(0)))
+    return out.select("fold", "window", (F.lit(total) - F.col("test_rows")).alias("train_policies"), F.col("test_rows").alias("test_policies"), F.coalesce("train_pairs", F.lit(0)).alias("train_pairs"), "test_rows", F.lit(n_features).cast("bigint").alias("n_features"))
+
+
 def prepare_fold(spark: SparkSession, sf_dir: str, fold: int, windows: list[int], k: int = 2, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pair records, test records and the manifest of a held-out fold, with whole tensors; the scaler is fitted on countries of train policies."""
+    """Pair records, test records and the manifest of a held-out fold, with whole tensors."""
     c = durable(cells(spark, sf_dir), "cells")
     rows = durable(_policies(spark, sf_dir, c), "policies")
     held = F.col("fold").eqNullSafe(fold)
     train = rows.where(~held)
-    flagged = c.join(train.select("country").distinct().withColumn("_train", F.lit(True)), "country", "left")
-    fitted = c.select("feature").distinct().join(tensors.fit_scaler(flagged, F.col("_train")), "feature", "left")
-    params = fitted.select("feature", F.coalesce("mean", F.lit(0.0)).alias("mean"), F.coalesce("std", F.lit(1.0)).alias("std"))
-    names = sorted(r["feature"] for r in params.select("feature").collect())
-    records = durable(tensors.examples(rows, tensors.scale(c, params), windows, names, "row_id").join(rows.select("row_id", held.alias("_test")), "row_id"), "records")
+    records, n_features = _fold_records(c, rows, fold, windows)
+    records = durable(records, "records")
     pairs = tensors.pair_records(records.where("not _test"), tensors.negative_pairs(train, "row_id", "family_summary", k, seed + fold), "row_id")
     tests = records.where("_test").drop("_test")
     n = pairs.groupBy("window").agg(F.count(F.lit(1)).alias("train_pairs")).join(tests.groupBy("window").agg(F.count(F.lit(1)).alias("test_rows")), "window", "full")
-    manifest = n.select(F.lit(fold).alias("fold"), "window", F.lit(train.count()).alias("train_policy_rows"), F.lit(rows.where(held).count()).alias("test_policy_rows"), F.lit(len(names)).alias("feature_count"), F.coalesce("train_pairs", F.lit(0)).alias("train_pairs"), F.coalesce("test_rows", F.lit(0)).alias("test_rows"))
+    manifest = n.select(F.lit(fold).alias("fold"), "window", F.lit(train.count()).alias("train_policy_rows"), F.lit(rows.where(held).count()).alias("test_policy_rows"), F.lit(n_features).alias("feature_count"), F.coalesce("train_pairs", F.lit(0)).alias("train_pairs"), F.coalesce("test_rows", F.lit(0)).alias("test_rows"))
     return pairs, tests, manifest
 
 
+def fold_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The preprocessed panels of every held-out fold: features selected on train countries, each country's split, its grid of years filled; a row per fold, split and feature."""
+    c = durable(cells(spark, sf_dir), "cells")
+    split = durable(panel_split(spark, sf_dir), "splits")
+    parts = []
+    for f in _folds(spark, sf_dir):
+        own = c.join(split.where(F.col("fold") == f).select("country", "split"), "country")
+        kept = panel.select_features(own, F.col("split") == "train", 0.6, 0.5).where("verdict = 'kept'").select("feature")
+        parts.append(own.join(kept, "feature", "left_semi").withColumn("fold", F.lit(f)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    keys = ["fold", "split", "country", "feature"]
+    chosen = durable(out.select(*keys, "year", "value"), "panels")
+    grid = panel.dense_grid(chosen, keys, FIRST, LAST).join(chosen, [*keys, "year"], "left")
+    filled = panel.interpolate_linear(grid, keys, "year", "value")
+    return filled.groupBy("fold", "split", "feature").agg(F.count_distinct("country").alias("n_countries"), F.count("value").alias("n_values"), F.round(F.avg("value"), 5).alias("mean"))
+
+
 def series_descriptor(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = selector.series_descriptor(cells(spark, sf_dir), ["country", "feature"], "year", "value")
     return d.select("country", "feature", "n", *[F.round(c, 7).alias(c) for c in selector.DESCRIPTOR])
@@ -199,7 +254,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         panel_standardize, panel_dedupe_most_complete, feature_selection, feature_correlations, year_grid_interpolate, location_slice, panel_split, standard_scale_train_only,
-        window_tensor, table_text_render, sector_one_hot, fold_pairs, series_descriptor, selector_pearson, selector_trend, trend_labels,
+        window_tensor, table_text_render, sector_one_hot, fold_pairs, fold_examples, fold_manifest, fold_panels, series_descriptor, selector_pearson, selector_trend, trend_labels,
     )
 }
 
@@ -211,6 +266,14 @@ def even(c: str) -> str:
     return f"lower(trim(regexp_replace({c}, '{SPACES}', ' ', 'g')))"
 
 
+XML = "replace(replace(replace(replace(replace(replace(regexp_replace({0}, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&')"
+
+
+def squeeze(c: str) -> str:
+    """SQL for text.squeeze()."""
+    return f"trim(regexp_replace({c}, '{SPACES}', ' ', 'g'))"
+
+
 _CELLS = f"""cells AS MATERIALIZED (SELECT table_idx, country, year, feature, arg_max(value, (coalesce(loaded_at, TIMESTAMP '0001-01-01'), obs_id)) AS value FROM (SELECT table_idx, {even("country")} AS country, year, feature, value, loaded_at, obs_id FROM time_series)
    WHERE country <> '' AND year BETWEEN {FIRST} AND {LAST} AND isfinite(value) GROUP BY ALL)"""
 _TRAIN = "substr(md5(country), 1, 1) <= 'c'"
@@ -259,6 +322,13 @@ def _pearson_sql() -> str:
 
 
 _VOCABULARY = "[" + ", ".join("'" + s.replace("'", "''") + "'" for s in tensors.SECTORS) + "]"
+_GROUPED = f"""g AS MATERIALIZED (SELECT row_id, document_id, family_summary, sector, country, year(d) AS year, fold FROM (SELECT row_id, coalesce(document_id, '') AS document_id, coalesce({squeeze(XML.format("family_summary"))}, '') AS family_summary, sector, geography, {even("geography")} AS country, fold,
+      CASE WHEN regexp_matches(trim(last_event_in_timeline, ' '), '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}([T ].*)?$') THEN TRY_CAST(substr(trim(last_event_in_timeline, ' '), 1, 10) AS DATE) END AS d FROM group_kfold_assignments)
+   WHERE family_summary <> '' AND trim(geography, ' ') <> '' AND country IN (SELECT country FROM cells) AND len(list_filter(list_transform(string_split(coalesce(sector, ''), ';'), lambda s: trim(s, ' ')), lambda s: s NOT IN ('', 'Other'))) > 0 AND d IS NOT NULL)"""
+_FOLD_PAIRS = """f AS (SELECT DISTINCT fold AS held FROM group_kfold_assignments WHERE fold IS NOT NULL), tr AS (SELECT held, row_id, family_summary FROM g, f WHERE fold IS DISTINCT FROM held),
+   t AS (SELECT held, family_summary, min(row_id) AS rep FROM tr GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY held ORDER BY md5((42 + held) || ':' || family_summary), family_summary) AS r, count(*) OVER (PARTITION BY held) AS n FROM t),
+   x AS (SELECT a.held, a.family_summary, k.k AS negative_no, b.rep AS negative FROM r a, (VALUES (CAST(1 AS BIGINT)), (2)) AS k(k) JOIN r b ON b.held = a.held AND b.r = (a.r - 1 + k.k) % a.n + 1 WHERE k.k < a.n),
+   fp AS MATERIALIZED (SELECT held, row_id AS anchor, negative_no, negative FROM tr JOIN x USING (held, family_summary))"""
 SQL = {
     "panel_standardize": f"SELECT CAST(year AS INTEGER) AS year, count(*) AS n, count(country) AS n_country, count(value) AS n_value FROM time_series WHERE year BETWEEN {FIRST} AND {LAST} GROUP BY year",
     "panel_dedupe_most_complete": "SELECT document_id, row_id, family_id, sector, keyword FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY nn DESC, row_id) AS r FROM (SELECT *, " + " + ".join(f"CAST({c} IS NOT NULL AS INTEGER)" for c in ("family_id", "family_title", "document_title", "geography", "geography_iso", "sector", "keyword", "instrument", "document_role", "category", "last_event_in_timeline", "text_file_path", "lang", "updated_at")) + " AS nn FROM all_data_en WHERE document_id IS NOT NULL)) WHERE r = 1",
@@ -283,12 +353,30 @@ SQL = {
         x AS (SELECT country, year, n_docs, "window", CASE WHEN count(r) > 0 THEN feature END AS f, count(*) AS n_steps, avg(v) AS mean, arg_max(v, y) AS last FROM j GROUP BY country, year, n_docs, "window", feature)
         SELECT country, year, "window", f AS feature, count(*) AS n_features, n_docs, n_steps, round(max(mean), 6) AS mean, round(max(last), 6) AS last FROM x GROUP BY country, year, n_docs, "window", f, n_steps""",
     "sector_one_hot": f"SELECT row_id, array_to_string(list_transform({_VOCABULARY}, lambda s: CASE WHEN list_contains(list_transform(string_split(coalesce(sector, ''), ';'), lambda p: trim(p, ' ')), s) THEN '1' ELSE '0' END), '') AS one_hot FROM all_data_en",
-    "fold_pairs": f"""WITH {_CELLS}, g AS (SELECT row_id, family_summary, fold FROM (SELECT *, {even("geography")} AS country FROM group_kfold_assignments) WHERE trim(family_summary) <> '' AND country IN (SELECT country FROM cells)
-          AND len(list_filter(string_split(coalesce(sector, ''), ';'), lambda s: trim(s) NOT IN ('', 'Other'))) > 0 AND regexp_matches(trim(last_event_in_timeline), '^[0-9]{{4}}-')),
-        f AS (SELECT DISTINCT fold AS held FROM group_kfold_assignments WHERE fold IS NOT NULL), tr AS (SELECT held, row_id, family_summary FROM g, f WHERE fold IS DISTINCT FROM held),
-        t AS (SELECT held, family_summary, min(row_id) AS rep FROM tr GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY held ORDER BY md5((42 + held) || ':' || family_summary), family_summary) AS r, count(*) OVER (PARTITION BY held) AS n FROM t),
-        x AS (SELECT a.held, a.family_summary, k.k AS negative_no, b.rep AS negative FROM r a, (VALUES (CAST(1 AS BIGINT)), (2)) AS k(k) JOIN r b ON b.held = a.held AND b.r = (a.r - 1 + k.k) % a.n + 1 WHERE k.k < a.n)
-        SELECT held AS fold, w."window", row_id AS anchor, negative_no, negative FROM tr JOIN x USING (held, family_summary), (VALUES (1), (2), (5), (10)) AS w("window")""",
+    "fold_pairs": f"""WITH {_CELLS}, {_GROUPED}, {_FOLD_PAIRS} SELECT held AS fold, w."window", anchor, negative_no, negative FROM fp, (VALUES (1), (2), (5), (10)) AS w("window")""",
+    "fold_manifest": f"""WITH {_CELLS}, {_GROUPED}, {_FOLD_PAIRS}, n AS (SELECT held, count(*) AS train_pairs FROM fp GROUP BY held)
+        SELECT f.held AS fold, w."window", (SELECT count(*) FROM g WHERE fold IS DISTINCT FROM f.held) AS train_policies, (SELECT count(*) FROM g WHERE fold = f.held) AS test_policies, coalesce(train_pairs, 0) AS train_pairs, (SELECT count(*) FROM g WHERE fold = f.held) AS test_rows, (SELECT count(DISTINCT feature) FROM cells) AS n_features
+        FROM f LEFT JOIN n ON n.held = f.held, (VALUES (1), (2), (5), (10)) AS w("window")""",
+    "fold_examples": f"""WITH {_CELLS}, {_GROUPED}, f AS (SELECT DISTINCT fold AS held FROM group_kfold_assignments WHERE fold IS NOT NULL), fe AS (SELECT DISTINCT feature FROM cells),
+        tc AS (SELECT DISTINCT held, country FROM f, g WHERE fold IS DISTINCT FROM held), pr AS (SELECT held, feature, avg(value) AS m, coalesce(nullif(stddev_pop(value), 0), 1) AS sd FROM cells JOIN tc USING (country) GROUP BY ALL),
+        sc AS MATERIALIZED (SELECT f.held, c.country, c.year, (c.value - coalesce(m, 0)) / coalesce(sd, 1) AS v FROM cells c CROSS JOIN f LEFT JOIN pr ON pr.held = f.held AND pr.feature = c.feature),
+        e AS (SELECT held, row_id, g.fold, g.country, g.year, w."window", document_id, sector FROM f, g, (VALUES (1), (2), (5), (10)) AS w("window")),
+        t AS (SELECT e.held, e.row_id, e."window", sum(sc.v) AS s FROM e JOIN sc ON sc.held = e.held AND sc.country = e.country AND sc.year BETWEEN e.year - e."window" + 1 AND e.year GROUP BY ALL)
+        SELECT e.held AS fold, CASE WHEN e.fold = e.held THEN 'test' ELSE 'train' END AS role, e.row_id, e."window", document_id AS doc_id, CAST(e."window" AS BIGINT) AS n_steps, e."window" * (SELECT count(*) FROM fe) AS n_values, round(coalesce(s, 0), 4) AS tensor_sum,
+        array_to_string(list_transform({_VOCABULARY}, lambda s: CASE WHEN list_contains(list_transform(string_split(coalesce(sector, ''), ';'), lambda p: trim(p, ' ')), s) THEN '1' ELSE '0' END), '') AS one_hot FROM e LEFT JOIN t ON t.held = e.held AND t.row_id = e.row_id AND t."window" = e."window\"""",
+    "fold_panels": f"""WITH {_CELLS}, gg AS (SELECT fold, {even('geography')} AS country FROM group_kfold_assignments WHERE fold IS NOT NULL AND geography IS NOT NULL), f AS (SELECT DISTINCT fold AS held FROM group_kfold_assignments WHERE fold IS NOT NULL),
+        sp AS MATERIALIZED (SELECT held, c.country, EXISTS (SELECT 1 FROM gg WHERE gg.country = c.country AND gg.fold <> held) AS train FROM f, (SELECT DISTINCT country FROM cells) c),
+        tr AS MATERIALIZED (SELECT held, cells.* FROM cells JOIN sp USING (country) WHERE train), nr AS (SELECT held, table_idx, count(DISTINCT (country, year)) AS n_rows FROM tr GROUP BY ALL),
+        st AS (SELECT held, table_idx, feature, min(value) <> max(value) AS varies, count(*) >= ceil(n_rows * CAST(1 - 0.6 AS DOUBLE) - 1e-9) AS complete FROM tr JOIN nr USING (held, table_idx) GROUP BY held, table_idx, feature, n_rows),
+        ft AS MATERIALIZED (SELECT tr.* FROM tr JOIN st USING (held, table_idx, feature) WHERE varies AND complete),
+        pr AS (SELECT a.held, a.table_idx, b.feature, covar_pop(a.value, b.value) / nullif(stddev_pop(a.value) * stddev_pop(b.value), 0) AS r FROM ft a JOIN ft b ON a.held = b.held AND a.table_idx = b.table_idx AND a.country = b.country AND a.year = b.year AND a.feature < b.feature GROUP BY a.held, a.table_idx, a.feature, b.feature),
+        kp AS (SELECT held, feature FROM st WHERE varies AND complete AND NOT EXISTS (SELECT 1 FROM pr WHERE pr.held = st.held AND pr.table_idx = st.table_idx AND pr.feature = st.feature AND round(abs(r), 9) > 0.5)),
+        ch AS MATERIALIZED (SELECT kp.held, CASE WHEN sp.train THEN 'train' ELSE 'test' END AS split, cells.country, cells.feature, cells.year, cells.value FROM cells JOIN kp USING (feature) JOIN sp ON sp.held = kp.held AND sp.country = cells.country),
+        k AS (SELECT DISTINCT held, split, country, feature FROM ch), j AS (SELECT k.*, y.year, value FROM k CROSS JOIN (SELECT CAST(unnest(range({FIRST}, {LAST + 1})) AS INTEGER) AS year) y LEFT JOIN ch USING (held, split, country, feature, year)),
+        s AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN year END IGNORE NULLS) OVER w AS y0, last_value(value IGNORE NULLS) OVER w AS v0, first_value(CASE WHEN value IS NOT NULL THEN year END IGNORE NULLS) OVER z AS y1, first_value(value IGNORE NULLS) OVER z AS v1 FROM j
+          WINDOW w AS (PARTITION BY held, split, country, feature ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), z AS (PARTITION BY held, split, country, feature ORDER BY year ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+        v AS (SELECT held, split, country, feature, coalesce(value, v0 + (v1 - v0) * (year - y0) / nullif(y1 - y0, 0), v0, v1) AS value FROM s)
+        SELECT held AS fold, split, feature, count(DISTINCT country) AS n_countries, count(value) AS n_values, round(avg(value), 5) AS mean FROM v GROUP BY held, split, feature""",
     "series_descriptor": f"WITH {_CELLS}, {_descriptor('country, feature', 'cells', 'ds')} SELECT country, feature, n, " + ", ".join(f"round({c}, 7) AS {c}" for c in selector.DESCRIPTOR) + " FROM ds",
     "selector_pearson": _policy_selector(_pearson_sql(), "-1"),
     "selector_trend": _policy_selector("-abs(sg.slope - td.slope) - 0.5 * abs(sg.delta - td.delta)", "-1e9"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from policygrid.functions import text
 from policygrid.functions.ordering import seeded
 from policygrid.operators import chunking, distribution, folds, graph, models, overlap_scores, sampling
-from policygrid.plans.q_panel import SPACES, even
+from policygrid.plans.q_panel import SPACES, XML as _XML, even, squeeze as _squeeze
 from policygrid.session import durable, table
 
 
@@ -237,9 +237,19 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "policy_document").select("document_id", F.col("summary").alias("generated")).join(h, "document_id")
 
 
-def rouge12(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _rouge12(spark: SparkSession, sf_dir: str, stem: bool) -> DataFrame:
     p = durable(_pairs(spark, sf_dir), "pairs")
-    return overlap_scores.rouge_n(p, "document_id", "generated", "human", 1).join(overlap_scores.rouge_n(p, "document_id", "generated", "human", 2), "document_id")
+    return overlap_scores.rouge_n(p, "document_id", "generated", "human", 1, stem).join(overlap_scores.rouge_n(p, "document_id", "generated", "human", 2, stem), "document_id")
+
+
+def rouge12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With stemming, which SQL here can't say; tested against a brute force."""
+    return _rouge12(spark, sf_dir, True)
+
+
+def rouge12_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words as they stand."""
+    return _rouge12(spark, sf_dir, False)
 
 
 def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -336,18 +346,11 @@ QUERIES = {
         grouped_kfold, fold_leakage_check, fold_train_test_counts, fold_train_without_test, first_valid_group_key, region_left_join, region_share_pct, multivalue_sector_share, country_counts_outer,
         label_codes, validation_split, regional_test_pick, fold_set_operations, html_clean, html_clean_full, whitespace_clean, keyword_clean, token_counts, filename_sanitize, ascii_sanitize,
         policy_years, instrument_parse, text_path_resolution, json_title_fallback, metadata_alias, metadata_upsert, metadata_upsert_counts, chunk_dedupe, chunk_fixed_stride, chunk_words,
-        stratified_round_robin, simple_sample, strata_crosstab, continent_lookup, metadata_context, inverted_index, cached_key_sha256, hparam_grid, rouge12, rouge_l, graph_edges, graph_nodes,
+        stratified_round_robin, simple_sample, strata_crosstab, continent_lookup, metadata_context, inverted_index, cached_key_sha256, hparam_grid, rouge12, rouge12_plain, rouge_l, graph_edges, graph_nodes,
         graph_hierarchy, graph_related_docs, graph_chunk_edges, graph_entity_lookup, graph_qa_sectors_by_region, graph_qa_latest_by_country, graph_qa_instrument_types, advisor_stub, encoder_forward, event_windows, event_sessions,
     )
 }
 
-_XML = "replace(replace(replace(replace(replace(replace(regexp_replace({0}, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"
-
-
-def _squeeze(c: str) -> str:
-    return f"trim(regexp_replace({c}, '{SPACES}', ' ', 'g'))"
-
-
 def _strip(c: str) -> str:
     return f"regexp_replace({c}, '^{SPACES}|{SPACES}$', '', 'g')"
 
@@ -427,7 +430,7 @@ SQL = {
         SELECT row_id, CASE WHEN s IS NOT NULL OR c IS NOT NULL THEN concat_ws(chr(10), s, c) ELSE coalesce(trim(geography), '') || ', ' || coalesce(trim(lang), '') END AS context FROM a""",
     "inverted_index": f"SELECT DISTINCT trim(unit) AS unit, feature FROM time_series WHERE unit IS NOT NULL AND lower(regexp_replace(unit, '{SPACES}', '', 'g')) NOT IN ({', '.join(chr(39) + v + chr(39) for v in text.NO_VALUE_EVEN)})",
     "cached_key_sha256": "SELECT row_id, sha256('fold=' || fold || '|idx=' || row_id || '|doc_id=' || document_id) AS cache_key FROM group_kfold_assignments WHERE fold IS NOT NULL AND document_id IS NOT NULL",
-    "rouge12": f"""WITH h AS (SELECT document_id, arg_min(family_summary, row_id) AS human FROM group_kfold_assignments WHERE trim(family_summary) <> '' AND document_id IS NOT NULL GROUP BY document_id),
+    "rouge12_plain": f"""WITH h AS (SELECT document_id, arg_max(family_summary, row_id) AS human FROM group_kfold_assignments WHERE trim(family_summary) <> '' AND document_id IS NOT NULL GROUP BY document_id),
         p AS MATERIALIZED (SELECT document_id, summary AS generated, human FROM policy_document JOIN h USING (document_id)), {_rouge(1)}, {_rouge(2)}
         SELECT p.document_id, coalesce(rouge1, 0) AS rouge1, coalesce(rouge2, 0) AS rouge2 FROM p LEFT JOIN r1 USING (document_id) LEFT JOIN r2 USING (document_id)""",
     "graph_edges": f"{_E} SELECT src_label, rel, dst_label, count(*) AS n FROM e GROUP BY ALL",
@@ -445,4 +448,10 @@ SQL = {
     "event_sessions": """WITH x AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
         s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM x) SELECT user_id, min(ts) AS session_start, count(*) AS n FROM s GROUP BY user_id, k""",
 }
+_PATH = lambda c: rf"nullif(regexp_replace(regexp_replace({_strip(c)}, '[/\\]+', '/', 'g'), '^(/|\.\.?/)+', ''), '')"
+SQL["text_path_resolution"] = f"""WITH r AS (SELECT row_id, {_PATH("text_file_path")} AS p FROM all_data_en), f AS (SELECT {_PATH("text_file_path")} AS k, text_file_path AS path FROM text_files),
+    c AS (SELECT row_id, unnest([1, 2, 3]) AS place, unnest([p, 'texts/' || p, 'data/' || p]) AS k FROM r) SELECT row_id, arg_min(path, (place, path)) AS path FROM c JOIN f USING (k) GROUP BY row_id"""
+SQL["hparam_grid"] = """WITH g AS (SELECT lr, margin, width, batch, l || '|' || m || '|' || w || '|' || b AS trial FROM (VALUES (0.0001::DOUBLE, '1.0E-4'), (0.0003, '3.0E-4'), (0.001, '0.001')) AS a(lr, l), (VALUES (0.2::DOUBLE, '0.2'), (0.5, '0.5'), (1.0, '1.0')) AS c(margin, m),
+    (VALUES (64.0::DOUBLE, '64.0'), (128.0, '128.0')) AS d(width, w), (VALUES (16.0::DOUBLE, '16.0'), (32.0, '32.0')) AS e(batch, b)) SELECT * FROM g ORDER BY md5('1:' || trial), trial LIMIT 24"""
+SQL["html_clean_full"] = SQL["html_clean"]  # to the entities that SQL resolves
 SQL["metadata_upsert_counts"] = f"SELECT count(*) AS scanned, count(*) FILTER (updated) AS updated FROM ({SQL['metadata_upsert']})"

@@ -62,10 +62,8 @@ def retrieval_trace_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def retrieval_filter_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Level, number of chunks and best score of each query once the cascade has chosen."""
-    q = query_set(spark, sf_dir).select("query_id", "country", "sector")
-    c = chunk_set(spark, sf_dir)
-    kept = retrieval.filter_cascade(chunk_scores(spark, sf_dir), q, c.select("chunk_id", "geography", "sector")).join(c.select("chunk_id", "document_id"), "chunk_id")
-    return kept.groupBy("query_id", F.col("level").cast("bigint").alias("level")).agg(F.count(F.lit(1)).alias("n_chunks"), F.max(F.struct(F.col("score"), F.col("document_id")))["score"].alias("best_score"))
+    best = retrieval.cascade_best(query_set(spark, sf_dir), chunk_set(spark, sf_dir))
+    return best.select("query_id", F.col("level").cast("bigint").alias("level"), "n_chunks", "best_score")
 
 
 def retrieval_distinct_docs_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
