@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from policygrid.functions.ordering import top_per
 from policygrid.functions.text import clean_text
-from policygrid.operators.models import Embedder, Generator, embed_column, generate_column, parse_selected_titles, two_decimals
+from policygrid.operators.models import Embedder, Generator, advisor_chain, cache_key, embed_column, generate_column, parse_selected_titles, two_decimals
 from policygrid.operators.retrieval import block_cosine, distinct_documents
 from policygrid.session import durable, require_columns
 
@@ -51,12 +51,6 @@ def title_matches(texts: DataFrame, text: str, titles: DataFrame, embedder: Embe
     return top.select(F.col("query_id").alias(text), F.col("chunk_id").alias("title"), "score", F.col("rank").cast("bigint").alias("rank"))
 
 
-def titles_as_json(selected: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, selected_titles, selected_scores: the titles of each key in rank order and their scores, as JSON arrays."""
-    x = selected.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "title", "score"))).alias("x"))
-    return x.select(*keys, F.to_json("x.title").alias("selected_titles"), F.to_json("x.score").alias("selected_scores"))
-
-
 def answered_titles(answers: DataFrame, key: str, answer: str, titles: list[str]) -> DataFrame:
     """key, title, rank of the known titles that a generator's answer names; an answer that names none gives no row.
 
@@ -146,3 +140,17 @@ def generate_summaries(policies: DataFrame, prompts: DataFrame, chunks: DataFram
     made = out.select("document_id", "n_analyses", F.size("_b").cast("bigint").alias("n_blends"), "used_fallback", F.nullif(clean_text(F.col("_s")), F.lit("")).alias("summary"))
     rest = policies.select("document_id").join(steps.select("document_id").distinct(), "document_id", "left_anti")
     return made.unionByName(rest.select("document_id", F.lit(0).cast("bigint").alias("n_analyses"), F.lit(0).cast("bigint").alias("n_blends"), F.lit(False).alias("used_fallback"), F.lit(None).cast("string").alias("summary")))
+
+
+def role_agent_frame(rows: DataFrame, contexts: dict[str, str], make: Callable[[], Generator], checkpoint, scope: dict[str, str]) -> DataFrame:
+    """The finished rows (document_id and the advisors' and later stages' texts) of a test frame, each with its cache_key.
+
+    The key is the digest of `scope` (such as fold and window) and the document, so a
+    frame of another fold or window is made anew while rows that are there already
+    are read back. `checkpoint` is a sources.writers.Checkpoint by cache_key. The
+    advisors read the columns that `contexts` names.
+    """
+    parts = [F.concat(F.lit(f"{k}={v}|doc_id="), F.col("document_id")) if i == len(scope) - 1 else F.lit(f"{k}={v}") for i, (k, v) in enumerate(scope.items())]
+    keyed = rows.withColumn("cache_key", cache_key(*parts))
+    done = checkpoint.run(keyed, lambda todo: advisor_chain(todo, contexts, make))
+    return done.join(keyed.select("cache_key"), "cache_key", "left_semi")

@@ -7,6 +7,7 @@ import random
 import re
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -112,11 +113,13 @@ def embed_column(df: DataFrame, text: str, embedder: Embedder, name: str = "embe
     return df.withColumn(name, F.pandas_udf(run, "array<double>")(F.col(text)))
 
 
-def generate_column(df: DataFrame, prompt: str, make: Callable[[], Generator], name: str, done: DataFrame | None = None, key: str | None = None) -> DataFrame:
+def generate_column(df: DataFrame, prompt: str, make: Callable[[], Generator], name: str, done: DataFrame | None = None, key: str | None = None, in_flight: int = 1, retry: Callable[[Exception], bool] = rate_limited, jitter: float = 0.0) -> DataFrame:
     """`df` with the generated text of each prompt; rows whose key is in `done` are left out (resume).
 
-    A generator is made once per task, so the number of partitions bounds the calls
-    in flight. Calls are retried on rate limits; another error gives null.
+    A generator is made once per task, and a task has at most `in_flight` calls open,
+    so that times the number of tasks bounds all of them. Calls are tried again where
+    `retry` says so (on rate limits, unless another rule is given), after doubling
+    waits with up to `jitter` seconds more; another error gives null.
     """
     if done is not None and key is not None:
         df = df.join(done.select(key).distinct(), key, "left_anti")
@@ -125,14 +128,17 @@ def generate_column(df: DataFrame, prompt: str, make: Callable[[], Generator], n
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make()
-        for pdf in batches:
-            out = []
-            for p in pdf[prompt]:
-                try:
-                    out.append(guarded(lambda p=p: model.generate(p)) if isinstance(p, str) and p.strip() else None)
-                except Exception:
-                    out.append(None)
-            yield pdf.assign(**{name: pd.Series(out, dtype=object, index=pdf.index)})
+
+        def one(p: str | None) -> str | None:
+            try:
+                return guarded(lambda: model.generate(p), retry=retry, jitter=jitter) if isinstance(p, str) and p.strip() else None
+            except Exception:
+                return None
+
+        with ThreadPoolExecutor(in_flight) as pool:
+            for pdf in batches:
+                out = list(pool.map(one, pdf[prompt]) if in_flight > 1 else map(one, pdf[prompt]))
+                yield pdf.assign(**{name: pd.Series(out, dtype=object, index=pdf.index)})
 
     return df.mapInPandas(run, schema)
 

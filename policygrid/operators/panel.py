@@ -120,3 +120,16 @@ def fold_split(countries: DataFrame, policies: DataFrame, folds: list[int]) -> D
     each = countries.select("country", F.explode(F.array(*[F.lit(f) for f in folds])).alias("fold")).join(seen, "country", "left")
     train = F.coalesce(F.exists("_folds", lambda f: f != F.col("fold")), F.lit(False))
     return each.select("fold", "country", F.when(train, "train").otherwise("test").alias("split"))
+
+
+def extra_columns(df: DataFrame, known: list[str]) -> list[str]:
+    """The columns of `df` that aren't among `known`, in order."""
+    return [c for c in df.columns if c not in set(known)]
+
+
+def merge_tables(left: DataFrame, right: DataFrame, suffixes: tuple[str, str] = ("_x", "_y")) -> DataFrame:
+    """Full outer join of two wide tables on country and year; columns that both have get suffixes. Repeated keys multiply."""
+    keys = ["country", "year"]
+    both = set(extra_columns(left, keys)) & set(right.columns)
+    a, b = (df.select(*keys, *[F.col(f"`{c}`").alias(c + s if c in both else c) for c in extra_columns(df, keys)]) for df, s in ((left, suffixes[0]), (right, suffixes[1])))
+    return a.join(b, keys, "full")

@@ -72,6 +72,12 @@ def window_tensor(cells: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys, "window").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("r.value").alias("v")))), lambda x: x["v"]).alias("tensor"))
 
 
+def top_padded(tensor: Column, window: int) -> Column:
+    """A tensor (array of rows) with rows of zeros put before it until it has `window` rows; null for an empty one, whose width isn't known."""
+    zeros = F.transform(F.get(tensor, F.lit(0)), lambda x: F.lit(0.0))
+    return F.when(F.size(tensor) > 0, F.concat(F.array_repeat(zeros, F.greatest(F.lit(window) - F.size(tensor), F.lit(0))), tensor))
+
+
 def sector_one_hot(sectors: Column, vocabulary: tuple[str, ...] = SECTORS) -> Column:
     """0/1 for each sector of the vocabulary; unknown sectors are ignored, null is all 0."""
     known = F.coalesce(sectors, F.array().cast("array<string>"))

@@ -11,7 +11,8 @@ from policygrid.functions.ordering import top_per
 from policygrid.operators import generation, graph, metrics, models, policies, retrieval, sampling, selector, significance, tensors
 from policygrid.plans import q_panel, q_policies, q_retrieval
 from policygrid.plans.q_policies import _squeeze
-from policygrid.session import durable, table
+from policygrid.session import durable, scratch, table
+from policygrid.sources.writers import Checkpoint
 
 EMBEDDER = models.HashedWords(64)
 
@@ -100,7 +101,7 @@ def selector_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def selector_semantic_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The selected titles of each different metadata text as a JSON list."""
-    j = generation.titles_as_json(_semantic(spark, sf_dir), ["text"])
+    j = selector.selection_json(_semantic(spark, sf_dir), "text", "title")
     return metadata_text(spark, sf_dir).join(j, "text").select("row_id", "selected_titles")
 
 
@@ -269,11 +270,21 @@ def generation_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.generate_column(d, "summary", models.Extract, "generated").select("document_id", "generated")
 
 
+def role_agent_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The advisors' compact text of every document that has chunks, made through a cache of finished rows."""
+    c = table(spark, sf_dir, "chunk").where("trim(document_id) <> ''")
+    g = table(spark, sf_dir, "group_kfold_assignments").where("document_id is not null and family_summary is not null")
+    rows = policies.test_rows(c.select("document_id").distinct(), g, c.select("document_id", F.col("text").alias("query_text"), F.col("chunk_id").alias("query_no")))
+    kept = Checkpoint(spark, scratch(spark, "role-agents"), "cache_key")
+    out = generation.role_agent_frame(rows, {"climate": "summary", "socio": "query_text", "other": "document_id"}, _tail, kept, {"fold": "0", "window": "10"})
+    return out.select("document_id", "cache_key", "compact")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         clean_policies, policies_for_chunking, policies_for_baselines, in_country_list, trainable_filings, role_test_rows, feature_domains, feature_names_at, metadata_text, table_blocks,
-        selector_semantic, selector_semantic_json, answered_titles, analysis_prompts, generated_summaries, generated_stability, judge_means, encoder_metrics, whole_document_topk, hit5_by_sector,
+        selector_semantic, selector_semantic_json, answered_titles, analysis_prompts, generated_summaries, generated_stability, role_agent_frame, judge_means, encoder_metrics, whole_document_topk, hit5_by_sector,
         any_overlap_hit, document_ranking, hits_with_metadata, outcome_sample, normalized_results, encoder_significance, stability_by_seed, graph_hazards, best_trials, embedding_stub, generation_stub,
     )
 }

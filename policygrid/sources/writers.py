@@ -45,9 +45,24 @@ def manifest_row(df: DataFrame, **aggregates) -> DataFrame:
     return df.agg(*[c.alias(n) for n, c in aggregates.items()]).select(F.to_json(F.struct("*")).alias("manifest"))
 
 
-def write_chunk_store(chunks: DataFrame, path: str, collection: str, model: str, rebuild: bool = False) -> dict:
-    """Chunks by fold under `path/collection` and a manifest beside it; without `rebuild` an existing store is added to."""
+def write_graph(edges: DataFrame, path: str) -> None:
+    """Edges by relationship under `path/edges` and the nodes they touch by label under `path/nodes`."""
+    from policygrid.operators.graph import nodes
+
+    edges.write.mode("overwrite").partitionBy("rel").parquet(f"{path}/edges")
+    nodes(edges.sparkSession.read.parquet(f"{path}/edges")).write.mode("overwrite").partitionBy("label").parquet(f"{path}/nodes")
+
+
+def write_chunk_store(chunks: DataFrame, path: str, collection: str, model: str, rebuild: bool = False, embedder=None) -> dict:
+    """Chunks by fold under `path/collection` and a manifest beside it; without `rebuild` an existing store is added to.
+
+    With `embedder` the texts get their vectors (column embedding) on the way, Arrow batch by Arrow batch.
+    """
     target = f"{path}/{collection}"
+    if embedder is not None:
+        from policygrid.operators.models import embed_column
+
+        chunks = embed_column(chunks, "text", embedder)
     chunks.write.mode("overwrite" if rebuild else "append").partitionBy("fold").parquet(target)
     values = {"collection": collection, "embedding_model": model, "chunks": chunks.sparkSession.read.parquet(target).count()}
     write_manifest(f"{path}/manifest.json", **values)
