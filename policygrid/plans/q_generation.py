@@ -106,10 +106,10 @@ def selector_semantic_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answered_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tables that an answer names: here each filing's best title in capitals, a bullet and the second one, and something unknown."""
+    """Tables that an answer names: here a list of each filing's two best titles in capitals and of something unknown."""
     known = [r["title"] for r in titles(spark, sf_dir).collect()]  # the catalogue of tables
     two = _semantic(spark, sf_dir).where("rank <= 2").groupBy("text").agg(F.array_sort(F.collect_list(F.struct("rank", "title"))).alias("x"))
-    asked = two.select("text", F.concat(F.lit('["'), F.upper(F.get("x.title", F.lit(0))), F.lit('", "'), F.get("x.title", F.lit(1)), F.lit('", "nothing of that kind"]')).alias("answer"))
+    asked = two.select("text", F.concat(F.lit('["'), F.array_join(F.transform("x.title", F.upper), '", "'), F.lit('", "nothing of that kind"]')).alias("answer"))
     return metadata_text(spark, sf_dir).join(generation.answered_titles(asked, "text", "answer", known), "text").select("row_id", "title", "rank")
 
 
