@@ -6,11 +6,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from policygrid.functions.text import all_entities
-from policygrid.session import durable, require_columns, spread
+from policygrid.functions.text import all_entities, xml_entities
+from policygrid.session import durable, fresh_name, require_columns, spread
 
 THRESHOLD = 0.8
 #: Different word sets whose seeds make one index shard, about.
@@ -21,12 +21,24 @@ HOT = 20_000
 SEED, COMMON = 3, 2
 
 
-def word_set(c: Column) -> Column:
-    """The different words (runs of letters and digits) of a text without case, mark-up removed and entities resolved."""
+#: An entity that is none of those resolved in the JVM.
+_OTHER_ENTITY = r"&(?!(?:nbsp|lt|gt|quot|#39|amp);)[#A-Za-z]"
+
+
+def with_word_set(df: DataFrame, text: str, name: str) -> DataFrame:
+    """`df` with the different words (runs of letters and digits) of a text without case, mark-up removed and entities resolved.
+
+    Python resolves entities only where there is one besides the XML ones and nbsp.
+    """
+    bare, plain = fresh_name(df.columns, "_bare"), fresh_name(df.columns, "_plain")
+    c = F.col(text)
     marked = F.regexp_replace(F.regexp_replace(c, r"(?s)<!--.*?-->", " "), r"</?[A-Za-z!?][^<>]*>", " ")
-    bare = F.when(c.contains("<"), marked).otherwise(c)
-    plain = F.when(bare.contains("&"), all_entities(F.when(bare.contains("&"), bare))).otherwise(bare)
-    return F.array_distinct(F.regexp_extract_all(F.lower(plain), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    df = df.withColumn(bare, F.when(c.contains("<"), marked).otherwise(c))
+    b = F.col(bare)
+    other = b.contains("&") & b.rlike(_OTHER_ENTITY)
+    df = df.withColumn(plain, F.when(other, all_entities(F.when(other, b))).when(b.contains("&"), xml_entities(b)).otherwise(b))
+    words = F.split(F.lower(plain), r"[^\p{L}\p{N}]+")
+    return df.withColumn(name, F.array_distinct(F.array_remove(words, ""))).drop(bare, plain)
 
 
 class _Bits:
@@ -36,16 +48,23 @@ class _Bits:
         room = np.zeros((len(bits) // 64 + 1) * 64, np.uint8)
         room[: len(bits)] = bits
         self.words = np.packbits(room, bitorder="little").view(np.uint64)
-        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words))[:-1]]).astype(np.uint32)
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)[:-1]]).astype(np.int32)
 
     def rank(self, at: np.ndarray) -> np.ndarray:
         """Ones before each position."""
         w = at >> 6
-        low = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[w].astype(np.int64) + np.bitwise_count(self.words[w] & low)
+        return self.before[w] + np.bitwise_count(self.words[w] & _BELOW[at & 63])
+
+    def look(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bit at each position, and the ones before it."""
+        w, k = at >> 6, at & 63
+        word = self.words[w]
+        return (word & _AT[k]) != 0, self.before[w] + np.bitwise_count(word & _BELOW[k])
+
 
-    def get(self, at: np.ndarray) -> np.ndarray:
-        return ((self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+#: For each place in a word, its bit and all bits before it.
+_AT = np.uint64(1) << np.arange(64, dtype=np.uint64)
+_BELOW = _AT - np.uint64(1)
 
 
 class FullTextIndex:
@@ -133,9 +152,9 @@ class FullTextIndex:
         """The symbol before the suffix of each row, and the row of the suffix that begins with it (of 0: the number of the sequence)."""
         symbol, at = np.zeros(len(rows), np.int64), rows
         for level, bits, zeros in self.levels:
-            bit, ones = bits.get(at), bits.rank(at)
+            bit, ones = bits.look(at)
             at = np.where(bit, zeros + ones, at - ones)
-            symbol |= bit.astype(np.int64) << level
+            symbol[bit] |= 1 << level
         at = at - self.base[symbol]
         back = self.first[symbol] + at
         begins = symbol == 0
@@ -356,7 +375,7 @@ def similar_sets(sets: DataFrame, threshold: float = THRESHOLD, shard_sets: int
     bit = F.expr("shiftleft(1L, cast(w & 63 as int))")
     half = lambda h: F.bit_or(F.when(F.col("w").bitwiseAND(64) == h, bit).otherwise(F.lit(0).cast("long")))
     ordered = long.join(counts, "w").groupBy("set_id").agg(
-        F.array_sort(F.collect_list(F.struct("m", "w"))).alias("x"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), half(0).alias("b0"), half(64).alias("b1"))
+        F.sort_array(F.collect_list(F.struct("m", "w"))).alias("x"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), half(0).alias("b0"), half(64).alias("b1"))
     # A smaller set is like no different one.
     ordered = ordered.select("set_id", "lo", "hi", "b0", "b1", F.size("x").alias("n"), F.col("x.w").alias("words")).where(F.col("n") >= math.ceil(threshold / (1 - threshold) - 1e-9))
     ordered = durable(ordered, "word-sets")
@@ -384,9 +403,10 @@ def similar_sets(sets: DataFrame, threshold: float = THRESHOLD, shard_sets: int
 def cross_fold_classes(records: DataFrame) -> DataFrame:
     """row_id, fold, source, set_id, words: records with a fold and words; equal word sets share the set_id (their smallest row_id)."""
     require_columns(records, "row_id", "fold", "source", "family_summary")
-    rows = records.where("fold is not null and family_summary is not null").select("row_id", "fold", "source", F.array_sort(word_set(F.col("family_summary"))).alias("words"))
-    rows = rows.where(F.size("words") > 0).withColumn("digest", F.sha2(F.array_join("words", " "), 256))
-    rows = durable(rows, "summaries")
+    rows = with_word_set(records.where("fold is not null and family_summary is not null").select("row_id", "fold", "source", "family_summary"), "family_summary", "words")
+    rows = rows.select("row_id", "fold", "source", F.sort_array("words").alias("words"))
+    # The filter comes after the written table: before it, it would be pushed down and the words be made twice.
+    rows = durable(rows.withColumn("digest", F.unhex(F.md5(F.array_join("words", " ")))), "summaries").where(F.size("words") > 0)
     ids = rows.groupBy("digest").agg(F.min("row_id").alias("set_id"))
     return rows.join(ids, "digest").drop("digest")
 
