@@ -322,13 +322,13 @@ def _shard(threshold: float):
 
 
 def _slices(k: int):
-    return lambda i: F.slice("words", i, k)
+    return lambda i: F.struct(F.slice("words", i, k).alias("words"), F.element_at("sets", i).alias("most"))
 
 
 def _seeds(ordered: DataFrame, threshold: float) -> DataFrame:
-    """Of each set the seeds among which those shared with a similar set must be: seed (its number of words), pos, words, key.
+    """Of each set the seeds among which those shared with a similar set must be: seed (its number of words), pos, words, key, most.
 
-    Longer seeds are for sets that are sure to keep one; smaller sets and those that
+    `most` is the number of sets that have the seed's rarest word. Longer seeds are for sets that are sure to keep one; smaller sets and those that
     can be like them have shorter ones.
     """
     least = {k: shortest_set(threshold, k) for k in range(1, SEED + 1)}
@@ -340,7 +340,7 @@ def _seeds(ordered: DataFrame, threshold: float) -> DataFrame:
         fits = (F.col("n") >= least[k]) & (F.col("n") <= to if to < math.inf else F.lit(True))
         many = F.least(F.col("n") - (k - 1), F.floor(F.col("n") * lost_rate(threshold, k) + 1e-9).cast("int") + COMMON)
         grams = F.transform(F.sequence(F.lit(1), many), _slices(k))
-        parts.append(ordered.where(fits).select("set_id", "n", "b0", "b1", "lo", "hi", F.lit(k).alias("seed"), F.posexplode(grams).alias("pos", "words")))
+        parts.append(ordered.where(fits).select("set_id", "n", "b0", "b1", "lo", "hi", F.lit(k).alias("seed"), F.posexplode(grams).alias("pos", "g")).select("*", "g.words", "g.most").drop("g"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -377,13 +377,15 @@ def similar_sets(sets: DataFrame, threshold: float = THRESHOLD, shard_sets: int
     ordered = long.join(counts, "w").groupBy("set_id").agg(
         F.sort_array(F.collect_list(F.struct("m", "w"))).alias("x"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), half(0).alias("b0"), half(64).alias("b1"))
     # A smaller set is like no different one.
-    ordered = ordered.select("set_id", "lo", "hi", "b0", "b1", F.size("x").alias("n"), F.col("x.w").alias("words")).where(F.col("n") >= math.ceil(threshold / (1 - threshold) - 1e-9))
+    ordered = ordered.select("set_id", "lo", "hi", "b0", "b1", F.size("x").alias("n"), F.col("x.w").alias("words"), F.col("x.m").alias("sets")).where(F.col("n") >= math.ceil(threshold / (1 - threshold) - 1e-9))
     ordered = durable(ordered, "word-sets")
     seeds = _seeds(ordered.withColumn("words", F.transform("words", lambda w: w.bitwiseAND(0x7FFFFFFF).cast("int"))), threshold)
-    full = seeds.groupBy("key").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") > hot)
+    # No more sets share a seed than have its rarest word, so only seeds of words in many sets are counted and can be dealt.
+    wide = seeds.where(F.col("most") > hot)
+    full = wide.groupBy("key").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") > hot)
+    dealt = seeds.where(F.col("most") <= hot).withColumn("shared", F.lit(1).cast("long")).unionByName(wide.join(full, "key", "left"), allowMissingColumns=True)
     shards = max(1, math.ceil(ordered.count() / shard_sets))
-    blocks = F.ceil(F.coalesce("shared", F.lit(1)) / hot).cast("long")
-    dealt = seeds.join(full, "key", "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("set_id", "key"), "blocks"))
+    dealt = dealt.withColumn("blocks", F.ceil(F.coalesce("shared", F.lit(1)) / hot).cast("long")).withColumn("block", F.pmod(F.xxhash64("set_id", "key"), "blocks"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     alone = F.pmod("key", F.lit(shards)).cast("long")
     paired = -1 - F.shiftrightunsigned(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")), 1)
