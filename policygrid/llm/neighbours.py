@@ -215,8 +215,8 @@ def _vectors(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, width)
 
 
-def unit_vectors(rows: DataFrame, key: str, embedding: str, width: int) -> DataFrame:
-    """id, vec (unit vector as binary float32), digest of the vectors that take part.
+def unit_vectors(rows: DataFrame, key: str, embedding: str, width: int, part: int = 0) -> DataFrame:
+    """id, vec (unit vector as binary float32), digest, part (the number of the collection, which digests depend on) of the vectors that take part.
 
     Null vectors, those of another length, all zero, or with a null, NaN or infinite
     element take none. Copies and multiples of a vector have equal digests as far as
@@ -227,10 +227,13 @@ def unit_vectors(rows: DataFrame, key: str, embedding: str, width: int) -> DataF
         for batch in batches:
             x, at = _matrix(batch.column(1), width)
             rounded = np.round(x * 1e5).astype(np.int32)
-            digest = [hashlib.blake2b(r.tobytes(), digest_size=16).digest() for r in rounded]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), _binary(x), pa.array(digest, pa.binary())], ["id", "vec", "digest"])
+            place = pa.array(at)
+            own = batch.column(2).take(place)
+            digest = [hashlib.blake2b(r.tobytes(), digest_size=16, salt=b"%d" % p).digest() for r, p in zip(rounded, own.to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(place), _binary(x), pa.array(digest, pa.binary()), own], ["id", "vec", "digest", "part"])
 
-    return rows.select(F.col(key).cast("string").alias("id"), F.col(embedding).cast("array<float>").alias("e")).where("id is not null and e is not null").mapInArrow(run, "id string, vec binary, digest binary")
+    wanted = rows.select(F.col(key).cast("string").alias("id"), F.col(embedding).cast("array<float>").alias("e"), F.lit(part).alias("part")).where("id is not null and e is not null")
+    return wanted.mapInArrow(run, "id string, vec binary, digest binary, part int")
 
 
 def fit_cells(sample: np.ndarray, cells: int, rounds: int = 6, seed: int = 0) -> np.ndarray:
@@ -248,15 +251,23 @@ def fit_cells(sample: np.ndarray, cells: int, rounds: int = 6, seed: int = 0) ->
     return c.astype(np.float32)
 
 
-def _assign(centroids: np.ndarray, probes: int, width: int):
+def _assign(centroids: dict[int, tuple[int, np.ndarray]], probes: int, width: int):
+    """nid, vec, cells: the nearest cells of each vector, of its own collection; `centroids` holds each one's first cell and matrix."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = _vectors(batch.column(1), width) @ centroids.T
-            p = min(probes, s.shape[1])
-            top = np.argpartition(-s, p - 1, 1)[:, :p]
-            top = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), 1, kind="stable"), 1).astype(np.int32)
-            cells = pa.ListArray.from_arrays(pa.array(np.arange(len(top) + 1, dtype=np.int32) * p), pa.array(top.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cells], ["nid", "vec", "cells"])
+            x, own = _vectors(batch.column(1), width), batch.column(2).to_numpy()
+            cells: list[list[int]] = [[]] * len(x)
+            for part in np.unique(own):
+                first, m = centroids[int(part)]
+                at = np.flatnonzero(own == part)
+                s = x[at] @ m.T
+                p = min(probes, s.shape[1])
+                top = np.argpartition(-s, p - 1, 1)[:, :p]
+                top = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), 1, kind="stable"), 1) + first
+                for k, row in zip(at.tolist(), top.tolist(), strict=True):
+                    cells[k] = row
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells, pa.list_(pa.int32()))], ["nid", "vec", "cells"])
 
     return run
 
@@ -376,7 +387,7 @@ def _shard_search(k: int, width: int, beam: int, least: float | None):
 
 
 def similar_classes(vectors: DataFrame, k: int, width: int = 64, probes: int = PROBES, beam: int = BEAM, shard: int = SHARD, least: float | None = None) -> DataFrame:
-    """nid, other, similarity: up to k most similar of the different vectors (nid, vec) for each.
+    """nid, other, similarity: up to k most similar of the different vectors (nid, vec, and part if there are several collections) for each, of its own collection.
 
     Cells come from k-means over a bounded sample. Each vector is indexed in the
     shard of its nearest cell and searched in its `probes` nearest; a cell that holds
@@ -384,15 +395,23 @@ def similar_classes(vectors: DataFrame, k: int, width: int = 64, probes: int = P
     crowded a cell is, a vector goes to few shards. A pair met from either side counts
     for both. With `least` only similarities of at least that are given.
     """
-    count = vectors.count()
-    if count < 2:
+    if "part" not in vectors.columns:
+        vectors = vectors.withColumn("part", F.lit(0))
+    counts = {r["part"]: r["n"] for r in vectors.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per collection
+    if max(counts.values(), default=0) < 2:
         return vectors.sparkSession.createDataFrame([], "nid long, other long, similarity float")
-    part = max(1, count // FIT_SAMPLE + (count > FIT_SAMPLE))
-    picked = vectors.where(F.pmod(F.xxhash64("nid"), F.lit(part)) == 0).select("vec").limit(FIT_SAMPLE).toArrow()
-    sample = _vectors(picked.column("vec"), width) if picked.num_rows else _vectors(vectors.limit(FIT_SAMPLE).toArrow().column("vec"), width)
-    cells = max(1, min(MOST_CELLS, math.ceil(count / shard), len(sample)))
-    centroids = fit_cells(sample, cells)
-    placed = durable(vectors.select("nid", "vec").mapInArrow(_assign(centroids, probes, width), "nid long, vec binary, cells array<int>"), "cells")
+    # About FIT_SAMPLE vectors of each collection, or all of a smaller one.
+    step = F.element_at(F.create_map(*[F.lit(x) for p, n in counts.items() for x in (p, max(1, n // FIT_SAMPLE + (n > FIT_SAMPLE)))]), F.col("part"))
+    picked = vectors.where(F.pmod(F.xxhash64("nid"), step) == 0).select("part", "vec").limit(FIT_SAMPLE * len(counts)).toArrow()
+    own, drawn = picked.column("part").to_numpy(), _vectors(picked.column("vec"), width) if picked.num_rows else np.empty((0, width), np.float32)
+    centroids, cells = {}, 0
+    for p, n in sorted(counts.items()):
+        sample = drawn[own == p]
+        if not len(sample):
+            sample = _vectors(vectors.where(F.col("part") == p).select("vec").limit(1).toArrow().column("vec"), width)
+        m = fit_cells(sample, max(1, min(MOST_CELLS, math.ceil(n / shard), len(sample))))
+        centroids[p], cells = (cells, m), cells + len(m)
+    placed = durable(vectors.select("nid", "vec", "part").mapInArrow(_assign(centroids, probes, width), "nid long, vec binary, cells array<int>"), "cells")
     sent = placed.select("nid", "vec", F.posexplode("cells").alias("rank", "cell")).select("nid", "vec", "cell", (F.col("rank") == 0).alias("member"))
     sent, cells = _leaves(sent, cells, shard, width)
     found = spread(sent.select(F.col("cell").alias("shard"), "nid", "vec", "member"), cells, "shard").groupBy("shard").applyInArrow(_shard_search(k, width, beam, least), "nid long, ids array<long>, sims array<float>")
@@ -402,8 +421,11 @@ def similar_classes(vectors: DataFrame, k: int, width: int = 64, probes: int = P
     return best.select("nid", F.explode("x").alias("e")).select("nid", F.col("e.other").alias("other"), (-F.col("e.far")).alias("similarity"))
 
 
-def most_similar(rows: DataFrame, key: str, embedding: str, k: int = 5, width: int = 64, least: float | None = None, **search) -> DataFrame:
-    """id, other_id, similarity, rank: the k vectors most similar to each by cosine, ties by id.
+def most_similar_each(collections: dict[str, tuple[DataFrame, str, str]], k: int = 5, width: int = 64, least: float | None = None, **search) -> DataFrame:
+    """collection, id, other_id, similarity, rank: the k vectors of its own collection most similar to each by cosine, ties by id.
+
+    `collections` maps names to a table, its key and its vector column; all go through
+    one plan, in which ids begin with the number of their collection.
 
     Equal vectors form a class that is indexed once; a member's neighbours are the
     other members first, then those of the classes near by, of each the first k by
@@ -413,17 +435,22 @@ def most_similar(rows: DataFrame, key: str, embedding: str, k: int = 5, width: i
     Vectors that can't take part (see unit_vectors) give no rows, nor does a vector
     without a neighbour; keys must be unique; other columns are ignored.
     """
-    require_columns(rows, key, embedding)
-    units = durable(unit_vectors(rows, key, embedding, width), "units")
+    names = list(collections)
+    units = None
+    for i, (rows, key, embedding) in enumerate(collections.values()):
+        require_columns(rows, key, embedding)
+        one = unit_vectors(rows, key, embedding, width, i).withColumn("id", F.concat(F.lit(f"{i}:"), "id"))
+        units = one if units is None else units.unionByName(one)
+    units = durable(units, "units")
     seen = units.select("id", "digest")
     # Only classes of several members need their ids gathered, and of those only the first k + 1.
     several = seen.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "rep")
-    marked = units.join(several, "digest", "left").select("id", "vec", F.coalesce("rep", "id").alias("rep"))
+    marked = units.join(several, "digest", "left").select("id", "vec", "part", F.coalesce("rep", "id").alias("rep"))
     member = durable(marked.select("id", "rep").where("id <> rep"), "copies")
-    reps = durable(marked.where("id = rep").select(F.col("id").alias("rep"), "vec").withColumn("nid", F.monotonically_increasing_id()), "classes")
-    near = durable(similar_classes(reps.select("nid", "vec"), k, width, least=least, **search), "near")
-    names = reps.select("nid", "rep")
-    by_name = near.join(names, "nid").join(names.select(F.col("nid").alias("other"), F.col("rep").alias("other_rep")), "other").select("rep", "other_rep", "similarity")
+    reps = durable(marked.where("id = rep").select(F.col("id").alias("rep"), "vec", "part").withColumn("nid", F.monotonically_increasing_id()), "classes")
+    near = durable(similar_classes(reps.select("nid", "vec", "part"), k, width, least=least, **search), "near")
+    called = reps.select("nid", "rep")
+    by_name = near.join(called, "nid").join(called.select(F.col("nid").alias("other"), F.col("rep").alias("other_rep")), "other").select("rep", "other_rep", "similarity")
     copies = member.select("rep", F.col("id")).union(member.select("rep", F.col("rep").alias("id")).distinct())
     # The first k + 1 members of each class, ranked in salted parts first, as a class can hold a large share of all rows.
     leading = top_per(copies, ["rep"], [F.col("id").asc()], k + 1, salt=F.col("id"))
@@ -435,10 +462,22 @@ def most_similar(rows: DataFrame, key: str, embedding: str, k: int = 5, width: i
     shared = copies.join(per_rep, "rep").select("id", F.explode("near").alias("e")).select("id", "e.other_id", (-F.col("e.far")).alias("similarity")).unionByName(own)
     ranked = shared.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("far"), "other_id"))), 1, k).alias("near"))
     multi = ranked.select("id", F.posexplode("near").alias("p", "e")).select("id", "e.other_id", (-F.col("e.far")).alias("similarity"), (F.col("p") + 1).alias("rank"))
-    return lone.unionByName(multi)
+    bare = lambda c: F.expr(f"substring({c}, instr({c}, ':') + 1)")
+    number = F.substring_index("id", ":", 1).cast("int")
+    return lone.unionByName(multi).select(F.element_at(F.array(*[F.lit(n) for n in names]), number + 1).alias("collection"), bare("id").alias("id"), bare("other_id").alias("other_id"), "similarity", "rank")
+
+
+def most_similar(rows: DataFrame, key: str, embedding: str, k: int = 5, width: int = 64, least: float | None = None, **search) -> DataFrame:
+    """id, other_id, similarity, rank: most_similar_each() of one collection."""
+    return most_similar_each({"": (rows, key, embedding)}, k, width, least, **search).drop("collection")
+
+
+def similar_pairs_each(collections: dict[str, tuple[DataFrame, str, str]], least: float = 0.9, k: int = 5, **search) -> DataFrame:
+    """collection, id_a, id_b (id_a < id_b) of which either is among the k most similar of the other, with at least that cosine."""
+    near = most_similar_each(collections, k, least=least - 1e-7, **search)
+    return near.select("collection", F.least("id", "other_id").alias("id_a"), F.greatest("id", "other_id").alias("id_b")).distinct()
 
 
 def similar_pairs(rows: DataFrame, key: str, embedding: str, least: float = 0.9, k: int = 5, **search) -> DataFrame:
-    """id_a, id_b (id_a < id_b) of which either is among the k most similar of the other, with at least that cosine."""
-    near = most_similar(rows, key, embedding, k, least=least - 1e-7, **search)
-    return near.select(F.least("id", "other_id").alias("id_a"), F.greatest("id", "other_id").alias("id_b")).distinct()
+    """id_a, id_b: similar_pairs_each() of one collection."""
+    return similar_pairs_each({"": (rows, key, embedding)}, least, k, **search).drop("collection")

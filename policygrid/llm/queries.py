@@ -24,14 +24,16 @@ WIDE = {"probes": 3, "beam": 72}
 COLLECTIONS = {"chunk": "chunk_id", "policy_document": "document_id"}
 
 
+def _collections(spark: SparkSession, sf_dir: str) -> dict[str, tuple[DataFrame, str, str]]:
+    return {t: (table(spark, sf_dir, t), key, "embedding") for t, key in COLLECTIONS.items()}
+
+
 def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [N.most_similar(table(spark, sf_dir, t), key, "embedding", **WIDE).select(F.lit(t).alias("collection"), "*") for t, key in COLLECTIONS.items()]
-    return parts[0].unionByName(parts[1])
+    return N.most_similar_each(_collections(spark, sf_dir), **WIDE)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [N.similar_pairs(table(spark, sf_dir, t), key, "embedding").select(F.lit(t).alias("collection"), "*") for t, key in COLLECTIONS.items()]
-    return parts[0].unionByName(parts[1])
+    return N.similar_pairs_each(_collections(spark, sf_dir))
 
 
 def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:

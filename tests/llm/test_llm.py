@@ -479,3 +479,14 @@ def test_no_similar_set_is_lost(spark, threshold):
     df = spark.createDataFrame([(i, sorted(w)) for i, w in sets.items()], "set_id long, words array<string>")
     got = {(r["a"], r["b"]) for r in overlap.similar_sets(df, threshold, 30).collect()}
     assert got == {(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= threshold} and got
+
+
+def test_collections_in_one_plan_do_not_mix(spark):
+    x = _vectors(300)
+    both = neighbours.similar_pairs_each({"a": (_frame(spark, x), "id", "embedding"), "b": (_frame(spark, x[:150]), "id", "embedding"), "none": (_frame(spark, x[:1]).limit(0), "id", "embedding")}).collect()
+    for name, n in (("a", 300), ("b", 150)):
+        got = {(r["id_a"], r["id_b"]) for r in both if r["collection"] == name}
+        top, s = _brute(x[:n], 5)
+        want = {(f"v{min(i, j):05d}", f"v{max(i, j):05d}") for i in range(n) for j in top[i] if s[i, j] >= 0.9}
+        assert got <= want and len(got) >= 0.98 * len(want) > 0
+    assert {r["collection"] for r in both} == {"a", "b"}
