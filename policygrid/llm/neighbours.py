@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from policygrid.functions.ordering import top_per
-from policygrid.session import durable, require_columns, spread
+from policygrid.session import durable, release, require_columns, spread
 
 #: Vectors of a shard's graph about; a cell with over twice as many is split into leaves.
 SHARD = 3000
 #: Leaves that a cell is split into at once, cells that are split in one round, and vectors per leaf that the split is fitted on.
 LEAVES, SPLITS, LEAF_SAMPLE = 256, 256, 64
-#: Cells are fitted on at most so many vectors; every vector is indexed.
+#: Cells are fitted on at most so many vectors, of all collections together; every vector is indexed.
 FIT_SAMPLE = 40_000
 MOST_CELLS = 4096
 #: Nearest cells that a vector is searched in; it is indexed in the first.
@@ -320,6 +320,7 @@ def _leaves(sent: DataFrame, cells: int, shard: int, width: int) -> tuple[DataFr
     """
     spark = sent.sparkSession
     dense: list[int] = []
+    rounds = 0
     while True:
         sizes = sent.where("member").groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * shard)
         crowded = {r["cell"]: r["n"] for r in sizes.where(~F.col("cell").isin(dense)).orderBy(F.desc("n"), "cell").limit(SPLITS).collect()}
@@ -337,7 +338,10 @@ def _leaves(sent: DataFrame, cells: int, shard: int, width: int) -> tuple[DataFr
         dense += [c for c in crowded if c not in fitted]
         here = F.col("cell").isin(list(book))
         moved = sent.where(here).mapInArrow(_to_leaves(spark.sparkContext.broadcast(book), width), sent.schema)
-        sent = durable(sent.where(~here).unionByName(moved), "leaves")
+        before, sent = sent, durable(sent.where(~here).unionByName(moved), "leaves")
+        if rounds:
+            release(before)
+        rounds += 1
         # A leaf that got nearly all of its cell would not get smaller by another split.
         parents = {leaf: c for c, (a, m) in book.items() for leaf in range(a, a + len(m) // (4 * width))}
         largest = {r["cell"]: r["n"] for r in sent.where(F.col("member") & (F.col("cell") >= cells)).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * shard).orderBy(F.desc("n")).limit(SPLITS).collect()}
@@ -400,9 +404,9 @@ def similar_classes(vectors: DataFrame, k: int, width: int = 64, probes: int = P
     counts = {r["part"]: r["n"] for r in vectors.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per collection
     if max(counts.values(), default=0) < 2:
         return vectors.sparkSession.createDataFrame([], "nid long, other long, similarity float")
-    # About FIT_SAMPLE vectors of each collection, or all of a smaller one.
-    step = F.element_at(F.create_map(*[F.lit(x) for p, n in counts.items() for x in (p, max(1, n // FIT_SAMPLE + (n > FIT_SAMPLE)))]), F.col("part"))
-    picked = vectors.where(F.pmod(F.xxhash64("nid"), step) == 0).select("part", "vec").limit(FIT_SAMPLE * len(counts)).toArrow()
+    # Each collection has its part of FIT_SAMPLE, by its size; one vector in `every` is drawn.
+    every = max(1, -(-sum(counts.values()) // FIT_SAMPLE))
+    picked = vectors.where(F.pmod(F.xxhash64("nid"), F.lit(every)) == 0).select("part", "vec").limit(FIT_SAMPLE).toArrow()
     own, drawn = picked.column("part").to_numpy(), _vectors(picked.column("vec"), width) if picked.num_rows else np.empty((0, width), np.float32)
     centroids, cells = {}, 0
     for p, n in sorted(counts.items()):
@@ -413,12 +417,17 @@ def similar_classes(vectors: DataFrame, k: int, width: int = 64, probes: int = P
         centroids[p], cells = (cells, m), cells + len(m)
     placed = durable(vectors.select("nid", "vec", "part").mapInArrow(_assign(centroids, probes, width), "nid long, vec binary, cells array<int>"), "cells")
     sent = placed.select("nid", "vec", F.posexplode("cells").alias("rank", "cell")).select("nid", "vec", "cell", (F.col("rank") == 0).alias("member"))
+    whole = cells
     sent, cells = _leaves(sent, cells, shard, width)
+    if cells > whole:  # the leaves are a table of their own
+        release(placed)
     found = spread(sent.select(F.col("cell").alias("shard"), "nid", "vec", "member"), cells, "shard").groupBy("shard").applyInArrow(_shard_search(k, width, beam, least), "nid long, ids array<long>, sims array<float>")
     # At most k rows from each shard that indexes or searches a vector.
     listed = found.select("nid", F.arrays_zip((F.transform("sims", lambda v: -v)).alias("far"), F.col("ids").alias("other")).alias("x"))
     best = listed.groupBy("nid").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("x")))), 1, k).alias("x"))
-    return best.select("nid", F.explode("x").alias("e")).select("nid", F.col("e.other").alias("other"), (-F.col("e.far")).alias("similarity"))
+    out = durable(best.select("nid", F.explode("x").alias("e")).select("nid", F.col("e.other").alias("other"), (-F.col("e.far")).alias("similarity")), "near")
+    release(placed, sent)
+    return out
 
 
 def most_similar_each(collections: dict[str, tuple[DataFrame, str, str]], k: int = 5, width: int = 64, least: float | None = None, **search) -> DataFrame:
@@ -448,7 +457,8 @@ def most_similar_each(collections: dict[str, tuple[DataFrame, str, str]], k: int
     marked = units.join(several, "digest", "left").select("id", "vec", "part", F.coalesce("rep", "id").alias("rep"))
     member = durable(marked.select("id", "rep").where("id <> rep"), "copies")
     reps = durable(marked.where("id = rep").select(F.col("id").alias("rep"), "vec", "part").withColumn("nid", F.monotonically_increasing_id()), "classes")
-    near = durable(similar_classes(reps.select("nid", "vec", "part"), k, width, least=least, **search), "near")
+    release(units)
+    near = similar_classes(reps.select("nid", "vec", "part"), k, width, least=least, **search)
     called = reps.select("nid", "rep")
     by_name = near.join(called, "nid").join(called.select(F.col("nid").alias("other"), F.col("rep").alias("other_rep")), "other").select("rep", "other_rep", "similarity")
     copies = member.select("rep", F.col("id")).union(member.select("rep", F.col("rep").alias("id")).distinct())
