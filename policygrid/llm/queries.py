@@ -20,7 +20,7 @@ from policygrid.session import durable, table
 
 
 #: Neighbours at any distance take a wider search than pairs of high similarity.
-WIDE = {"probes": 3, "beam": 72}
+WIDE = {"probes": 4, "beam": 72}
 COLLECTIONS = {"chunk": "chunk_id", "policy_document": "document_id"}
 
 
