@@ -53,3 +53,7 @@ def test_ranks_by_best_and_mean_are_those_of_all_pairs(small):
 
 def test_fold_metrics_keep_no_row_per_query_and_document(spark, sf):
     assert written(spark, lambda: __spark_entry__.queries()["metrics_by_fold_method"](spark, sf)) <= q_retrieval.query_set(spark, sf).count()
+
+
+def test_cosine_metrics_keep_no_row_per_query_and_document(spark, sf):
+    assert written(spark, lambda: __spark_entry__.queries()["retrieval_metrics_cosine"](spark, sf)) <= q_retrieval.query_set(spark, sf).count()
