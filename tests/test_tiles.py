@@ -57,3 +57,19 @@ def test_fold_metrics_keep_no_row_per_query_and_document(spark, sf):
 
 def test_cosine_metrics_keep_no_row_per_query_and_document(spark, sf):
     assert written(spark, lambda: __spark_entry__.queries()["retrieval_metrics_cosine"](spark, sf)) <= q_retrieval.query_set(spark, sf).count()
+
+
+def test_ranks_by_mode_are_those_of_the_filtered_pairs(small):
+    q, c = small
+    pooled = retrieval.block_pool(q, c, group="fold")
+    meta = c.groupBy("document_id").agg(F.min("g").alias("g"), F.min("s").alias("s"))
+    both = pooled.join(meta, "document_id").join(q.select("query_id", "country", "sector"), "query_id").cache()
+    modes = {"none": "true", "country": "g = country", "sector": "s = sector", "both": "g = country and s = sector"}
+    got = tiles.Tiles(q, c.drop("g", "s").join(meta, "document_id"), group="fold").target_ranks(modes=tuple(modes))
+    for i, keep in enumerate(modes.values()):
+        want = plain(retrieval.target_ranks(both.where(keep), q).select("query_id", F.coalesce("rank", F.lit(0))))
+        assert plain(got.select("query_id", F.coalesce(F.col("ranks")[i], F.lit(0)))) == want
+
+
+def test_filter_modes_keep_no_row_per_query_and_document(spark, sf):
+    assert written(spark, lambda: __spark_entry__.queries()["hit5_by_filter_mode"](spark, sf)) <= q_retrieval.query_set(spark, sf).count()
