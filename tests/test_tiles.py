@@ -73,3 +73,16 @@ def test_ranks_by_mode_are_those_of_the_filtered_pairs(small):
 
 def test_filter_modes_keep_no_row_per_query_and_document(spark, sf):
     assert written(spark, lambda: __spark_entry__.queries()["hit5_by_filter_mode"](spark, sf)) <= q_retrieval.query_set(spark, sf).count()
+
+
+def test_best_document_and_own_score_are_those_of_all_pairs(small):
+    q, c = small
+    pooled = retrieval.block_pool(q, c, group="fold").cache()
+    t = tiles.Tiles(q, c, group="fold")
+    assert plain(t.top_documents(1)) == plain(retrieval.rank_documents(pooled.select("query_id", "document_id", "score"), 1))
+    own = pooled.join(q.select("query_id", F.col("target").alias("document_id")), ["query_id", "document_id"])
+    assert plain(t.own_scores().select("query_id", F.col("own")[0])) == plain(own.select("query_id", "score"))
+
+
+def test_error_analysis_keeps_no_row_per_query_and_document(spark, sf):
+    assert written(spark, lambda: __spark_entry__.queries()["error_analysis_split"](spark, sf)) <= q_retrieval.query_set(spark, sf).count()
