@@ -86,3 +86,10 @@ def test_best_document_and_own_score_are_those_of_all_pairs(small):
 
 def test_error_analysis_keeps_no_row_per_query_and_document(spark, sf):
     assert written(spark, lambda: __spark_entry__.queries()["error_analysis_split"](spark, sf)) <= q_retrieval.query_set(spark, sf).count()
+
+
+def test_document_ranking_keeps_no_row_per_query_and_document(spark, sf, small):
+    q, c = small
+    want = retrieval.rank_documents(retrieval.block_pool(q, c, group="fold").select("query_id", "document_id", "score"), 10)
+    assert plain(tiles.Tiles(q, c, group="fold").top_documents(10)) == plain(want)
+    assert written(spark, lambda: __spark_entry__.queries()["document_ranking"](spark, sf)) <= q_retrieval.query_set(spark, sf).count()
