@@ -93,3 +93,14 @@ def test_document_ranking_keeps_no_row_per_query_and_document(spark, sf, small):
     want = retrieval.rank_documents(retrieval.block_pool(q, c, group="fold").select("query_id", "document_id", "score"), 10)
     assert plain(tiles.Tiles(q, c, group="fold").top_documents(10)) == plain(want)
     assert written(spark, lambda: __spark_entry__.queries()["document_ranking"](spark, sf)) <= q_retrieval.query_set(spark, sf).count()
+
+
+@pytest.mark.parametrize("top", [1000, 9])
+def test_distinct_documents_are_those_of_all_pairs(small, top):
+    q, c = small
+    scores = retrieval.block_cosine(q, c, group="fold").where("query_id <> chunk_id")
+    named = c.where("allowed").select("chunk_id", "document_id")
+    ranked = top_per(scores, ["query_id"], [F.col("score").desc(), F.col("chunk_id").asc()], top, name="chunk_rank").join(named, "chunk_id")
+    first = top_per(ranked, ["query_id", "document_id"], [F.col("chunk_rank").asc()], 1)
+    want = top_per(first, ["query_id"], [F.col("chunk_rank").asc()], 3, name="doc_no").select("query_id", "document_id", "chunk_id", "score", "chunk_rank", "doc_no")
+    assert plain(tiles.Tiles(q, c, group="fold").distinct_documents(3, top)) == plain(want)
