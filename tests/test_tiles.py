@@ -104,3 +104,15 @@ def test_distinct_documents_are_those_of_all_pairs(small, top):
     first = top_per(ranked, ["query_id", "document_id"], [F.col("chunk_rank").asc()], 1)
     want = top_per(first, ["query_id"], [F.col("chunk_rank").asc()], 3, name="doc_no").select("query_id", "document_id", "chunk_id", "score", "chunk_rank", "doc_no")
     assert plain(tiles.Tiles(q, c, group="fold").distinct_documents(3, top)) == plain(want)
+
+
+@pytest.mark.parametrize("top", [1000, 9])
+def test_sector_hits_are_those_of_all_pairs(small, top):
+    q, c = small
+    scores = retrieval.block_cosine(q, c, group="fold").where("query_id <> chunk_id")
+    ranked = top_per(scores, ["query_id"], [F.col("score").desc(), F.col("chunk_id").asc()], top, name="chunk_rank")
+    same = ranked.join(c.where("s = 's'").select("chunk_id", "document_id"), "chunk_id")
+    first = top_per(same, ["query_id", "document_id"], [F.col("chunk_rank").asc()], 1)
+    five = top_per(first, ["query_id"], [F.col("chunk_rank").asc()], 5, name="doc_no").join(q.select("query_id", F.col("target").alias("document_id")), ["query_id", "document_id"])
+    want = plain(five.select("query_id"))
+    assert plain(tiles.Tiles(q, c, group="fold").sector_hits(5, top)) == want and want
