@@ -63,10 +63,14 @@ def mine_dependencies(records: DataFrame, columns: list[str], targets: list[str]
     return found
 
 
+def held_determinants(mined: list[Dependency], target: str) -> list[Dependency]:
+    """The dependencies of `target` that hold: fewest columns first, then the smallest dictionary, then by name."""
+    return sorted((d for d in mined if d.holds and d.target == target), key=lambda d: (len(d.determinant), d.groups, d.determinant))
+
+
 def best_determinant(mined: list[Dependency], target: str) -> Dependency | None:
-    """Of the dependencies of `target` that hold the one with fewest columns, then the smallest dictionary, then by name."""
-    held = [d for d in mined if d.holds and d.target == target]
-    return min(held, key=lambda d: (len(d.determinant), d.groups, d.determinant), default=None)
+    """The first of held_determinants(), None if none holds."""
+    return next(iter(held_determinants(mined, target)), None)
 
 
 #: Columns of an indicator table that values and units may depend on.
@@ -93,12 +97,22 @@ def series_base(series: DataFrame) -> DataFrame:
     )
 
 
+def _looked_up(lacking: DataFrame, base: DataFrame, held: list[Dependency], target: str) -> tuple[DataFrame, Column]:
+    """`lacking` with the entries of the dictionaries of `held` joined, and what the first that has one says."""
+    found = [F.lit(None).cast(base.schema[target].dataType)]
+    for i, dep in reversed(list(enumerate(held))):
+        book = base.where(F.col(target).isNotNull()).dropna(subset=list(dep.determinant)).groupBy(*dep.determinant).agg(F.min(target).alias(f"d_{target}{i}"))
+        lacking = lacking.join(book, list(dep.determinant), "left")
+        found.insert(0, F.col(f"d_{target}{i}"))
+    return lacking, F.coalesce(*found)
+
+
 def fill_series(series: DataFrame) -> DataFrame:
     """Every row of an indicator table with its absent values and units filled where others allow it.
 
     Dependencies of `value` and `unit` on up to two of table, country, feature and
-    year are mined over the complete records. The dictionary of the simplest that
-    holds fills first (`dependency`); then the mean (value) or most
+    year are mined over the complete records. The dictionaries of those that hold
+    fill first, the simplest before the others (`dependency`); then the mean (value) or most
     frequent (unit) of the same feature and country (`country`), then of the same
     feature and year (`year`). Only rows that lack something are joined; complete
     rows pass through.
@@ -118,15 +132,11 @@ def fill_series(series: DataFrame) -> DataFrame:
     mined = mine_dependencies(base, DETERMINANTS, ["value", "unit"])
     lacking = base.where(F.col("value").isNull() | F.col("unit").isNull())
     filled = lacking.join(by_country, ["feature", "ckey"], "left").join(by_year, ["feature", "year"], "left")
-    sources = {t: best_determinant(mined, t) for t in ("unit", "value")}
-    for target, dep in sources.items():
-        if dep:
-            book = base.where(F.col(target).isNotNull()).dropna(subset=list(dep.determinant)).groupBy(*dep.determinant).agg(F.min(target).alias(f"d_{target}"))
-            filled = filled.join(book, list(dep.determinant), "left")
     none = F.lit(None)
-    d_unit = F.col("d_unit") if sources["unit"] else none.cast("string")
-    d_value = F.col("d_value") if sources["value"] else none.cast("double")
-    if sources["unit"]:
+    filled, d_unit = _looked_up(filled, base, held_determinants(mined, "unit"), "unit")
+    filled, d_value = _looked_up(filled, base, held_determinants(mined, "value"), "value")
+    if any(d.determinant == ("feature",) for d in mined if d.holds and d.target == "unit"):
+        # A feature with a unit anywhere is in that dictionary, so its groups add nothing.
         c_unit = y_unit = none.cast("string")
     else:
         filled = filled.join(_mode(base.where("ckey is not null and feature is not null"), ["feature", "ckey"], "unit", "c_unit"), ["feature", "ckey"], "left")

@@ -178,6 +178,21 @@ def test_units_fall_back_where_no_dependency_holds(spark):
     assert got[4] == ("t", "country") and got[5][1] == "year" and got[6] == (None, "none") and got[1] == ("t", "read")
 
 
+def test_all_dependencies_that_hold_fill_and_groups_where_they_do_not(spark):
+    # country and year each decide the unit; the dictionary of years is the smaller, and neither knows the last two rows.
+    rows = [(i, 0, "ABCD"[i % 4], 2000 + i % 2, "fg"[i // 8], 1.0, "uv"[i % 2], None) for i in range(16)]
+    rows += [(20, 0, "A", None, "h", 1.0, None, None), (22, 0, None, 2001, "h", 1.0, None, None), (23, 0, "E", None, "k", 1.0, None, None), (24, 1, " ", None, "k", 1.0, None, None)]
+    got = {r["obs_id"]: (r["unit"], r["unit_source"]) for r in fill_missing.fill_series(spark.createDataFrame(rows, SERIES)).collect()}
+    assert got[20] == ("u", "dependency") and got[22] == ("v", "dependency") and got[23] == (None, "none") and got[24] == (None, "none")
+
+
+def test_groups_fill_units_that_a_dictionary_lacks(spark):
+    # Years decide the unit; the last row has no year, so its country's most frequent unit stands in.
+    rows = [(i, i % 3, "A", 2000 + i % 2, "f", 1.0, "uv"[i % 2], None) for i in range(9)] + [(10, 0, "A", None, "f", 1.0, None, None)]
+    got = {r["obs_id"]: (r["unit"], r["unit_source"]) for r in fill_missing.fill_series(spark.createDataFrame(rows, SERIES)).collect()}
+    assert got[10] == ("u", "country")
+
+
 def test_dependencies_are_verified_on_all_records(spark):
     df = spark.createDataFrame([("a", "x", "u"), ("a", "x", "u"), ("b", "x", "v"), ("b", "y", "v"), (None, "y", "w"), ("c", "y", None)], "k string, l string, t string")
     got = {d.determinant: d for d in fill_missing.mine_dependencies(df, ["k", "l"], ["t"])}
