@@ -116,3 +116,16 @@ def test_sector_hits_are_those_of_all_pairs(small, top):
     five = top_per(first, ["query_id"], [F.col("chunk_rank").asc()], 5, name="doc_no").join(q.select("query_id", F.col("target").alias("document_id")), ["query_id", "document_id"])
     want = plain(five.select("query_id"))
     assert plain(tiles.Tiles(q, c, group="fold").sector_hits(5, top)) == want and want
+
+
+def test_queries_without_a_group_meet_all_chunks(small):
+    q, c = small
+    pooled = retrieval.block_pool(q, c)
+    want = plain(retrieval.target_ranks(pooled, q).select("query_id", F.coalesce("rank", F.lit(0))))
+    assert plain(tiles.Tiles(q, c).target_ranks().select("query_id", F.coalesce(F.col("ranks")[0], F.lit(0)))) == want
+
+
+def test_encoder_metrics_keep_no_row_per_query_and_document(spark, sf):
+    q = spark.read.parquet(f"{sf}/policy_document.parquet").count()
+    c = spark.read.parquet(f"{sf}/time_series.parquet").count()
+    assert written(spark, lambda: __spark_entry__.queries()["encoder_metrics"](spark, sf)) <= max(q, c)
