@@ -129,3 +129,21 @@ def test_encoder_metrics_keep_no_row_per_query_and_document(spark, sf):
     q = spark.read.parquet(f"{sf}/policy_document.parquet").count()
     c = spark.read.parquet(f"{sf}/time_series.parquet").count()
     assert written(spark, lambda: __spark_entry__.queries()["encoder_metrics"](spark, sf)) <= max(q, c)
+
+
+def test_related_chunks_are_those_of_all_pairs(spark):
+    from policygrid.operators import generation, models
+
+    words = "reef dune levee grid well barn"
+    w = words.split()
+    c = spark.createDataFrame([(f"c{i:02d}", f"d{i % 7}", f"{w[i % 6]} {w[i % 4]} {w[i % 5]}") for i in range(40)], "chunk_id string, document_id string, text string")
+    t = spark.createDataFrame([("reef dune",), ("well grid barn",)], "analysis string")
+    got = generation.related_chunks(t, "analysis", c, models.HashedWords(16))
+    assert "mapinarrow" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+    q, v = (models.embed_column(d, x, models.HashedWords(16), "vec") for d, x in ((t.withColumnRenamed("analysis", "query_id"), "query_id"), (c, "text")))
+    near = retrieval.distinct_documents(retrieval.block_cosine(q, v.select("chunk_id", "vec"), 1000, 6), c.select("chunk_id", "document_id"), c.select("document_id"), 3)
+    text = {r[0]: r[2] for r in c.collect()}
+    want = {}
+    for r in sorted(near.collect(), key=lambda r: r["doc_no"]):
+        want.setdefault(r["query_id"], []).append(text[r["chunk_id"]])
+    assert {r["analysis"]: r["chunks"] for r in got.collect()} == want
